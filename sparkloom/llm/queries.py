@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import packing, token_orc
+from sparkloom.llm import packing, secrets, token_orc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": token_orc.op1_token_orc,
         "op5_packing": packing.op5_packing,
+        "op6_secrets": secrets.op6_secrets,
     }
 
 
