@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import near_dedup, packing, secrets, token_orc
+from sparkloom.llm import language, near_dedup, packing, secrets, token_orc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": token_orc.op1_token_orc,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op4_language": language.op4_language,
         "op5_packing": packing.op5_packing,
         "op6_secrets": secrets.op6_secrets,
     }
