@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import language, mixing, near_dedup, packing, secrets, token_orc, vector_dedup
+from sparkloom.llm import language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": language.op4_language,
         "op5_packing": packing.op5_packing,
         "op6_secrets": secrets.op6_secrets,
+        "op7_page_text": page_text.op7_page_text,
         "op9_mixing": mixing.op9_mixing,
         "op10_vector_dedup": vector_dedup.op10_vector_dedup,
     }
