@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
+from sparkloom.llm import fingerprint, language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": token_orc.op1_token_orc,
+        "op2_fingerprint": fingerprint.op2_fingerprint,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_language": language.op4_language,
         "op5_packing": packing.op5_packing,
