@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import fingerprint, language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
+from sparkloom.llm import byte_bpe, fingerprint, language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5_packing,
         "op6_secrets": secrets.op6_secrets,
         "op7_page_text": page_text.op7_page_text,
+        "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_mixing": mixing.op9_mixing,
         "op10_vector_dedup": vector_dedup.op10_vector_dedup,
     }
