@@ -43,7 +43,7 @@ def test_boxed_against_brute_force(spark):
 
 
 def test_annotations(spark):
-    values = ["<<2+3=5>>5 apples", "no", "<<a*b = 6>> and <<1+1=2>>2.0", "<<=5>>", "<TOOL>calc(x)</TOOL>"]
+    values = ["<<2+3=5>>5 apples", "no", "<<a*b = 6>> and <<1+1=2>>2.0", "<<=5>>", "<<x\n=3>>"]
     assert column(spark, values, text.annotations_to_calls) == ["<TOOL>calc(2+3)</TOOL> apples", "no", "<TOOL>calc(a*b)</TOOL> and <TOOL>calc(1+1)</TOOL>", "<<=5>>", "<TOOL>calc(x)</TOOL>"]
 
 
