@@ -71,7 +71,8 @@ def densified(values: Column) -> Column:
         def borrowed(i: Column) -> Column:
             tried = F.transform(F.array(*[F.lit(k) for k in range(PROBES)]), lambda k: F.get(d, F.pmod(F.xxhash64(i, k), F.lit(BINS)).cast("int")))
             by_order = F.array_min(F.transform(d, lambda v, j: F.when(~_empty(v), F.struct(F.xxhash64(j, i).alias("at"), v.alias("v")))))
-            return F.coalesce(F.get(F.filter(tried, lambda v: ~_empty(v)), F.lit(0)), by_order["v"])
+            # With the bin's number in it, so that bins that borrow the same value don't all agree, or differ, by one chance.
+            return F.xxhash64(F.coalesce(F.get(F.filter(tried, lambda v: ~_empty(v)), F.lit(0)), by_order["v"]), i)
 
         return F.transform(d, lambda v, i: F.when(_empty(v), borrowed(i)).otherwise(v))
 
