@@ -1,0 +1,120 @@
+"""Secret scans, language ID and page text against brute force."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from sparkloom.llm import language, page_text, secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans_against_regular_expressions():
+    rng, found = random.Random(1), secrets.scanner(secrets.RULES)
+    parts = ["password", "Passwd", "secret", "TOKEN", "api_key", "apikey", "=", ":", " ", '"', "'", "abc", "deadbeef", "0123456789abcdef", "AKIA", "AKIAABCDEFGH", "XYZ0123456789", "é", "日", "\n", "-", "_", ".", "ſecret", "K"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert [s for s in found.spans(t) if s[2] < 3] == base_spans(t), t
+
+
+def test_further_rules():
+    found = secrets.scanner(secrets.RULES)
+    t = "x ghp_" + "a1B2" * 9 + " -----BEGIN RSA PRIVATE KEY----- é xoxb-1234567890-abc"
+    assert [(t[a:b], found.rules[r].kind) for a, b, r in found.spans(t)] == [("ghp_" + "a1B2" * 9, "host_token"), ("-----BEGIN RSA PRIVATE KEY-----", "private_key"), ("xoxb-1234567890-abc", "chat_token")]
+
+
+def test_scan_and_redact(spark):
+    long = "z " * 60_000 + "secret=abcdefgh"
+    rows = [(1, None, 1), (2, "", 2), (3, "é token: abcdef!", 3), (3, "é token: abcdef!", 3), (4, long, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans int")
+    got = sorted(map(tuple, secrets.scan(docs).collect()))
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[0] == (1, 0, 0, 0, digest(""), "") and got[1][1:4] == (0, 0, 0)
+    assert got[2] == got[3] == (3, 1, 0, 0, digest("assign:2:15"), "assign:2:15")
+    assert got[4][5] == f"assign:120000:{120000 + 15}"
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert masked[3] == "é [assign]!" and masked[1] is None and masked[4].endswith("z [assign]")
+    assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).columns == docs.columns
+
+
+def sentences(rng, words, n):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+WORDS = {"en": "the of and that with from this have not they which their would about there".split(), "fr": "les des une est que dans pour qui sur avec plus sont être fait cette".split(), "ru": "это что как она они был для все уже если только когда можно".split()}
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(2)
+    rows = [(i, sentences(rng, WORDS[lang], 30), lang) for i in range(150) for lang in [("en", "fr", "ru")[i % 3]]]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+
+def test_language_of_held_out_texts(spark, labelled):
+    model = language.fit_documents(labelled)
+    assert model.languages == ["en", "fr", "ru"]
+    got = {r.doc_id: r.lang_pred for r in language.predict(labelled.where(language.held_out()), model).collect()}
+    truth = {r.doc_id: r.lang for r in labelled.collect()}
+    assert got and all(truth[k] == v for k, v in got.items())
+
+
+def test_language_edge_cases(spark, labelled):
+    model = language.fit_documents(labelled)
+    mixed = "the of and that with from this " * 4 + "les des une est que dans pour " * 3
+    rows = [(1, None, "x"), (2, "", "x"), (3, "123 !? \n", "x"), (4, mixed, "x"), (5, "Что это", "x"), (6, "日本語", "x"), (7, "the of and that " * 20_000, "x"), (7, "the", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    got = {(r.doc_id, len(r.mixed_spans) > 0): (r.lang_pred, r.score) for r in language.predict(docs, model).collect()}
+    assert got[1, False] == got[2, False] == got[3, False] == ("und", 0.0)
+    assert got[4, True][0] == "en" and 0.4 < got[4, True][1] < 1 and got[5, False][0] == "ru" and got[6, False][0] in model.languages
+    assert got[7, False] == ("en", 1.0)
+    kept = language.keep_known(docs, model)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 7]
+    assert language.predict(docs.limit(0), model).count() == 0
+    nothing = language.fit_documents(labelled.limit(0))
+    assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = [5, 0, 3, 1]
+    scores = rng.normal(size=(sum(sizes), 3)) * 3
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    labels = language.viterbi(scores, first, switch=2.0)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        value = lambda p: sum(scores[a + i, x] for i, x in enumerate(p)) - 2.0 * sum(x != y for x, y in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        paths = list(itertools.product(range(3), repeat=b - a))
+        assert abs(value(labels[a:b].tolist()) - max(map(value, paths))) < 1e-9
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=/>Home, sweet home.</a></li></ul></nav>
+<!-- <p>no</p> --><div class="ad">Buy, now. Really, do.</div><article><h1>Title &amp; more</h1><p><b>First,  para.<br>Next<p>Second&nbsp;para &lt;x&gt; 1 < 2.</p><p>Short</p><ul><li>One, item<li>Two</ul></article>
+<div id="comments"><p>Great, post. I like it, a lot.</p></div><aside>Other, things.</aside><form><p>Sign up, please.</p></form><footer>&copy; me, 2020.</footer></body></html>"""
+
+
+def test_main_text():
+    assert page_text.main_text(PAGE) == "Title & more\nFirst, para. Next\nSecond para <x> 1 < 2.\nShort\nOne, item\nTwo"
+    plain = "<body><div class=menu>a b c</div><div><h2>Head</h2><p>Some, text here. More of it.</p><p>End</p></div><div class='cookie-notice'>We use cookies, ok.</div></body>"
+    assert page_text.main_text(plain) == "Head\nSome, text here. More of it.\nEnd"
+
+
+def test_pages(spark):
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "v", "no tags at all", "x"), (4, "w", "<p>unclosed <b>bold", "x"), (4, "w", "<p>unclosed <b>bold", "x"), (5, "z", "<article>" + "<p>long, text.</p>" * 5000, "x")]
+    got = page_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
+    by = {r.page_id: r.text for r in got}
+    assert len(got) == 6 and by[1] == by[2] == "" and by[3] == "no tags at all" and by[4] == "unclosed bold" and by[5].count("\n") == 4999
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert page_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
