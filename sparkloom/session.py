@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "spark
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by the path Spark reads it from: local, HDFS, an object store or a view file system."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the cluster's spark.checkpoint.dir; where that is unset (tests, local mode), in a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,13 @@ def write_chunks(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None
     df.select("source", "text", "tokens", "n_tokens").write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, rows_per_file: int = 100_000) -> dict[str, int]:
+    """Writes chunks and returns docs and tokens, counted while the rows go by."""
+    seen = Observation("totals")
+    write_chunks(df.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")), path, rows_per_file)
+    return seen.get
+
+
 def write_numbered_chunks(df: DataFrame, path: str, chunk: str = "chunk_id") -> None:
     """A folder for each chunk id, as exact chunking gives them."""
     df.repartition(chunk).write.option("compression", "zstd").partitionBy(chunk).parquet(path)

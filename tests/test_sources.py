@@ -30,6 +30,7 @@ def test_chunks_and_manifest(spark, tmp_path):
     df = spark.range(25).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.lit("t").alias("text"), F.array(F.lit(1), F.lit(2)).alias("tokens"), F.lit(2).alias("n_tokens")).coalesce(1)
     sinks.write_chunks(df, str(tmp_path / "c"), rows_per_file=10)
     assert len(list((tmp_path / "c").glob("*.parquet"))) == 3
+    assert sinks.write_observed(df, str(tmp_path / "o")) == {"docs": 25, "tokens": 50}
     m = json.loads(sinks.manifest(df, {"a": 5}).first()[0])
     assert (m["docs"], m["tokens"], m["plan"]) == (25, 50, {"a": 5}) and m["sources"][0] == {"source": "a", "docs": 13, "tokens": 26}
     sinks.append_log(df.select("source"), str(tmp_path / "log"))
@@ -67,3 +68,14 @@ def test_streamed_turns_equal_batch(spark, tmp_path):
     got = run_stream(spark, stream, state.turn_stream, "pairs", tmp_path)
     batch = dialogue.turn_pairs(spark.createDataFrame(rows, schema))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_marked_bpe(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from sparkloom.functions import bpe, tokens
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    df = spark.createDataFrame([(0, "hello <ANSWER>12</ANSWER> world"), (1, None), (2, "")], "i int, t string")
+    got = [r.ids for r in df.orderBy("i").select(bpe.encode_bpe(F.col("t"), path, pattern).alias("ids")).collect()]
+    assert got[1] is None and got[2] == [] and tokens.MARKER_IDS["<ANSWER>"] in got[0] and max(got[0]) < tokens.VOCABULARY
+    assert bpe.decode_marked(got[0], path, pattern) == "hello <ANSWER>12</ANSWER> world"
