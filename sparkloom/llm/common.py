@@ -140,25 +140,62 @@ def text_chunks(column, max_bytes: int = 1 << 21):
 
 _TAIL = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
-MAX_CACHED = 600_000
+_PLAIN = re.compile("[\x20-\x7e\n\xa1-\u024f]*")  # here libraries agree on what letters, numbers and spaces are
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-class PieceEncoder(dict):
-    """Encodes texts with a tokenizers file, remembering the ids of each space-separated piece.
+class Remembered(dict):
+    """A function's values; at `most` of them they become the older half, which a look-up brings back and the next halving drops."""
 
-    A split before a space that a non-space follows never falls inside a match of the tokenizer's own pattern, so the pieces'
-    ids laid end to end are the text's ids. keeps_space: the piece keeps the space before it (byte-level files); word files
-    drop white space. Values are ids as little-endian unsigned 32-bit integers. The memory is emptied at MAX_CACHED pieces.
+    def __init__(self, function, most: int):
+        super().__init__()
+        self.function, self.most, self.older = function, most, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.function(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level files write bytes that don't print as letters from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
+class PieceEncoder:
+    """Encodes texts with a tokenizers file, remembering the ids of each space-separated piece and of each match of the file's pattern.
+
+    A split before a space that a non-space follows never falls inside a match, so the pieces' ids laid end to end are the text's ids.
+    keeps_space: the piece keeps the space before it (byte-level files); word files drop white space and case. Pieces beyond the
+    Latin blocks go through the library whole. Values are ids as little-endian unsigned 32-bit integers.
     """
 
+    PIECES, MATCHES = 250_000, 150_000
+
     def __init__(self, path: str, keeps_space: bool):
+        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.keeps_space = keeps_space
+        endings = "'s|'t|'re|'ve|'m|'ll|'d|"
+        own = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" if keeps_space else r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.matches = regex.compile(endings + own).findall
+        self.model = self.tok.model
+        self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tok.get_vocab_size())]
+        self.of_match = Remembered(self._match, self.MATCHES)
+        self.of_piece = Remembered(self._piece, self.PIECES)
 
     @classmethod
     def shared(cls, path: str, keeps_space: bool) -> PieceEncoder:
@@ -167,22 +204,30 @@ class PieceEncoder(dict):
             _encoders[path, keeps_space] = cls(path, keeps_space)
         return _encoders[path, keeps_space]
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_CACHED:
-            self.clear()
-        got = np.array(self.tok.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = got
-        return got
+    def _match(self, match: str) -> bytes:
+        letters = match.encode().decode("latin-1").translate(_LETTERS)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(letters)])
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable() and len(piece) <= 256:
+            if not self.keeps_space:
+                piece = piece.lower()
+            if piece.isalpha() or self.keeps_space and piece[:1] == " " and piece[1:].isalpha():
+                return self.of_match[piece]
+            return b"".join(map(self.of_match.__getitem__, self.matches(piece)))
+        if len(piece) > 256 or not _PLAIN.fullmatch(piece):
+            return np.array(self.tok.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not self.keeps_space:
+            piece = self.tok.normalizer.normalize_str(piece)
+        return b"".join(map(self.of_match.__getitem__, self.matches(piece)))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        known = self.of_piece.__getitem__
         if not self.keeps_space:
-            return b"".join(map(self.__getitem__, text.split(" ")))
+            return b"".join(map(known, text.split(" ")))
         if _TAIL.search(text):
-            return b"".join(map(self.__getitem__, _BEFORE_WORD.split(text)))
+            return b"".join(map(known, _BEFORE_WORD.split(text)))
         head, *rest = text.split(" ")
-        if not rest:
-            return self[head]
-        return self[head] + b"".join(map(self.__getitem__, [" " + w for w in rest]))
+        return known(head) + b"".join(map(known, [" " + w for w in rest]))
