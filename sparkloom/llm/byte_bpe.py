@@ -27,7 +27,7 @@ from sparkloom.llm.common import _BEFORE_WORD, _TAIL, Remembered, let, table
 
 EPOCH = 250_000
 PIECES = 150_000
-NONE = 1 << 30
+NO_PAIR = 1 << 40  # above any rank
 _A, _B = 40503, 30011  # odd multipliers of the two places
 
 
@@ -73,37 +73,36 @@ def literal_map(path: str) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, slots.tolist()))), ",").cast("array<bigint>"), size
 
 
-def _rank(t: Column, size: int, a: Column, b: Column) -> Column:
+def _linked(t: Column, size: int, a: Column, b: Column) -> Column:
+    """Id a with the rank of the pair (a, b) above it: rank << 16 | a."""
     key = F.shiftleft(a, 16) + b
     one, two = F.get(t, ((a * _A + b) % size).cast("int")), F.get(t, ((a + b * _B) % size + size).cast("int"))
-    value = lambda x: x.bitwiseAND(F.lit(0xFFFF).cast("bigint"))
-    return F.when(F.shiftright(one, 16) == key, value(one)).when(F.shiftright(two, 16) == key, value(two)).otherwise(F.lit(NONE).cast("bigint"))
+    above = lambda x: F.shiftleft(x.bitwiseAND(F.lit(0xFFFF).cast("bigint")), 16) + a
+    return F.when(F.shiftright(one, 16) == key, above(one)).when(F.shiftright(two, 16) == key, above(two)).otherwise(a + NO_PAIR)
 
 
 def fold_merges(words: Column, ranks: Column, size: int) -> Column:
-    """words: array<array<bigint>> of ids; ranks: the literal map. The pair of least rank merges first, the leftmost of equals, until none merges."""
+    """words: array<array<bigint>> of ids; ranks: the literal map. The pair of least rank merges first, the leftmost of equals, until none merges.
+
+    The state is one array: each id with the rank of its pair to the right above it, so the least element names the next merge (its rank is
+    the merged id), and a merge looks up two pairs."""
+    id_of = lambda x: x.bitwiseAND(F.lit(0xFFFF).cast("bigint"))
 
     def merged(t: Column, ids: Column) -> Column:
-        none = F.lit(NONE).cast("bigint")
-        pairs = F.transform(ids, lambda x, i: F.when(i + 1 < F.size(ids), _rank(t, size, x, F.get(ids, i + 1))).otherwise(none))
-        start = F.struct(ids.alias("ids"), pairs.alias("r"))
+        start = F.transform(ids, lambda x, i: F.when(i + 1 < F.size(ids), _linked(t, size, x, F.get(ids, i + 1))).otherwise(x + NO_PAIR))
 
         def step(acc: Column, _: Column) -> Column:
-            def at(m: Column) -> Column:
-                def at_place(p: Column) -> Column:
-                    n = F.size(acc["ids"])
-                    before, after = F.get(acc["ids"], p - 2), F.get(acc["ids"], p + 1)
-                    ids2 = F.concat(F.slice(acc["ids"], F.lit(1), p - 1), F.array(m), F.slice(acc["ids"], p + 2, n))
-                    left = F.when(p > 1, F.array(_rank(t, size, before, m))).otherwise(F.expr("cast(array() as array<bigint>)"))
-                    right = F.array(F.when(p + 1 < n, _rank(t, size, m, after)).otherwise(none))
-                    r2 = F.concat(F.slice(acc["r"], F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(acc["r"], p + 2, n))
-                    return F.struct(ids2.alias("ids"), r2.alias("r"))
-
-                return F.when(m >= NONE, acc).otherwise(let(F.array_position(acc["r"], m).cast("int"), at_place))
+            def at(p: Column) -> Column:
+                n = F.size(acc)
+                m = F.shiftright(F.get(acc, p - 1), 16)
+                right = F.when(p + 1 < n, _linked(t, size, m, id_of(F.get(acc, p + 1)))).otherwise(m + NO_PAIR)
+                new = F.when(p > 1, F.array(_linked(t, size, id_of(F.get(acc, p - 2)), m), right)).otherwise(F.array(right))
+                done = F.concat(F.slice(acc, F.lit(1), F.greatest(p - 2, F.lit(0))), new, F.slice(acc, p + 2, n))
+                return F.when(F.get(acc, p - 1) >= NO_PAIR, acc).otherwise(done)
 
-            return let(F.array_min(acc["r"]), at)
+            return let(F.array_position(acc, F.array_min(acc)).cast("int"), at)
 
-        return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(ids)), start, step, lambda acc: acc["ids"]))
+        return F.when(F.size(ids) < 2, ids).otherwise(F.transform(F.aggregate(F.sequence(F.lit(2), F.size(ids)), start, step), id_of))
 
     return let(ranks, lambda t: F.transform(words, lambda w: merged(t, w)))
 
