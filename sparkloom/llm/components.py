@@ -1,4 +1,5 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links, by alternating large-star and small-star steps; up to SMALL links, whose number is counted
+first, by one task's union-find."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import staged
 
 MAX_ROUNDS = 60
+SMALL = 250_000  # links that one task may hold: some 30 MB
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -26,8 +28,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node of a link; component is its smallest reachable node. Null ends and self-links are left out.
 
     Every round is written to the shared folder, so lost executors cost one round, and links never meet on the driver."""
-    links = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("a <> b").distinct()
+    links = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b").distinct()
     links = staged(links, "links")
+    if links.count() <= SMALL:
+        return links.coalesce(1).mapInArrow(_union_find, "node long, component long")
     before = _state(links)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
@@ -43,6 +47,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return nodes.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _union_find(batches):
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], ["node", "component"])
+
+
 def _state(links: DataFrame) -> tuple:
     """Two numbers that the same links always give, whatever their order."""
     got = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -6,8 +6,9 @@
    every choice of them. Two signatures at distance less than sum(errors[i] + 1) agree in some key, by the pigeonhole principle: none
    under that distance is missed. At similarity 0.8 exactly, a pair shares no key with probability 7e-5; above it, less.
 3. Every member of a key is compared with the key's smallest class; links found are confirmed on the full sets. What is then connected is
-   one component, so a key whose members all are needs no more comparison, however many there are. In the keys that still hold several
-   components, members of different components meet under a test of signatures and set sizes, and what passes is confirmed on full sets.
+   one component, so a key whose members all are needs no more comparison, however many there are. Keys that still hold several components
+   are compared with a few of their members, by hash, in some more turns. In those that hold several even then, members of different
+   components meet, all of them, under a test of signatures and set sizes, and what passes is confirmed on full sets.
 
 No key's members are gathered in one task: minima are partial aggregates and comparisons are joins.
 
@@ -32,13 +33,16 @@ from sparkloom.llm.components import connected_components
 @dataclass(frozen=True)
 class Settings:
     """similarity: least share of shingles in common, in percent; words: per shingle; errors: values that may differ, by chunk;
-    chunk: values of one; doubt: greatest signature distance that is worth a look at the full sets (at 0.8 five standard deviations off)."""
+    chunk: values of one; turns, leaders: how often, and with how many of its members, a key's members are compared before all pairs of components
+    are; doubt: greatest signature distance that is worth a look at the full sets (at 0.8 five standard deviations off)."""
 
     words: int = 5
     percent: int = 80
     chunk: int = 6
     errors: tuple[int, ...] = field(default=(1,) * 3 + (0,) * 21)
     doubt: int = 53
+    turns: int = 1
+    leaders: int = 8
 
     @property
     def values(self) -> int:
@@ -206,14 +210,29 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
 
     known = classes.select("id", "size", "sig")
     close = _close_enough(s)
-    to_leader = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    to_leader = to_leader.join(known.alias("p"), F.col("a") == F.col("p.id")).join(known.alias("q"), F.col("b") == F.col("q.id")).where(close).select("a", "b")
-    links = confirmed(to_leader)
-    parts = staged(connected_components(links), "parts")
 
-    placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("key")
-    rest = staged(placed.join(mixed, "key").join(known, "id").select("key", "id", "part", "size", "sig"), "rest")
+    def worth_a_look(pairs: DataFrame) -> DataFrame:
+        p, q = known.alias("p"), known.alias("q")
+        return pairs.distinct().join(p, F.col("a") == F.col("p.id")).join(q, F.col("b") == F.col("q.id")).where(close).select("a", "b")
+
+    def still_mixed(parts: DataFrame) -> DataFrame:
+        """(key, id, part) of the keys whose members are of several components."""
+        placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+        mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("key")
+        return placed.join(mixed, "key")
+
+    links = confirmed(worth_a_look(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))))
+    parts = staged(connected_components(links), "parts")
+    for turn in range(s.turns):
+        mixed = staged(still_mixed(parts), "mixed")
+        if mixed.isEmpty():
+            break
+        leaders = mixed.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * s.leaders + k)).alias("at"), F.col("id").alias("to"), F.col("part").alias("of"))).alias(f"l{k}") for k in range(s.leaders)])
+        met = mixed.join(leaders, "key").select("id", "part", F.explode(F.array(*[f"l{k}" for k in range(s.leaders)])).alias("l")).where("part <> l.of")
+        links = links.union(confirmed(worth_a_look(met.select(F.least("id", "l.to").alias("a"), F.greatest("id", "l.to").alias("b")))))
+        parts = staged(connected_components(links), "parts")
+
+    rest = staged(still_mixed(parts).join(known, "id").select("key", "id", "part", "size", "sig"), "rest")
     p, q = rest.alias("p"), rest.alias("q")
     across = (F.col("p.key") == F.col("q.key")) & (F.col("p.part") < F.col("q.part")) & close
     pairs = p.join(q, across).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()

@@ -77,7 +77,11 @@ def test_pigeonhole_keys_meet_under_the_threshold():
         assert (x == y).any()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components(spark, small, monkeypatch):
+    from sparkloom.llm import components as module
+
+    monkeypatch.setattr(module, "SMALL", small)
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, k) for k in range(501, 560)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
