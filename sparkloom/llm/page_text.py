@@ -3,7 +3,9 @@
 The page is read into blocks: runs of text between tags of block elements, each with its path of block elements from the root. Text length
 and punctuation are summed per path over the blocks that end there. Length per block, smoothed over the paths in page order, and
 punctuation per block are fused by their product; paths at or above a share of the page's mean are content, with the other paths of
-their container. Paths through elements, classes or ids that are never main text (menus, forms, adverts, comments ..) have ratio 0. Where the page
+their container. Paths through elements, classes or ids that are never main text (menus, forms, adverts, comments ..) have ratio 0. A class or id counts
+by whole words: all parts of it name what is never main text ("cookie-notice", but not "has-sidebar"). It doesn't count on html, body, main or article (one
+that is a comment aside), or on a wrapper: what holds most of the page's text and is named by a place in the layout, or holds a main element or h1. Names alone leave no page empty. Where the page
 marks its article, paths outside it have ratio 0 too, and every other path in it is of its container.
 
 Defined cases: null or empty html, or none selected: empty text; markup that isn't closed ends where HTML's rules or the page end it; rows
@@ -26,28 +28,55 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object canvas audio video select button noframes xmp".split())
 NEVER = frozenset("head nav header footer aside form menu dialog fieldset search".split())
-NEVER_NAMED = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright dfp disclaimer discussion disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promoted recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget".split())
+NEVER_NAMED = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright dfp disclaimer discussion disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promoted recommended replies reply respond share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget".split())
+REPLIES = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"}
 CLOSES_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select body article section".split())
+LAYOUT = frozenset("banner footer header masthead modal notice notices notification overlay share sharing sidebar social toolbar widget".split())
 MAIN = frozenset(["article", "main"])
+UNNAMED = MAIN | {"html", "body"}
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 THRESHOLD = 0.5
+MOST = 0.5  # of the page's text: what holds more can be a wrapper
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)|[^>]*+>)|<[!?/][^>]*+>""", re.S)
 _NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？،؟।]")
 
 
-def _named(attributes: str) -> bool:
-    return any(w.lower() in NEVER_NAMED for m in _NAME.finditer(attributes) for g in m.groups() if g for w in _WORDS.findall(g))
+def _named(attributes: str) -> set[str]:
+    """The words of those classes, ids and roles of which every word is in NEVER_NAMED."""
+    out: set[str] = set()
+    for m in _NAME.finditer(attributes):
+        for token in markup.unescape(next((g for g in m.groups() if g), "")).lower().split():
+            words = _WORDS.findall(token)
+            if NEVER_NAMED.issuperset(words):
+                out.update(words)
+    return out
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     """(path, in what is never main text, text) of every block with text, in page order."""
-    stack: list[tuple[str, bool]] = []
-    out: list[tuple[tuple[str, ...], bool, str]] = []
+    found = _read(page)
+    total = sum(len(text) for _, never, _, text in found if not never)
+    held: dict[int, int] = {}
+    wrappers: set[int] = set()
+    for path, never, named, text in found:
+        for n, depth, layout in named:
+            held[n] = held.get(n, 0) + (0 if never else len(text))
+            if not never and (layout or "main" in path[depth:] or "h1" in path[depth:]):
+                wrappers.add(n)
+    out = [(path, never or any(n not in wrappers or held[n] <= MOST * total for n, _, _ in named), text) for path, never, named, text in found]
+    return out if any(not never for _, never, _ in out) else [(path, never, text) for path, never, _, text in found]
+
+
+def _read(page: str) -> list[tuple[tuple[str, ...], bool, tuple[tuple[int, int, bool], ...], str]]:
+    """(path, in an element that is never main text, named elements around it, text) of every block. Of a named element: where it
+    starts, how many are around it, whether it is named by places in the layout alone."""
+    stack: list[tuple[str, bool, tuple[tuple[int, int, bool], ...]]] = []
+    out: list[tuple[tuple[str, ...], bool, tuple[tuple[int, int, bool], ...], str]] = []
     held: list[str] = []
     at, n = 0, len(page)
 
@@ -56,7 +85,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
             text = " ".join(markup.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((tuple(t for t, _ in stack), bool(stack) and stack[-1][1], text))
+                out.append((tuple(x[0] for x in stack), *(stack[-1][1:] if stack else (False, ())), text))
 
     def close(names, stops=()) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -86,7 +115,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
         elif name in BLOCKS:
             flush()
             if end:
-                if any(t == name for t, _ in stack):
+                if any(x[0] == name for x in stack):
                     close({name})
                 continue
             if name in CLOSES_P:
@@ -94,10 +123,13 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
             if name in CLOSES_OWN:
                 close(CLOSES_OWN[name], SCOPES - {name})
             if name not in VOID:
-                tagged = _named(m[3])
-                kept_title = name == "header" and any(t in MAIN for t, _ in stack)
-                never = bool(stack) and stack[-1][1] or name in NEVER and not kept_title or tagged and name not in ("html", "body")
-                stack.append((name, never))
+                words = _named(m[3])
+                kept_title = name == "header" and any(x[0] in MAIN for x in stack)
+                never = bool(stack) and stack[-1][1] or name in NEVER and not kept_title
+                named = stack[-1][2] if stack else ()
+                if words and (name not in UNNAMED or name == "article" and not REPLIES.isdisjoint(words)):
+                    named += ((m.start(), len(stack), words <= LAYOUT),)
+                stack.append((name, never, named))
     flush()
     return out
 

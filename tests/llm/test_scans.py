@@ -111,6 +111,23 @@ def test_main_text():
     assert page_text.main_text(plain) == "Head\nSome, text here. More of it.\nEnd"
 
 
+@pytest.mark.parametrize("tag", ['div class="layout has-sidebar"', 'div class="elementor-widget x"', "div class=widget", "div id=header", 'article class="post comments-open"', 'article class="related widget"', "main id=sidebar", "div class=byline", "div class=comments"])
+def test_main_text_in_named_wrappers(tag):
+    body = "<h1>Head</h1><p>Some, text here. More of it, and more.</p><p>End, of it all.</p>"
+    page = f"<body><nav>Home, sweet home.</nav><{tag}>{body}<div class='ad'>Buy, now.</div></{tag.split()[0]}><div class='cookie-notice'>Ok, cookies.</div></body>"
+    assert page_text.main_text(page) == "Head\nSome, text here. More of it, and more.\nEnd, of it all."
+
+
+def test_long_comments_are_not_main_text():
+    comments = "<article class='comment'><p>I like it, a lot. Really, I do.</p></article>" * 20
+    for tag in ("article", "div"):
+        page = f"<body><{tag}><p>Some, text here. More of it.</p></{tag}><div id=comments>{comments}</div>{comments}</body>"
+        assert page_text.main_text(page) == "Some, text here. More of it."
+    advert = "<div class=ad>A long, long advert. Really, buy it now.</div>"
+    assert page_text.main_text(f"<body>{advert}<div><p>Short, text.</p></div></body>") == "Short, text."
+    assert page_text.main_text("<body><div class=discussion><p>All, there is.</p></div></body>") == "All, there is."
+
+
 def test_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "v", "no tags at all", "x"), (4, "w", "<p>unclosed <b>bold", "x"), (4, "w", "<p>unclosed <b>bold", "x"), (5, "z", "<article>" + "<p>long, text.</p>" * 5000, "x")]
     got = page_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
