@@ -6,7 +6,8 @@ punctuation per block are fused by their product; paths at or above a share of t
 their container. Paths through elements, classes or ids that are never main text (menus, forms, adverts, comments ..) have ratio 0. A class or id counts
 by whole words: all parts of it name what is never main text ("cookie-notice", but not "has-sidebar"). It doesn't count on html, body, main or article (one
 that is a comment aside), or on a wrapper: what holds most of the page's text and is named by a place in the layout, or holds a main element or h1. Names alone leave no page empty. Where the page
-marks its article, paths outside it have ratio 0 too, and every other path in it is of its container.
+marks articles, paths in them weigh MARKED times as much, and a marked article is a container of its own: all of it is content if a path in it is, and none
+of it through a container around it. What is outside the marks is chosen by its ratios as on any page.
 
 Defined cases: null or empty html, or none selected: empty text; markup that isn't closed ends where HTML's rules or the page end it; rows
 that repeat are read each by itself; an empty table gives no row; columns besides those named are left out.
@@ -39,6 +40,7 @@ UNNAMED = MAIN | {"html", "body"}
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 THRESHOLD = 0.5
+MARKED = 2.0
 MOST = 0.5  # of the page's text: what holds more can be a wrapper
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)|[^>]*+>)|<[!?/][^>]*+>""", re.S)
 _NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -155,17 +157,20 @@ def _in_main(path: tuple[str, ...]) -> bool:
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    marked = any(_in_main(p) and not never for p, never, _ in blocks)
-    usable = [not never and (_in_main(p) or not marked) for p, never, _ in blocks]
     # A header in an article holds its title; the rest of it isn't main text.
-    usable = [ok and ("header" not in p or p[-1] in HEADINGS) for ok, (p, _, _) in zip(usable, blocks, strict=True)]
+    usable = [not never and ("header" not in p or p[-1] in HEADINGS) for p, never, _ in blocks]
     ratios = _ratios(blocks, usable) if blocks else {}
     if not ratios:
         return ""
+    ratios = {p: r * MARKED if _in_main(p) else r for p, r in ratios.items()}
     least = THRESHOLD * float(np.mean(list(ratios.values())))
     content = {p for p, r in ratios.items() if r >= least}
     containers = {_container(p) for p in content}
-    return "\n".join(t for (p, _, t), ok in zip(blocks, usable, strict=True) if ok and (p in content or any(p[: len(c)] == c for c in containers)))
+    return "\n".join(t for (p, _, t), ok in zip(blocks, usable, strict=True) if ok and (p in content or _within(p, containers)))
+
+
+def _within(path: tuple[str, ...], containers: set[tuple[str, ...]]) -> bool:
+    return _container(path) in containers if _in_main(path) else any(path[:k] in containers for k in range(1, len(path) + 1))
 
 
 def _container(path: tuple[str, ...]) -> tuple[str, ...]:

@@ -128,6 +128,18 @@ def test_long_comments_are_not_main_text():
     assert page_text.main_text("<body><div class=discussion><p>All, there is.</p></div></body>") == "All, there is."
 
 
+def test_story_outside_the_marks():
+    story = "<h2>Head</h2>" + "<p>A long, long paragraph of the story itself. It goes on, and on, for some time; then it ends.</p>" * 3
+    whole = "\n".join(["Head"] + ["A long, long paragraph of the story itself. It goes on, and on, for some time; then it ends."] * 3)
+    for marks in ("<article><h3>Teaser</h3></article>" * 4, "<article><a href=/>More</a></article>" * 4):
+        for page in (f"<body><div>{story}</div><div>{marks}</div></body>", f"<body><div>{story}{marks}</div></body>", f"<body>{marks}<section>{story}</section></body>"):
+            assert page_text.main_text(page) == whole
+    page = f"<body><div>{story}</div><section><article><p>I liked it, a lot.</p></article></section></body>"
+    assert page_text.main_text(page).startswith(whole)
+    page = f"<body><div>Menu</div><article>{story}<p>Short</p></article><section><b>Top</b></section></body>"
+    assert page_text.main_text(page) == whole + "\nShort"
+
+
 def test_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "v", "no tags at all", "x"), (4, "w", "<p>unclosed <b>bold", "x"), (4, "w", "<p>unclosed <b>bold", "x"), (5, "z", "<article>" + "<p>long, text.</p>" * 5000, "x")]
     got = page_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
