@@ -40,6 +40,8 @@ class Rule:
 _KEYS = "(password|passwd|secret|token|api_?key)"
 _SEP = "[\"']?\\x20*[:=]\\x20*[\"']?"
 _VALUE = "[A-Za-z0-9+/_.=\\-]"
+_KEY_HEAD = "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+_KEY_BODY = "(-{0,4}[^\\-])*-----END [A-Z ]{0,24}PRIVATE KEY-----"  # on to the next five dashes, which begin the END line
 
 BASE = (
     Rule("assign", f"{_KEYS}{_SEP}{_VALUE}+", f"{_KEYS}{_SEP}{_VALUE}", any_case=True, tail=_VALUE, least_tail=6),
@@ -47,7 +49,7 @@ BASE = (
     Rule("hex", "[0-9a-f]{24,}", "[0-9a-f]{24}"),
 )
 MORE = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("private_key", f"{_KEY_HEAD}({_KEY_BODY})?", _KEY_HEAD),
     Rule("host_token", "gh[opsur]_[A-Za-z0-9]{36,}", "gh[opsur]_[A-Za-z0-9]", least=40),
     Rule("signed_token", "eyJ[A-Za-z0-9_\\-]{10,}\\.eyJ[A-Za-z0-9_\\-]{10,}\\.[A-Za-z0-9_\\-]{10,}", "eyJ[A-Za-z0-9_\\-]{10}"),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9\\-]{10,}", "xox[abprs]-[A-Za-z0-9\\-]"),
