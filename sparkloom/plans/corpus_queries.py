@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.arithmetic import problem
 from sparkloom.functions.tokens import EOS, PAD, encode_chars, estimated_row_bytes, next_token_pair
 from sparkloom.operators import corpus, dialogue, mixture, packing
 from sparkloom.session import table
@@ -199,13 +200,30 @@ def ordered_union(spark, sf_dir):
     return bigints(dialogue.ordered_union(frames), "source_rank")
 
 
-def sft_union(spark, sf_dir):
+def _sft_branches(spark, sf_dir, orders: DataFrame, **caps: int) -> DataFrame:
+    """Instructions, traces and dialogues; caps: most traces and pairs, the operators' own where they aren't given."""
     field = F.lit("general")
-    pairs = dialogue.dialogue_rows(_pairs(spark, sf_dir).withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", field, 150)
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    pairs = dialogue.dialogue_rows(_pairs(spark, sf_dir).withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", field, caps.get("pairs", 30_000))
     instructions = dialogue.instruction_rows(orders.select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit(" Status of "), F.col("o_orderkey").cast("string")).alias("instruction"), F.when(F.col("o_orderkey") % 20 == 0, "").otherwise("short").alias("input"), F.when(F.col("o_orderkey") % 30 == 0, "<NoOutput> x").otherwise(F.concat(F.col("o_orderstatus"), F.lit("\n"))).alias("output")), "key")
-    traces = dialogue.trace_rows(orders.select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("problem"), F.when(F.col("o_orderkey") % 40 == 0, "").otherwise("S").alias("solution"), F.col("o_orderstatus").alias("answer")), "key", 100)
-    return instructions.unionByName(traces).unionByName(pairs).select("source", "key", F.md5("prompt").alias("prompt"), F.md5("target").alias("target"))
+    traces = dialogue.trace_rows(orders.select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("problem"), F.when(F.col("o_orderkey") % 40 == 0, "").otherwise("S").alias("solution"), F.col("o_orderstatus").alias("answer")), "key", caps.get("traces", 50_000))
+    return instructions.unionByName(traces).unionByName(pairs)
+
+
+def _digested(examples: DataFrame) -> DataFrame:
+    return examples.select("source", "key", F.md5("prompt").alias("prompt"), F.md5("target").alias("target"))
+
+
+def sft_union(spark, sf_dir):
+    """A tenth of the orders and small caps, as its SQL has it; sft_union_whole has all."""
+    return _digested(_sft_branches(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"), traces=100, pairs=150))
+
+
+def sft_union_whole(spark, sf_dir):
+    """All four branches over whole tables with the reference's caps. The generated problems rest on a Spark hash, so there is no SQL for them."""
+    p = problem(F.col("id"))
+    made = dialogue.synthetic_problem(p["question"], p["answer"])
+    synthetic = spark.range(2_000).select(F.lit("synthetic").alias("source"), F.col("id").alias("key"), made["prompt"].alias("prompt"), made["target"].alias("target"))
+    return _digested(synthetic.unionByName(_sft_branches(spark, sf_dir, table(spark, sf_dir, "orders"))))
 
 
 def trace_texts(spark, sf_dir):
@@ -213,7 +231,7 @@ def trace_texts(spark, sf_dir):
     return dialogue.trace_texts(rows, "key", 500).select("key", F.md5("text").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (source_stats, shard_stats, encode_stats, budget_mixture, budget_rows, estimated_cut, quality_take, legacy_filter_cap, legacy_rate, two_field_filter, holdout_split, holdout_difference, val_sample, shuffle_batches, token_offsets, pack_drop_tail, pack_resume, pack_pad_labels, pack_prompt_mask, shift_pairs, chunk_ids_rows, chunk_ids_both, row_bytes, turn_pairs, length_buckets, sample_per_source, ordered_union, sft_union, trace_texts)}
+QUERIES = {f.__name__: f for f in (source_stats, shard_stats, encode_stats, budget_mixture, budget_rows, estimated_cut, quality_take, legacy_filter_cap, legacy_rate, two_field_filter, holdout_split, holdout_difference, val_sample, shuffle_batches, token_offsets, pack_drop_tail, pack_resume, pack_pad_labels, pack_prompt_mask, shift_pairs, chunk_ids_rows, chunk_ids_both, row_bytes, turn_pairs, length_buckets, sample_per_source, ordered_union, sft_union, sft_union_whole, trace_texts)}
 
 _BUDGET = f"""WITH {DOCS}, {PLAN_SQL}, run AS (SELECT d.doc_id, d.source, d.n_tokens, p.target, p.cap,
   coalesce(sum(d.n_tokens) OVER w, 0) AS spent, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS kept FROM docs d LEFT JOIN plan p USING (source)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -5,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.tokens import EOS, IGNORED, PAD
 from sparkloom.operators import corpus, dialogue, judging, mixture, packing, policy
+from sparkloom.plans import corpus_queries
+from sparkloom.sources import readers
 
 
 def docs(spark, n=300, seed=1, sources=("a", "b", "c")):
@@ -150,3 +153,31 @@ def test_advantages(spark):
 def test_length_buckets(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([920, 921, 1126, 1127, 18022, 18023])], "k bigint, n_tokens bigint")
     assert sorted((r.k, r.bucket) for r in corpus.length_buckets(df, 5, 1, "k").collect()) == [(1, 1024), (2, 1024), (4, 16384)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def by_sql(sql):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for name in ("orders", "lineitem", "conversations"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    return sorted(db.execute(sql).fetchall())
+
+
+def without(sql, *changes):
+    for old, new in changes:
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+def test_whole_sft_union(spark):
+    got = [tuple(r) for r in corpus_queries.QUERIES["sft_union_whole"](spark, SF).collect()]
+    sql = without(corpus_queries.SQL["sft_union"], (" WHERE o_orderkey % 10 = 0", ""), ("LIMIT 100)", "LIMIT 50000)"), ("LIMIT 150)", "LIMIT 30000)"))
+    assert sorted(r for r in got if r[0] != "synthetic") == by_sql(sql)
+    made = [r for r in got if r[0] == "synthetic"]
+    texts = {r.id: r.text.removeprefix("Question: ").split("\nAnswer: ") for r in readers.generated_problems(spark, 2_000).collect()}
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert sorted(made) == sorted(("synthetic", k, digest(f"Question: {q}\nAnswer: <REASON>"), digest(f"{a}</REASON>\n<ANSWER>{a.split(' = ')[1]}</ANSWER>")) for k, (q, a) in texts.items())
