@@ -74,10 +74,19 @@ def calc_annotations(spark, sf_dir):
     return _lines(spark, sf_dir).select("k", "idx", F.md5(text.annotations_to_calls(t)).alias("digest"))
 
 
-def word_problem_formats(spark, sf_dir):
+def _word_problem_formats(lines: DataFrame) -> DataFrame:
     q, p = F.col("q"), F.col("p")
     f = dialogue.word_problem(_fmt("How many ", p, "?"), _fmt("It is <<", q, "+", p, "=", q + p, ">>", q + p, " \n#### ", q + p))
-    return _lines(spark, sf_dir).where("k % 10 = 1").select("k", "idx", f.alias("f")).select("k", "idx", F.md5("f.pretrain").alias("pretrain"), F.md5("f.prompt").alias("prompt"), F.md5("f.target").alias("target"), F.md5("f.ask").alias("ask"), F.col("f.gold").alias("gold"))
+    return lines.select("k", "idx", f.alias("f")).select("k", "idx", F.md5("f.pretrain").alias("pretrain"), F.md5("f.prompt").alias("prompt"), F.md5("f.target").alias("target"), F.md5("f.ask").alias("ask"), F.col("f.gold").alias("gold"))
+
+
+def word_problem_formats(spark, sf_dir):
+    """A tenth of the orders, as its SQL has it; word_problem_formats_whole has all."""
+    return _word_problem_formats(_lines(spark, sf_dir).where("k % 10 = 1"))
+
+
+def word_problem_formats_whole(spark, sf_dir):
+    return _word_problem_formats(_lines(spark, sf_dir))
 
 
 def competition_formats(spark, sf_dir):
@@ -284,7 +293,7 @@ def instruction_filter(spark, sf_dir):
     return rows.where(~text.is_refusal(F.col("output"))).select("k", "output")
 
 
-QUERIES = {f.__name__: f for f in (extract_number_last, extract_number_first, hash_answer, boxed, calc_annotations, word_problem_formats, competition_formats, synthetic_formats, digit_split, digit_collapse, marker_split, round_trip, overflow_remap, equivalence, number_kinds, reward_parts, majority_vote, answer_histogram, best_of_n, vote_metrics, op_accuracy, running_accuracy, advantages_median, advantages_mean, clipped_loss, kl, full_loss, log_probs, topk_nucleus, mean_losses, column_addition, column_product, tool_calls, first_tool_call, tool_resolve, calculator_values, lr_schedule, param_count, plan_table, instruction_filter)}
+QUERIES = {f.__name__: f for f in (extract_number_last, extract_number_first, hash_answer, boxed, calc_annotations, word_problem_formats, word_problem_formats_whole, competition_formats, synthetic_formats, digit_split, digit_collapse, marker_split, round_trip, overflow_remap, equivalence, number_kinds, reward_parts, majority_vote, answer_histogram, best_of_n, vote_metrics, op_accuracy, running_accuracy, advantages_median, advantages_mean, clipped_loss, kl, full_loss, log_probs, topk_nucleus, mean_losses, column_addition, column_product, tool_calls, first_tool_call, tool_resolve, calculator_values, lr_schedule, param_count, plan_table, instruction_filter)}
 
 _SPACED = "array_to_string(string_split({}::VARCHAR, ''), ' ')"
 _VOTES = f"WITH {LINES}, c AS (SELECT k, (q % 5)::VARCHAR AS answer, count(*) AS votes, min(idx) AS first FROM lines GROUP BY 1, 2), v AS (SELECT k, answer, votes, sum(votes) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY votes DESC, first) AS r FROM c)"
@@ -345,3 +354,4 @@ SQL = {
 }
 for _k in ("boxed", "competition_formats"):
     SQL[_k] = SQL[_k].replace("{{", "{").replace("}}", "}")
+SQL["word_problem_formats_whole"] = SQL["word_problem_formats"].replace(" WHERE k % 10 = 1", "")

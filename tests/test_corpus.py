@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.tokens import EOS, IGNORED, PAD
 from sparkloom.operators import corpus, dialogue, judging, mixture, packing, policy
-from sparkloom.plans import corpus_queries
+from sparkloom.plans import corpus_queries, judge_queries
 from sparkloom.sources import readers
 
 
@@ -181,3 +181,10 @@ def test_whole_sft_union(spark):
     texts = {r.id: r.text.removeprefix("Question: ").split("\nAnswer: ") for r in readers.generated_problems(spark, 2_000).collect()}
     digest = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert sorted(made) == sorted(("synthetic", k, digest(f"Question: {q}\nAnswer: <REASON>"), digest(f"{a}</REASON>\n<ANSWER>{a.split(' = ')[1]}</ANSWER>")) for k, (q, a) in texts.items())
+
+
+def test_whole_word_problem_formats(spark):
+    got = [tuple(r) for r in judge_queries.QUERIES["word_problem_formats_whole"](spark, SF).collect()]
+    assert sorted(got) == by_sql(without(judge_queries.SQL["word_problem_formats"], (" WHERE k % 10 = 1", "")))
+    assert len(got) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert sorted(got) == by_sql(judge_queries.SQL["word_problem_formats_whole"])
