@@ -99,12 +99,21 @@ def legacy_rate(spark, sf_dir):
     return bigints(got, "examined", "rejected").withColumn("rejected_percent", F.round("rejected_percent", 6))
 
 
-def two_field_filter(spark, sf_dir):
+def _two_fields(spark, sf_dir, cap: int) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("role"), "text")
-    got = dialogue.problem_solution_rows(c, "key", "role", "text", 100)
+    got = dialogue.problem_solution_rows(c, "key", "role", "text", cap)
     return got.select("key", F.md5("text").alias("digest"))
 
 
+def two_field_filter(spark, sf_dir):
+    return _two_fields(spark, sf_dir, 100)
+
+
+def two_field_filter_whole(spark, sf_dir):
+    """With the reference's cap."""
+    return _two_fields(spark, sf_dir, 50_000)
+
+
 def _sharded(spark, sf_dir):
     return encoded(spark, sf_dir, False).withColumn("shard", F.floor(F.col("doc_id") / 100).cast("bigint"))
 
@@ -226,12 +235,21 @@ def sft_union_whole(spark, sf_dir):
     return _digested(synthetic.unionByName(_sft_branches(spark, sf_dir, table(spark, sf_dir, "orders"))))
 
 
-def trace_texts(spark, sf_dir):
+def _trace_texts(spark, sf_dir, *examined: int) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("problem"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("S").alias("solution"), F.col("o_orderstatus").alias("answer"))
-    return dialogue.trace_texts(rows, "key", 500).select("key", F.md5("text").alias("digest"))
+    return dialogue.trace_texts(rows, "key", *examined).select("key", F.md5("text").alias("digest"))
+
+
+def trace_texts(spark, sf_dir):
+    return _trace_texts(spark, sf_dir, 500)
+
+
+def trace_texts_whole(spark, sf_dir):
+    """With the reference's cap, which is the operator's own."""
+    return _trace_texts(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (source_stats, shard_stats, encode_stats, budget_mixture, budget_rows, estimated_cut, quality_take, legacy_filter_cap, legacy_rate, two_field_filter, holdout_split, holdout_difference, val_sample, shuffle_batches, token_offsets, pack_drop_tail, pack_resume, pack_pad_labels, pack_prompt_mask, shift_pairs, chunk_ids_rows, chunk_ids_both, row_bytes, turn_pairs, length_buckets, sample_per_source, ordered_union, sft_union, sft_union_whole, trace_texts)}
+QUERIES = {f.__name__: f for f in (source_stats, shard_stats, encode_stats, budget_mixture, budget_rows, estimated_cut, quality_take, legacy_filter_cap, legacy_rate, two_field_filter, two_field_filter_whole, holdout_split, holdout_difference, val_sample, shuffle_batches, token_offsets, pack_drop_tail, pack_resume, pack_pad_labels, pack_prompt_mask, shift_pairs, chunk_ids_rows, chunk_ids_both, row_bytes, turn_pairs, length_buckets, sample_per_source, ordered_union, sft_union, sft_union_whole, trace_texts, trace_texts_whole)}
 
 _BUDGET = f"""WITH {DOCS}, {PLAN_SQL}, run AS (SELECT d.doc_id, d.source, d.n_tokens, p.target, p.cap,
   coalesce(sum(d.n_tokens) OVER w, 0) AS spent, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS kept FROM docs d LEFT JOIN plan p USING (source)
@@ -289,3 +307,5 @@ SQL = {
      SELECT source, key, md5(prompt) AS prompt, md5(target) AS target FROM (SELECT * FROM a UNION ALL SELECT * FROM t UNION ALL SELECT * FROM d)""",
     "trace_texts": "WITH f AS (SELECT o_orderkey::BIGINT AS key, o_orderstatus AS st FROM orders ORDER BY o_orderkey LIMIT 500) SELECT key, md5('Problem: P' || key || chr(10) || chr(10) || 'Solution:' || chr(10) || 'S' || chr(10) || chr(10) || 'Answer: ' || st) AS digest FROM f WHERE key % 3 <> 0",
 }
+SQL["two_field_filter_whole"] = SQL["two_field_filter"].replace("LIMIT 100", "LIMIT 50000")
+SQL["trace_texts_whole"] = SQL["trace_texts"].replace("LIMIT 500", "LIMIT 50000")

@@ -158,11 +158,11 @@ def test_length_buckets(spark):
 SF = "/root/testdata/sf0.001"
 
 
-def by_sql(sql):
+def by_sql(sql, sf=SF):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
     for name in ("orders", "lineitem", "conversations"):
-        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return sorted(db.execute(sql).fetchall())
 
 
@@ -188,3 +188,11 @@ def test_whole_word_problem_formats(spark):
     assert sorted(got) == by_sql(without(judge_queries.SQL["word_problem_formats"], (" WHERE k % 10 = 1", "")))
     assert len(got) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert sorted(got) == by_sql(judge_queries.SQL["word_problem_formats_whole"])
+
+
+@pytest.mark.parametrize(("name", "limit"), [("trace_texts", 500), ("two_field_filter", 100)])
+def test_whole_caps(spark, name, limit):
+    sf = SF.replace("0.001", "0.01")
+    got = sorted(map(tuple, corpus_queries.QUERIES[f"{name}_whole"](spark, sf).collect()))
+    assert got == by_sql(without(corpus_queries.SQL[name], (f"LIMIT {limit}", "LIMIT 50000")), sf) == by_sql(corpus_queries.SQL[f"{name}_whole"], sf)
+    assert len(got) > limit
