@@ -13,7 +13,7 @@
 No key's members are gathered in one task: minima are partial aggregates and comparisons are joins.
 
 Defined cases: null text or no words: empty set, linked with nothing; fewer words than a shingle has: the whole sequence is the one
-shingle; rows that repeat an id share its result row by row; an empty table gives no row; other columns are left out.
+shingle; rows that repeat an id share its result if their sets are equal, and are documents of their own if not; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -105,6 +105,11 @@ def all_keys(sigs: np.ndarray, s: Settings) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    place = np.arange(1, len(shingles) + 1, dtype=U64)
+    return np.array([int(mix64(shingles * place + U64(k)).sum(dtype=U64)) for k in (11, 29)], dtype=U64).tobytes()
+
+
 def _digests(s: Settings) -> Callable:
     def run(batches):
         import pyarrow as pa
@@ -115,14 +120,12 @@ def _digests(s: Settings) -> Callable:
                 rows.append(row)
                 sizes.append(len(shingles))
                 if len(shingles):
-                    place = np.arange(1, len(shingles) + 1, dtype=U64)
-                    halves = [int(mix64(shingles * place + U64(k)).sum(dtype=U64)) for k in (11, 29)]
-                    digests.append(np.array(halves, dtype=U64).tobytes())
+                    digests.append(_digest(shingles))
                     sigs.append(signature(shingles, s.values).view(np.int64))
                 else:
                     digests.append(None)
                     sigs.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), batch.column(2).take(pa.array(rows))], ["doc_id", "n_shingles", "digest", "sig", "row"])
 
     return run
 
@@ -147,11 +150,12 @@ def _full_sets(words: int) -> Callable:
         import pyarrow as pa
 
         for batch in batches:
-            rows, sets = [], []
+            rows, sets, digests = [], [], []
             for row, shingles in shingle_sets(batch.column(1), words):
                 rows.append(row)
                 sets.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
+                digests.append(_digest(shingles) if len(shingles) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sets, pa.large_binary()).cast(pa.binary()), pa.array(digests, pa.binary())], ["first", "shingles", "digest"])
 
     return run
 
@@ -190,11 +194,24 @@ def _close_enough(s: Settings) -> Column:
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id is the component's)."""
+    return _found(docs, settings, id_col, text_col).drop("row")
+
+
+def _row(text_col: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(text_col)
+
+
+def _found(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """The rows of near_duplicates with the row's hash. A class is named by its smallest doc_id, or by its digest where rows of that doc_id are in
+    several classes."""
     s = settings
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = staged(texts.mapInArrow(_digests(s), "doc_id long, n_shingles long, digest binary, sig array<long>"), "members")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row(text_col).alias("row"))
+    members = staged(texts.mapInArrow(_digests(s), "doc_id long, n_shingles long, digest binary, sig array<long>, row long"), "members")
     named = members.where("digest is not null and doc_id is not null")
-    classes = staged(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min("sig").alias("sig")), "classes")
+    split = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select(F.col("doc_id").alias("first"), F.lit(True).alias("split"))
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.min("sig").alias("sig"))
+    classes = staged(classes.join(staged(split, "split"), "first", "left").select("digest", F.when(F.col("split"), F.xxhash64("digest")).otherwise(F.col("first")).alias("id"), "first", "size", "sig"), "classes")
 
     keys = classes.select("id", "sig").mapInArrow(_emit_keys(s), "key long, id long")
     leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
@@ -202,8 +219,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = texts.join(ends, "doc_id", "left_semi").mapInArrow(_full_sets(s.words), "id long, shingles binary").dropDuplicates(["id"])
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "first", "digest"), "id")
+        read = texts.join(ends.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_full_sets(s.words), "first long, shingles binary, digest binary")
+        sets = read.dropDuplicates(["first", "digest"]).join(ends, ["first", "digest"]).select("id", "shingles")
         left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return staged(both.mapInArrow(_confirm(s.percent), "a long, b long"), "links")
@@ -239,17 +257,20 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     links = links.union(confirmed(pairs))
     final = staged(connected_components(links), "parts")
 
-    of_class = classes.join(final, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
+    placed = staged(classes.join(final, F.col("id") == F.col("node"), "left").select("digest", "id", "first", F.coalesce("component", "id").alias("part")), "placed")
+    renamed = placed.where("id <> first").select("part").distinct()
+    least = staged(placed.join(renamed, "part", "left_semi").groupBy("part").agg(F.min("first").alias("least")), "least")
+    of_class = placed.join(least, "part", "left").select("digest", F.coalesce("least", "part").alias("component"))
     out = members.join(of_class, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row")
 
 
 def keep_first(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that no smaller document of their component stands for; rows that repeat an id, or have none, stay."""
-    found = near_duplicates(docs, settings, id_col)
-    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of docs that no smaller document of their component stands for; rows that repeat its id, or have none, stay."""
+    found = _found(docs, settings, id_col, "text")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("_id")) & (_row("text") == F.col("_row")), "left_anti").select(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

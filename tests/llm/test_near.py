@@ -159,3 +159,16 @@ def test_no_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
     got = vector_dedup.near_vectors(spark.createDataFrame([(1, None), (None, [1.0])], "vec_id bigint, embedding array<float>")).collect()
     assert sorted((r.vec_id or 0, r.n_links) for r in got) == [(0, 0), (1, 0)]
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    a, b, c, d = (" ".join(rng.sample(words, 80)) for _ in range(4))
+    # 5 has a copy of 2's text and one of its own; 7 shares an id with a near copy of 3's and with an original that 9 nearly copies; 3 and 2 are apart.
+    rows = [(2, a), (5, a), (5, b), (3, c), (7, c + " more"), (7, d), (9, d + " more"), (5, b), (8, b + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.text) for r in near_dedup.keep_first(docs).collect()}
+    assert got == {(2, a), (5, b), (3, c), (7, d)} and near_dedup.keep_first(docs).count() == 5
+    parts = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert parts == sorted([(2, 2, True), (5, 2, False), (5, 5, True), (5, 5, True), (8, 5, False), (3, 3, True), (7, 3, False), (7, 7, True), (9, 7, False)])
