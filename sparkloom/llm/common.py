@@ -38,7 +38,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: a lineage cut that survives lost executors."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what staged() wrote for these, which nothing reads any more."""
+    for df in frames:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def let(value: Column, body) -> Column:

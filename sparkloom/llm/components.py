@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import staged
+from sparkloom.llm.common import discard, staged
 
 MAX_ROUNDS = 60
 SMALL = 250_000  # links that one task may hold: some 30 MB
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        links = staged(_star(_star(links, True), False), "links")
+        last, links = links, staged(_star(_star(links, True), False), "links")
+        discard(last)
         after = _state(links)
         if after == before:
             break

@@ -3,14 +3,18 @@
 1. Each document's set of distinct word shingles gives a digest, which collapses equal sets into classes, and a signature of MinHash
    values of 8 bits. The signature distance is the number of values that differ.
 2. The signature is cut into chunks. Chunk i may differ in errors[i] values; a key is a chunk with that many of its values left out, for
-   every choice of them. Two signatures at distance less than sum(errors[i] + 1) agree in some key, by the pigeonhole principle: none
-   under that distance is missed. At similarity 0.8 exactly, a pair shares no key with probability 7e-5; above it, less.
+   every choice of them. Two signatures at distance less than sum(errors[i] + 1) = 27 agree in some key, by the pigeonhole principle: none
+   under that distance is missed. The guarantee ends there: a pair at similarity 0.8 exactly differs in 28.7 values on average, and shares
+   no key with probability 7e-5; above it, less.
 3. Every member of a key is compared with the key's smallest class; links found are confirmed on the full sets. What is then connected is
-   one component, so a key whose members all are needs no more comparison, however many there are. Keys that still hold several components
-   are compared with a few of their members, by hash, in some more turns. In those that hold several even then, members of different
-   components meet, all of them, under a test of signatures and set sizes, and what passes is confirmed on full sets.
+   one component, so a key whose members all are needs no more comparison, however many there are. Of the keys that still hold several
+   components, those with many members are compared with a few of them, by hash, once more.
+4. What then still shares a key with another component is compared in blocks: the documents that such keys connect are a family, a family
+   is dealt into blocks of bounded size, and each pair of blocks is one task's work on full sets, which gives a forest of the links
+   found. A document's set goes to each pair of blocks once, and no pair of documents is ever a row. A family of more than `family`
+   documents is compared by key instead.
 
-No key's members are gathered in one task: minima are partial aggregates and comparisons are joins.
+No key's or family's members are gathered in one task: minima are partial aggregates, comparisons are joins or pairs of blocks.
 
 Defined cases: null text or no words: empty set, linked with nothing; fewer words than a shingle has: the whole sequence is the one
 shingle; rows that repeat an id share its result if their sets are equal, and are documents of their own if not; an empty table gives no row; other columns are left out.
@@ -26,15 +30,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, mix64, staged, table, text_chunks, word_hashes
+from sparkloom.llm.common import U64, discard, mix64, staged, table, text_chunks, word_hashes
 from sparkloom.llm.components import connected_components
 
 
 @dataclass(frozen=True)
 class Settings:
     """similarity: least share of shingles in common, in percent; words: per shingle; errors: values that may differ, by chunk;
-    chunk: values of one; turns, leaders: how often, and with how many of its members, a key's members are compared before all pairs of components
-    are; doubt: greatest signature distance that is worth a look at the full sets (at 0.8 five standard deviations off)."""
+    chunk: values of one; turns, leaders: how often, and with how many of its members, those of a key with more than block members are compared
+    before they are in blocks; doubt: greatest signature distance of a member from a leader that is worth a look at the full sets (at 0.8 five
+    standard deviations off); block, mass: documents and shingles of a block; family: documents of one that are compared as a whole."""
 
     words: int = 5
     percent: int = 80
@@ -43,6 +48,9 @@ class Settings:
     doubt: int = 53
     turns: int = 1
     leaders: int = 8
+    block: int = 2048
+    mass: int = 1 << 20
+    family: int = 1 << 15
 
     @property
     def values(self) -> int:
@@ -165,11 +173,11 @@ def _confirm(percent: int) -> Callable:
         import pyarrow as pa
 
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             ok = []
-            for x, y in zip(a, b, strict=True):
-                p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(p) + len(q) - len(np.union1d(p, q)) if len(p) and len(q) else 0
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                merged = np.sort(np.concatenate([p, q]), kind="stable")
+                both = int((merged[1:] == merged[:-1]).sum())
                 ok.append(bool(both) and 100 * both >= percent * (len(p) + len(q) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
@@ -192,6 +200,120 @@ def _close_enough(s: Settings) -> Column:
     return (100 * F.least(p, q) >= s.percent * F.greatest(p, q)) & (total <= s.doubt)
 
 
+def _groups(mixed: DataFrame, s: Settings) -> DataFrame:
+    """(group, id, part): documents that must be compared with all of their group. A group is a family, the documents that mixed keys
+    connect; where a family has more than s.family documents, each of its keys is a group."""
+    heads = mixed.groupBy("key").agg(F.min("id").alias("head"))
+    linked = connected_components(mixed.join(heads, "key").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+    linked = staged(linked, "families")
+    wide = linked.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > s.family).select("component")
+    placed = mixed.join(linked, F.col("id") == F.col("node"), "left").join(wide.withColumn("wide", F.lit(True)), "component", "left")
+    return placed.select(F.when(F.col("wide"), F.xxhash64("key")).otherwise(F.xxhash64("component", F.lit(0))).alias("group"), "id", "part").distinct()
+
+
+def _links_in_blocks(mixed: DataFrame, sizes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links between the parts of each group, as a forest. A group is dealt by hash into blocks of about s.block documents and s.mass
+    shingles; a pair of blocks is one piece of work and gives fewer rows than it has documents, however many pairs are alike."""
+    group = staged(_groups(mixed, s).join(sizes, "id"), "groups")
+    blocks = group.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("mass"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
+    blocks = blocks.select("group", F.greatest(F.ceil(F.col("n") / s.block), F.ceil(F.col("mass") / s.mass)).cast("int").alias("blocks"))
+    placed = group.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
+    dealt = placed.select("group", "id", "part", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("group", "id", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
+    work = dealt.join(sets, "id").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "second")
+    out = staged(work.select("group", "x", "y", "second", "id", "part", "shingles").mapInArrow(_compare_blocks(s.percent), "a long, b long"), "links")
+    discard(group)
+    return out
+
+
+COLUMNS = 2048  # of shingles that a matrix product takes at a time
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of x has in common with each of y. Shingles that many of y hold are counted by matrix products, the others
+    by their lists of holders."""
+    every, place = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    cut = sum(map(len, x))
+    row_x, row_y = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.repeat(np.arange(len(y)), [len(v) for v in y])
+    at_x, at_y = place[:cut], place[cut:]
+    held = np.bincount(at_y, minlength=len(every))
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    often = held > max(8, len(y) // 32)
+    number = np.cumsum(often) - 1
+    for low in range(0, int(often.sum()), COLUMNS):
+        sides = []
+        for rows, at, n in ((row_x, at_x, len(x)), (row_y, at_y, len(y))):
+            take = often[at] & (number[at] >= low) & (number[at] < low + COLUMNS)
+            m = np.zeros((n, COLUMNS), dtype=np.float32)
+            m[rows[take], number[at[take]] - low] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    seldom = ~often[at_y]
+    order = np.argsort(at_y[seldom], kind="stable")
+    holders, held = row_y[seldom][order], np.where(often, 0, held)
+    starts = np.cumsum(held) - held
+    few = held[at_x] > 0
+    row_x, at_x = row_x[few], at_x[few]
+    for low in range(0, len(at_x), 1 << 16):  # each entry has few holders
+        rows, at = row_x[low : low + (1 << 16)], at_x[low : low + (1 << 16)]
+        n = held[at]
+        ends = np.cumsum(n)
+        which = np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1])
+        first, last = rows[0], rows[-1] + 1
+        cells = np.bincount((np.repeat(rows, n) - first) * len(y) + holders[which], minlength=(last - first) * len(y))
+        out[first:last] += cells.reshape(last - first, len(y))
+    return out
+
+
+def forest_of_links(ids, parts, sets, second, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what links between documents of different parts connect. second: which are of the second block; a pair has one of
+    each, or any two where there is no second block."""
+    one, two = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(ids)),) * 2
+    if not len(one) or (parts == parts[0]).all():
+        return []
+    sizes = np.array([len(v) for v in sets])
+    both = common_counts([sets[i] for i in one], [sets[i] for i in two])
+    linked = (100 * both >= percent * (sizes[one][:, None] + sizes[two][None, :] - both)) & (parts[one][:, None] != parts[two][None, :])
+    label = np.unique(parts, return_inverse=True)[1]
+    out = []
+    for r in np.flatnonzero(linked.any(axis=1)):
+        i = one[r]
+        to = two[linked[r]]
+        _, first = np.unique(label[to], return_index=True)
+        for j in to[first]:
+            if label[j] != label[i]:
+                out.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _compare_blocks(percent: int) -> Callable:
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[tuple] = []
+        now = None
+
+        def done():
+            ids, parts, second, sets = zip(*held, strict=True)
+            found = forest_of_links(np.array(ids), np.array(parts), list(sets), np.array(second), percent)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            second, ids, parts = (batch.column(k).to_pylist() for k in range(3, 6))
+            for k, key in enumerate(keys):
+                if key != now and held:
+                    yield done()
+                now = key
+                held.append((ids[k], parts[k], second[k], np.frombuffer(batch.column(6)[k].as_py(), U64)))
+        if held:
+            yield done()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id is the component's)."""
     return _found(docs, settings, id_col, text_col).drop("row")
@@ -214,17 +336,21 @@ def _found(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> D
     classes = staged(classes.join(staged(split, "split"), "first", "left").select("digest", F.when(F.col("split"), F.xxhash64("digest")).otherwise(F.col("first")).alias("id"), "first", "size", "sig"), "classes")
 
     keys = classes.select("id", "sig").mapInArrow(_emit_keys(s), "key long, id long")
-    leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader", "n")
     shared = staged(keys.join(leaders, "key"), "keys")
+    # One pass over the texts gives the full sets of all documents that share a key with another.
+    sharing = shared.select("id").distinct().join(classes.select("id", "first", "digest"), "id")
+    sharing = staged(sharing, "sharing")
+    read = texts.join(sharing.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_full_sets(s.words), "first long, shingles binary, digest binary")
+    sets = staged(read.join(sharing, ["first", "digest"]).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "first", "digest"), "id")
-        read = texts.join(ends.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_full_sets(s.words), "first long, shingles binary, digest binary")
-        sets = read.dropDuplicates(["first", "digest"]).join(ends, ["first", "digest"]).select("id", "shingles")
         left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+        pairs = staged(pairs, "pairs")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return staged(both.mapInArrow(_confirm(s.percent), "a long, b long"), "links")
+        out = staged(both.mapInArrow(_confirm(s.percent), "a long, b long"), "links")
+        discard(pairs)
+        return out
 
     known = classes.select("id", "size", "sig")
     close = _close_enough(s)
@@ -234,28 +360,27 @@ def _found(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> D
         return pairs.distinct().join(p, F.col("a") == F.col("p.id")).join(q, F.col("b") == F.col("q.id")).where(close).select("a", "b")
 
     def still_mixed(parts: DataFrame) -> DataFrame:
-        """(key, id, part) of the keys whose members are of several components."""
-        placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+        """(key, id, part, n) of the keys whose members are of several components."""
+        placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
         mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("key")
-        return placed.join(mixed, "key")
+        return staged(placed.join(mixed, "key"), "mixed")
 
     links = confirmed(worth_a_look(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))))
     parts = staged(connected_components(links), "parts")
+    mixed = still_mixed(parts)
     for turn in range(s.turns):
-        mixed = staged(still_mixed(parts), "mixed")
-        if mixed.isEmpty():
+        large = mixed.where(F.col("n") > s.block)
+        if large.isEmpty():
             break
-        leaders = mixed.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * s.leaders + k)).alias("at"), F.col("id").alias("to"), F.col("part").alias("of"))).alias(f"l{k}") for k in range(s.leaders)])
-        met = mixed.join(leaders, "key").select("id", "part", F.explode(F.array(*[f"l{k}" for k in range(s.leaders)])).alias("l")).where("part <> l.of")
+        leaders = large.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * s.leaders + k)).alias("at"), F.col("id").alias("to"), F.col("part").alias("of"))).alias(f"l{k}") for k in range(s.leaders)])
+        met = large.join(leaders, "key").select("id", "part", F.explode(F.array(*[f"l{k}" for k in range(s.leaders)])).alias("l")).where("part <> l.of")
         links = links.union(confirmed(worth_a_look(met.select(F.least("id", "l.to").alias("a"), F.greatest("id", "l.to").alias("b")))))
         parts = staged(connected_components(links), "parts")
-
-    rest = staged(still_mixed(parts).join(known, "id").select("key", "id", "part", "size", "sig"), "rest")
-    p, q = rest.alias("p"), rest.alias("q")
-    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.part") < F.col("q.part")) & close
-    pairs = p.join(q, across).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    links = links.union(confirmed(pairs))
+        discard(mixed)
+        mixed = still_mixed(parts)
+    links = links.union(_links_in_blocks(mixed, classes.select("id", "size"), sets, s))
     final = staged(connected_components(links), "parts")
+    discard(shared, sharing, sets, mixed, parts)
 
     placed = staged(classes.join(final, F.col("id") == F.col("node"), "left").select("digest", "id", "first", F.coalesce("component", "id").alias("part")), "placed")
     renamed = placed.where("id <> first").select("part").distinct()

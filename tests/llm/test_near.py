@@ -172,3 +172,40 @@ def test_ids_that_repeat_with_other_texts(spark):
     assert got == {(2, a), (5, b), (3, c), (7, d)} and near_dedup.keep_first(docs).count() == 5
     parts = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
     assert parts == sorted([(2, 2, True), (5, 2, False), (5, 5, True), (5, 5, True), (8, 5, False), (3, 3, True), (7, 3, False), (7, 7, True), (9, 7, False)])
+
+
+@pytest.mark.parametrize("family", [0, 1 << 15])
+def test_families_in_blocks(spark, family):
+    """One family of near copies that fall into many components, in small blocks, as a whole and by key."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = []
+    for _ in range(90):
+        w = list(rng.choice(texts[-6:])) if texts and rng.random() < 0.4 else list(base)
+        for _ in range(rng.choice([1, 6, 9, 12])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(w)
+    rows = [(3 * i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    expected = components(list(sets), linked)
+    assert 5 < len(set(expected.values())) < 80
+    settings = near_dedup.Settings(words=2, block=8, mass=1500, family=family)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), settings).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    x, y = ([np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(0, 4000, n)]).astype(np.uint64)) for n in rng.integers(0, 90, k)] for k in (37, 52))
+    got = near_dedup.common_counts([*x, x[0][:0]], y)
+    assert (got[:-1] == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all() and not got[-1].any()
+
+
+def test_a_link_of_an_id_that_repeats(spark):
+    rng = random.Random(12)
+    w, v = ([rng.choice("abcdefghijklmnop") + str(rng.randrange(999)) for _ in range(60)] for _ in range(2))
+    rows = [(5, " ".join(w)), (5, " ".join(v)), (9, " ".join([*w, "x"])), (11, " ".join([*v, "y"]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in got} == {5} and len(got) == 4
