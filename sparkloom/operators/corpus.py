@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from sparkloom.operators.mixture import seeded
+from sparkloom.operators.mixture import range_of, seeded
 
 BUCKETS = (1024, 2048, 4096, 8192, 16384)
 
@@ -25,18 +26,17 @@ def source_stats(df: DataFrame) -> DataFrame:
     return df.rollup("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
 
 
-def with_position(df: DataFrame, order: str, weight: str | None = None, ranges: int = 64) -> DataFrame:
-    """Adds `position`: the rows before (or the sum of their weights), in the order of a unique key. Rows are dealt into ranges of the key; the
-    ranges' totals, a fixed number of rows, give each its base; the running sum is within a range. No task sees the table."""
-    w = F.lit(1) if weight is None else F.col(weight)
-    bounds = sorted(set(df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []))
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + (F.col(order) >= F.lit(b)).cast("int")
-    ranged = df.withColumn("_range", bucket)
+def with_position(df: DataFrame, order: str, weight: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Adds `position`: the rows before (or the sum of their weights), in the order of a key: nulls first, and among equal keys by weight, then by a
+    hash of the plain columns. Rows are dealt into ranges of the key; the ranges' totals, a number of rows that doesn't grow with the table's,
+    give each its base; the running sum is within a range. No task sees the table."""
+    w = F.lit(1) if weight is None else F.coalesce(F.col(weight), F.lit(0))
+    ranged = df.withColumn("_range", range_of(df, order, ranges))
     totals = ranged.groupBy("_range").agg(F.sum(w).alias("_w"))
     base = totals.select("_range", F.coalesce(F.sum("_w").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    before = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    plain = [f.name for f in df.schema if isinstance(f.dataType, AtomicType)]
+    ties = [w, F.xxhash64(*plain)] if plain else [w]
+    before = W.partitionBy("_range").orderBy(order, *ties[weight is None :]).rowsBetween(W.unboundedPreceding, -1)
     return ranged.join(F.broadcast(base), "_range").withColumn("position", (F.col("_base") + F.coalesce(F.sum(w).over(before), F.lit(0))).cast("bigint")).drop("_range", "_base")
 
 

@@ -64,24 +64,33 @@ def legacy_rate(df: DataFrame, code: str = "code") -> DataFrame:
     return rows.agg(F.count("*").alias("examined"), F.count_if(is_legacy_code(F.col(code))).alias("rejected")).withColumn("rejected_percent", 100.0 * F.col("rejected") / F.greatest("examined", F.lit(1)))
 
 
+def range_of(df: DataFrame, order: str, ranges: int | None = None) -> Column:
+    """Number of the range of `order` that a row is in, of about as many rows each; nulls are in the first, as they sort first. There are as many
+    ranges as shuffle partitions, 64 at least, so that a range stays one task's work as tables and clusters grow; bounds are found in a literal
+    array by bisection."""
+    n = ranges or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] or []))
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    held = F.array(*[F.lit(b) for b in bounds])
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, step: F.when(F.get(held, i + step - 1) <= F.col(order), i + step).otherwise(i))
+    return F.when(F.col(order).isNull(), 0).otherwise(found)
+
+
 def plan_table(spark: SparkSession, plan: dict[str, tuple[int, int]]) -> DataFrame:
     """source, target, cap: a few rows, one for each source that is planned."""
     return spark.createDataFrame([(s, t, c) for s, (t, c) in plan.items()], "source string, target bigint, cap bigint")
 
 
-def budget_cut(df: DataFrame, plan: DataFrame, order: str, tokens: str = "n_tokens", buckets: int = 64) -> DataFrame:
+def budget_cut(df: DataFrame, plan: DataFrame, order: str, tokens: str = "n_tokens", buckets: int | None = None) -> DataFrame:
     """Per source: rows in order while the tokens before them are under the target and the rows before them under the cap; the row that
-    crosses the target stays. Sources without a plan pass whole.
+    crosses the target stays. Sources without a plan pass whole. Null keys come first.
 
     Both conditions are monotone, so the kept rows are a prefix. A source may hold a third of all rows, so none is sorted by one task: rows
     are dealt into ranges of the order within the source, ranges' totals give each its base, and only within a range is there a window."""
     planned = df.join(F.broadcast(plan), "source", "left")
-    bounds = df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
-    # Bounds are a fixed number of values; ranges are of the whole table, so a source is spread over as many tasks as it has rows in ranges.
-    bucket = F.lit(0)
-    for b in sorted(set(bounds)):
-        bucket = bucket + (F.col(order) >= F.lit(b)).cast("int")
-    ranged = planned.withColumn("_range", bucket)
+    ranged = planned.withColumn("_range", range_of(df, order, buckets))
     totals = ranged.where("target is not null").groupBy("source", "_range").agg(F.sum(tokens).alias("_t"), F.count("*").alias("_c"))
     before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select("source", "_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))

@@ -9,10 +9,11 @@ from sparkloom.functions.tokens import IGNORED
 from sparkloom.operators.corpus import with_position
 
 
-def sequences(df: DataFrame, order: str, length: int, arrays: list[str], skip: int = 0) -> DataFrame:
+def sequences(df: DataFrame, order: str, length: int, arrays: list[str], skip: int = 0, size: Column | None = None) -> DataFrame:
     """chunk_id and, for each of the equally long arrays, its part of every sequence; the last may be short. Documents are cut into slices at
-    multiples of the length and only slices move, so a token is never a row. Chunks before `skip` are not built."""
-    sized = df.withColumn("_n", F.size(arrays[0])).where("_n > 0")
+    multiples of the length and only slices move, so a token is never a row. Chunks before `skip` are not built. size: how long the arrays are, where that is known without
+    building them; bounds and totals of positions then read no array, and each array is built once."""
+    sized = df.withColumn("_n", F.size(arrays[0]) if size is None else size.cast("int")).where("_n > 0")
     placed = with_position(sized, order, "_n")
     first, last = F.floor(F.col("position") / length), F.floor((F.col("position") + F.col("_n") - 1) / length)
     cut = placed.where(last >= skip).select("position", "_n", *arrays, F.explode(F.sequence(F.greatest(first, F.lit(skip)), last)).alias("chunk_id"))
@@ -23,10 +24,15 @@ def sequences(df: DataFrame, order: str, length: int, arrays: list[str], skip: i
     return joined.select("chunk_id", *[F.flatten(F.col(f"p.{a}")).alias(a) for a in arrays])
 
 
-def pack_drop_tail(df: DataFrame, order: str, length: int, end_id: int | None, ids: str = "tokens", skip: int = 0) -> DataFrame:
-    """chunk_id, input_ids: documents with an end id each; an incomplete last sequence goes. No end id counts as 0."""
+def _count(n_ids: str | None) -> list[Column]:
+    return [F.col(n_ids).alias("_ids")] if n_ids else []
+
+
+def pack_drop_tail(df: DataFrame, order: str, length: int, end_id: int | None, ids: str = "tokens", skip: int = 0, n_ids: str | None = None) -> DataFrame:
+    """chunk_id, input_ids: documents with an end id each; an incomplete last sequence goes. No end id counts as 0. n_ids: a column with the number
+    of ids, where there is one."""
     ended = df.withColumn("input_ids", F.concat(F.col(ids), F.array(F.lit(end_id or 0))))
-    return sequences(ended.select(order, "input_ids"), order, length, ["input_ids"], skip).where(F.size("input_ids") == length)
+    return sequences(ended.select(order, "input_ids", *_count(n_ids)), order, length, ["input_ids"], skip, F.col("_ids") + 1 if n_ids else None).where(F.size("input_ids") == length)
 
 
 def masked(ids: Column, pad: int) -> Column:
@@ -34,10 +40,10 @@ def masked(ids: Column, pad: int) -> Column:
     return F.transform(ids, lambda i: F.when(i == pad, IGNORED).otherwise(i))
 
 
-def pack_pad_tail(df: DataFrame, order: str, length: int, end_id: int, pad: int, ids: str = "tokens", append_end: bool = True) -> DataFrame:
-    """chunk_id, input_ids, labels; the last sequence is padded."""
+def pack_pad_tail(df: DataFrame, order: str, length: int, end_id: int, pad: int, ids: str = "tokens", append_end: bool = True, n_ids: str | None = None) -> DataFrame:
+    """chunk_id, input_ids, labels; the last sequence is padded. n_ids: a column with the number of ids, where there is one."""
     ended = df.withColumn("input_ids", F.concat(F.col(ids), F.array(F.lit(end_id))) if append_end else F.col(ids))
-    packed = sequences(ended.select(order, "input_ids"), order, length, ["input_ids"])
+    packed = sequences(ended.select(order, "input_ids", *_count(n_ids)), order, length, ["input_ids"], size=F.col("_ids") + int(append_end) if n_ids else None)
     full = packed.select("chunk_id", F.concat("input_ids", F.array_repeat(F.lit(pad), F.lit(length) - F.size("input_ids"))).alias("input_ids"))
     return full.withColumn("labels", masked(F.col("input_ids"), pad))
 

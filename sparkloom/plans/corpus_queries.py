@@ -146,15 +146,15 @@ def _packed(df):
 
 
 def pack_drop_tail(spark, sf_dir):
-    return _packed(packing.pack_drop_tail(encoded(spark, sf_dir), "doc_id", LENGTH, EOS))
+    return _packed(packing.pack_drop_tail(encoded(spark, sf_dir), "doc_id", LENGTH, EOS, n_ids="n_tokens"))
 
 
 def pack_resume(spark, sf_dir):
-    return _packed(packing.pack_drop_tail(encoded(spark, sf_dir), "doc_id", LENGTH, None, skip=100))
+    return _packed(packing.pack_drop_tail(encoded(spark, sf_dir), "doc_id", LENGTH, None, skip=100, n_ids="n_tokens"))
 
 
 def pack_pad_labels(spark, sf_dir):
-    got = packing.pack_pad_tail(encoded(spark, sf_dir), "doc_id", LENGTH, EOS, PAD)
+    got = packing.pack_pad_tail(encoded(spark, sf_dir), "doc_id", LENGTH, EOS, PAD, n_ids="n_tokens")
     return got.select("chunk_id", F.size("input_ids").cast("bigint").alias("n"), joined(F.col("input_ids")).alias("digest"), joined(F.col("labels")).alias("labels"))
 
 
@@ -174,7 +174,7 @@ def pack_prompt_mask(spark, sf_dir):
 
 
 def shift_pairs(spark, sf_dir):
-    got = packing.pack_drop_tail(encoded(spark, sf_dir), "doc_id", LENGTH, EOS).select("chunk_id", next_token_pair(F.col("input_ids")).alias("p"))
+    got = packing.pack_drop_tail(encoded(spark, sf_dir), "doc_id", LENGTH, EOS, n_ids="n_tokens").select("chunk_id", next_token_pair(F.col("input_ids")).alias("p"))
     return got.select("chunk_id", joined(F.col("p.inputs")).alias("inputs"), joined(F.col("p.labels")).alias("labels"))
 
 

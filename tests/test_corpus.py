@@ -196,3 +196,22 @@ def test_whole_caps(spark, name, limit):
     got = sorted(map(tuple, corpus_queries.QUERIES[f"{name}_whole"](spark, sf).collect()))
     assert got == by_sql(without(corpus_queries.SQL[name], (f"LIMIT {limit}", "LIMIT 50000")), sf) == by_sql(corpus_queries.SQL[f"{name}_whole"], sf)
     assert len(got) > limit
+
+
+def test_positions_of_null_and_equal_keys(spark):
+    rows = [(None, 5), (3, 2), (1, 7), (3, 2), (None, 1), (9, None)] + [(k, 1) for k in range(20, 60)]
+    df = spark.createDataFrame(rows, "k bigint, w bigint").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or 0))
+    expected, at = [], 0
+    for k, w in order:
+        expected.append((k, w, at))
+        at += w or 0
+    got = corpus.with_position(df, "k", "w", 7).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+    assert sorted(r.position for r in corpus.with_position(df, "k").collect()) == list(range(len(rows)))
+
+
+def test_budget_keeps_rows_with_a_null_key(spark):
+    df = spark.createDataFrame([(None, "a", 4), (1, "a", 4), (2, "a", 4), (None, "b", 1), (None, None, 2)], "k bigint, source string, n_tokens bigint")
+    got = mixture.budget_cut(df, mixture.plan_table(spark, {"a": (5, 10)}), "k").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, "a", 4), (1, "a", 4), (None, "b", 1), (None, None, 2)], key=str)
