@@ -95,16 +95,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of several texts laid end to end.
 
     buf: their UTF-8 bytes; bounds: where each text starts, and the end. A-Z count as a-z, words are runs of bytes other than
-    space, tab, LF, VT, FF and CR. Returns the hashes, each word's first byte, and for each text the index of its first word
+    space, tab, LF, VT, FF and CR. Returns the hashes, each word's first byte and its end, and for each text the index of its first word
     (with the number of words at the end).
     """
     n = len(buf)
     if n == 0:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     low = _LOWER[buf]
     space = _SPACE[low]
     first = ~space
@@ -124,7 +124,13 @@ def word_hashes(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     acc[0] = 0
     np.cumsum(_BYTE_CODE[low] * p[:n], out=acc[1:])
     h = (acc[ends] - acc[starts]) * inv[starts]
-    return mix64(h + (ends - starts).astype(U64)), starts, np.searchsorted(starts, bounds)
+    return mix64(h + (ends - starts).astype(U64)), starts, ends, np.searchsorted(starts, bounds)
+
+
+def word_hashes(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_spans without the ends."""
+    h, starts, _, first = word_spans(buf, bounds)
+    return h, starts, first
 
 
 def text_chunks(column, max_bytes: int = 1 << 21):
