@@ -29,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the cluster's spark.checkpoint.dir; where that is unset (tests, local mode), in a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
+    """A new folder in the cluster's spark.checkpoint.dir; where that is unset, in a temporary one in local mode (tests), and an error elsewhere."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sparkloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
