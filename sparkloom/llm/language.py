@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import _LOWER, crc32_of_id, table, text_chunks
 
 SAMPLE_PER_LANGUAGE = 3000
+SALTS = 61
 TABLE = 1 << 16
 SWITCH = 12.0
 MIN_SCRIPT_SHARE = 0.01
@@ -141,8 +142,12 @@ def _count(batches):
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Counts are summed by Spark; what reaches the driver has at most TABLE + 32 rows a language."""
-    rank = F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(order_col), F.col(order_col)))
-    keys = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(order_col, lang_col).withColumn("_rank", rank).where(F.col("_rank") <= per_language).select(order_col).distinct()
+    by = [F.xxhash64(order_col), F.col(order_col)]
+    # A language may hold a third of all rows: first by language and salt, then among what is left of each salt.
+    keys = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(order_col, lang_col).withColumn("_salt", F.pmod(F.xxhash64(order_col, F.lit(1)), F.lit(SALTS)))
+    for group in ([lang_col, "_salt"], [lang_col]):
+        keys = keys.withColumn("_rank", F.row_number().over(W.partitionBy(*group).orderBy(*by))).where(F.col("_rank") <= per_language).drop("_rank")
+    keys = keys.select(order_col).distinct()
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).join(keys, order_col, "left_semi").select(F.col(text_col), F.col(lang_col))
     sums = rows.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(sums["lang"]))
@@ -173,11 +178,11 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     sizes = np.diff(first)
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
-    labels = np.zeros(n, dtype=np.int8)
+    labels = np.zeros(n, dtype=np.int16)
     if not len(order):
         return labels
     heads, lengths = first[:-1][order], sizes[order]
-    best_before = np.zeros(n, dtype=np.int8)
+    best_before = np.zeros(n, dtype=np.int16)
     kept = np.zeros((n, languages), dtype=bool)
     state = scores[heads].copy()
     longest = int(lengths[0])
@@ -191,7 +196,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
         best_before[words] = top
         kept[words] = now >= high
         state[:m] = np.maximum(now, high) + scores[words]
-    label = state.argmax(axis=1).astype(np.int8)
+    label = state.argmax(axis=1).astype(np.int16)
     for t in range(longest - 1, -1, -1):
         m = live[t]
         words = heads[:m] + t

@@ -209,3 +209,14 @@ def test_a_link_of_an_id_that_repeats(spark):
     rows = [(5, " ".join(w)), (5, " ".join(v)), (9, " ".join([*w, "x"])), (11, " ".join([*v, "y"]))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.component_id for r in got} == {5} and len(got) == 4
+
+
+def test_vectors_of_a_close_threshold_and_at_it(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(20, 8))
+    rows = [(i, (b + rng.normal(size=8) * s).tolist()) for i, (b, s) in enumerate([(b, s) for b in base for s in (0, 0.001, 0.01)])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), cosine=0.99995).collect()}
+    assert got == brute_vectors(rows, 0.99995)
+    tie = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 1.0, 1.0, 1.0]), (3, [1.0, -1.0, -1.0, -1.0])]  # 0.5 exactly, and -0.5
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(spark.createDataFrame(tie, "vec_id bigint, embedding array<float>"), cosine=0.5).collect()}
+    assert got == {1: (2, 1), 2: (1, 1), 3: (1, 1)}

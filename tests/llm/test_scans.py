@@ -98,6 +98,29 @@ def test_language_edge_cases(spark, labelled):
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_many_languages_and_ties(spark):
+    names = [f"l{k:03d}" for k in range(140)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: letters[k % 26] * 3 + letters[k // 26] * 3 + letters[(k * 7) % 26] * 2
+    rows = [(k, " ".join([word(k)] * 20), name) for k, name in enumerate(names)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()} == dict(enumerate(names))
+    twins = [(1, "aaa bbb", "y"), (2, "aaa bbb", "x")]
+    model = language.fit(spark.createDataFrame(twins, "doc_id bigint, text string, lang string"))
+    assert {r.lang_pred for r in language.predict(docs.limit(9), model).collect()} == {"x"}
+
+
+def test_sample_of_a_language_is_its_smallest_hashes(spark, monkeypatch):
+    rows = [(k, "ab" * (k % 7 + 1), "x" if k % 3 else "y") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    few = language.fit(docs, per_language=5)
+    by = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    chosen = [r for lang in "xy" for r in sorted((r for r in rows if r[2] == lang), key=lambda r: by[r[0]])[:5]]
+    same = language.fit(spark.createDataFrame(chosen, docs.schema))
+    assert (few.weights == same.weights).all()
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
