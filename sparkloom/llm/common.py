@@ -18,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir. Where that is unset (tests, local mode), a temporary one is set for the session."""
+    """A new folder under the cluster's spark.checkpoint.dir. Where that is unset, local mode (tests) gets a temporary one; on a
+    cluster, where only the driver would have it, that is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         got = sc._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
+        elif not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             base = tempfile.mkdtemp(prefix="sparkloom-")
             sc.setCheckpointDir(base)
@@ -151,66 +154,53 @@ def text_chunks(column, max_bytes: int = 1 << 21):
         lo = hi
 
 
+def text_groups(texts: list[str | None], most: int):
+    """Slices of texts with about `most` characters, one text at least."""
+    low, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield slice(low, k + 1)
+            low, size = k + 1, 0
+    if low < len(texts):
+        yield slice(low, len(texts))
+
+
 # ---------------------------------------------------------------- encoders that remember words
 
 _TAIL = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
-_PLAIN = re.compile("[\x20-\x7e\n\xa1-\u024f]*")  # here libraries agree on what letters, numbers and spaces are
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
-
-
-class Remembered(dict):
-    """A function's values; at `most` of them they become the older half, which a look-up brings back and the next halving drops."""
-
-    def __init__(self, function, most: int):
-        super().__init__()
-        self.function, self.most, self.older = function, most, {}
-
-    def __missing__(self, key):
-        got = self.older.get(key)
-        if got is None:
-            got = self.function(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = got
-        return got
-
-
-def _byte_letters() -> dict[int, str]:
-    """Byte-level files write bytes that don't print as letters from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-_LETTERS = _byte_letters()
+_PROBE = "It's a  test, isn't\tit?\n\n  12 345.6 x--y (naïve café) — 東京 タワー 123½ ... <tag> a_b c/d É́ Straße İ ' s end "
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizers file, remembering the ids of each space-separated piece and of each match of the file's pattern.
-
-    A split before a space that a non-space follows never falls inside a match, so the pieces' ids laid end to end are the text's ids.
-    keeps_space: the piece keeps the space before it (byte-level files); word files drop white space and case. Pieces beyond the
-    Latin blocks go through the library whole. Values are ids as little-endian unsigned 32-bit integers.
+    """Encodes texts with a tokenizers file, remembering the ids of each space-separated piece.
+
+    Pieces that are new to a worker go through the library together, GROUP bytes of text at a time; ASCII words, alone or before a mark, go to
+    its model at once where the file allows that. A split before a space that a non-space
+    follows must not fall inside a match of the file's pre-tokenizer; a file that gives a probe text other ids in pieces is refused.
+    keeps_space: the piece keeps the space before it (byte-level files). Special tokens that a text spells out get their ids, as by the
+    library's defaults. Values are ids as little-endian unsigned 32-bit integers. At MOST pieces the dictionary becomes the older one, which
+    look-ups bring back and the next change drops.
     """
 
-    PIECES, MATCHES = 250_000, 150_000
+    MOST, GROUP, TOGETHER = 500_000, 4 << 20, 20_000
 
     def __init__(self, path: str, keeps_space: bool):
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.keeps_space = keeps_space
-        endings = "'s|'t|'re|'ve|'m|'ll|'d|"
-        own = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" if keeps_space else r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        self.matches = regex.compile(endings + own).findall
-        self.model = self.tok.model
         self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tok.get_vocab_size())]
-        self.of_match = Remembered(self._match, self.MATCHES)
-        self.of_piece = Remembered(self._piece, self.PIECES)
+        self.simple = self._words_are_simple()
+        # Pieces as they are, and pieces by what follows their space.
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {} if keeps_space else self.plain
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        whole = np.array(self.tok.encode(_PROBE, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.encode([_PROBE]) != [whole]:
+            raise ValueError(f"{path}: a split before a word changes its ids, keeps_space={keeps_space}")
 
     @classmethod
     def shared(cls, path: str, keeps_space: bool) -> PieceEncoder:
@@ -219,30 +209,68 @@ class PieceEncoder:
             _encoders[path, keeps_space] = cls(path, keeps_space)
         return _encoders[path, keeps_space]
 
-    def _match(self, match: str) -> bytes:
-        letters = match.encode().decode("latin-1").translate(_LETTERS)
-        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(letters)])
-
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable() and len(piece) <= 256:
+    def _word(self, word: str, lead: str) -> bytes:
+        return b"".join([self.id_bytes[t.id] for t in self.tok.model.tokenize(lead + word if self.keeps_space else word.lower())])
+
+    def _words_are_simple(self) -> bool:
+        """Whether ASCII words go straight to the file's model, and a mark after one is a piece of its own: held against a few words."""
+        words = ["a", "It", "isn", "Zebra", "internationalisation", "q" * 40, "don", "McX"]
+        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
+        for lead, shown in (("", ""), (" ", "\u0120")) if self.keeps_space else (("", ""),):
+            for w in words:
+                for m, ids in [("", b""), *self.marks.items()]:
+                    if np.array(self.tok.encode(lead + w + m, add_special_tokens=False).ids, "<u4").tobytes() != self._word(w, shown) + ids:
+                        return False
+        return True
+
+    def _learn(self, known: dict[str, bytes], older: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        fresh = []
+        shown = "\u0120" if lead else ""
+        for p in pieces:
+            if p not in known:
+                ids = older.get(p)
+                if ids is None:
+                    if self.simple and p.isascii():
+                        if p.isalpha():
+                            ids = self._word(p, shown)
+                        elif p[-1:] in self.marks and (word := p[:-1]).isalpha():
+                            ids = known.get(word) or older.get(word)
+                            if ids is None:
+                                ids = known[word] = self._word(word, shown)
+                            ids += self.marks[p[-1]]
+                    if ids is None:
+                        fresh.append(p)
+                        continue
+                known[p] = ids
+        for k in range(0, len(fresh), self.TOGETHER):
+            some = fresh[k : k + self.TOGETHER]
+            got = self.tok.encode([lead + p for p in some] if lead else some, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(got.ids, "<u4").tobytes()
+            ends = 4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))) if got.ids else np.zeros(len(some), np.int64)
+            at = 0
+            for p, end in zip(some, ends.tolist(), strict=True):
+                known[p] = data[at:end]
+                at = end
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        split: list[tuple[list[str], list[str]]] = []
+        for t in texts:
             if not self.keeps_space:
-                piece = piece.lower()
-            if piece.isalpha() or self.keeps_space and piece[:1] == " " and piece[1:].isalpha():
-                return self.of_match[piece]
-            return b"".join(map(self.of_match.__getitem__, self.matches(piece)))
-        if len(piece) > 256 or not _PLAIN.fullmatch(piece):
-            return np.array(self.tok.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if not self.keeps_space:
-            piece = self.tok.normalizer.normalize_str(piece)
-        return b"".join(map(self.of_match.__getitem__, self.matches(piece)))
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        known = self.of_piece.__getitem__
-        if not self.keeps_space:
-            return b"".join(map(known, text.split(" ")))
-        if _TAIL.search(text):
-            return b"".join(map(known, _BEFORE_WORD.split(text)))
-        head, *rest = text.split(" ")
-        return known(head) + b"".join(map(known, [" " + w for w in rest]))
+                split.append(([], t.split(" ")))
+            elif _TAIL.search(t):
+                split.append((_BEFORE_WORD.split(t), []))
+            else:
+                head, *rest = t.split(" ")
+                split.append(([head], rest))
+        if max(len(self.plain), len(self.spaced)) > self.MOST:
+            self.older = (self.plain, self.spaced)
+            self.plain = {}
+            self.spaced = {} if self.keeps_space else self.plain
+        self._learn(self.plain, self.older[0], set().union(*[x for x, _ in split]), "")
+        self._learn(self.spaced, self.older[1], set().union(*[x for _, x in split]), " " if self.keeps_space else "")
+        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
+        return [b"".join(map(plain, x)) + b"".join(map(spaced, y)) for x, y in split]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; none for null."""
+        return [ids for rows in text_groups(texts, self.GROUP) for ids in self._group([t or "" for t in texts[rows]])]

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import PieceEncoder, table
+from sparkloom.llm.common import PieceEncoder, table, text_groups
 
 WINDOW = 1024
 FLUSH_TOKENS = 2 << 20
@@ -110,19 +110,21 @@ def _pack(tokenizer_path: str, end_id: int, window: int, keeps_space: bool) -> C
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
-                total, step = len(ids) // 4, 4 * window
-                whole = len(ids) // step * step
-                for a in range(0, whole, step):
-                    close([(doc, a // 4, ids[a : a + step], total)])
-                if whole < len(ids) and (full := packer.place((doc, whole // 4, ids[whole:], total))):
-                    close(full)
-                if packer.held > FLUSH_TOKENS:
-                    for pieces in packer.settle():
-                        close(pieces)
-                if len(rows) >= 20_000:
-                    yield drained()
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in text_groups(texts, encoder.GROUP):
+                for doc, ids in zip(docs[part], encoder.encode(texts[part]), strict=True):
+                    ids += end
+                    total, step = len(ids) // 4, 4 * window
+                    whole = len(ids) // step * step
+                    for a in range(0, whole, step):
+                        close([(doc, a // 4, ids[a : a + step], total)])
+                    if whole < len(ids) and (full := packer.place((doc, whole // 4, ids[whole:], total))):
+                        close(full)
+                    if packer.held > FLUSH_TOKENS:
+                        for pieces in packer.settle():
+                            close(pieces)
+                    if len(rows) >= 20_000:
+                        yield drained()
         for pieces in packer.settle():
             close(pieces)
         if rows:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import PieceEncoder, shared_dir, table
+from sparkloom.llm.common import PieceEncoder, shared_dir, table, text_groups
 
 STRIPE_BYTES = 32 << 20
 FLUSH_TOKENS = 1 << 20
@@ -45,16 +45,14 @@ def _encode_range(tokenizer_path: str, end_id: int, keeps_space: bool) -> Callab
             return pa.RecordBatch.from_arrays(out, ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
         for batch in batches:
-            doc_ids, coded, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids.append(doc_id)
-                coded.append(encoder.encode(text) + end)
-                size += len(coded[-1]) // 4
-                if size >= FLUSH_TOKENS:
-                    yield block(doc_ids, coded)
-                    doc_ids, coded, size = [], [], 0
-            if doc_ids:
-                yield block(doc_ids, coded)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for rows in text_groups(texts, encoder.GROUP):
+                coded, low = [ids + end for ids in encoder.encode(texts[rows])], 0
+                sizes = np.cumsum([len(c) // 4 for c in coded])
+                while low < len(coded):
+                    high = max(low + 1, int(np.searchsorted(sizes, FLUSH_TOKENS + (sizes[low - 1] if low else 0), side="right")))
+                    yield block(doc_ids[rows][low:high], coded[low:high])
+                    low = high
 
     return run
 
@@ -66,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, k
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(_encode_range(tokenizer_path, end_id, keeps_space), FILE_SCHEMA)
-        .write.option("compression", "zlib")
+        .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000")
