@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from sparkloom.llm import byte_bpe, packing, token_orc  # noqa: E402
 
-TEXTS = ["Hello  world, it's\n\n a test", None, "", "  lead and trail  ", "naïve café — 東京 123 ½", "a" * 3000, "word " * 2500, "<|endoftext|> x", "Hello  world, it's\n\n a test", "\t\n", "É́ Straße İ"]
+TEXTS = ["Hello  world, it's\n\n a test", None, "", "  lead and trail  ", "naïve café — 東京 123 ½", "a" * 3000, "word " * 2500, "<|endoftext|> x a<|endoftext|>b", "Hello  world, it's\n\n a test", "\t\n", "É́ Straße İ"]
 SCHEMA = "doc_id bigint, text string, extra int, ids string, n_tokens int, part string, start int"
 
 
@@ -25,10 +26,41 @@ def ids_of(name, end):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     return [e.ids + [end] for e in tok.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name, keeps_space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_pieces_equal_the_library(name, keeps_space, monkeypatch):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from sparkloom.llm.common import PieceEncoder
+
+    monkeypatch.setattr(PieceEncoder, "MOST", 40)
+    monkeypatch.setattr(PieceEncoder, "GROUP", 60)
+    encoder = PieceEncoder(public_tokenizers.path(name), keeps_space)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.text(st.sampled_from(" \n\tabE's9½é東 ͏.,-<|>\u200d\x1c\u3000") | st.characters(exclude_categories=["Cs"]), max_size=40), max_size=6))
+    def check(texts):
+        expected = [np.array(e.ids, "<u4").tobytes() for e in encoder.tok.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.encode(texts) == expected
+
+    check()
+    assert encoder.encode([None, ""]) == [b"", b""]
+
+
+def test_files_that_pieces_would_change_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    from sparkloom.llm.common import PieceEncoder
+
+    vocab = {c: k for k, c in enumerate(sorted(set(chr(c) for c in range(32, 127)) | {"[UNK]", "s "}))}
+    Tokenizer(models.BPE(vocab, [("s", " ")], unk_token="[UNK]")).save(str(tmp_path / "odd.json"))
+    with pytest.raises(ValueError, match="split"):
+        PieceEncoder(str(tmp_path / "odd.json"), True)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -92,25 +124,59 @@ def test_placement_minimises_the_sum_of_squares():
     assert sum(len(p[2]) // 4 for pieces in packer.settle() for p in pieces) == held
 
 
-def test_bpe_equals_the_library(spark, docs):
+def library():
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    expected = {i * 3: library.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
-    coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
+    return path, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+
+
+@pytest.mark.parametrize("hot, epoch", [(0, 10**6), (40, 3), (250_000, 10**6)])
+def test_bpe_equals_the_library(spark, docs, hot, epoch, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "HOT", hot)
+    monkeypatch.setattr(byte_bpe, "EPOCH", epoch)
+    monkeypatch.setattr(byte_bpe, "ROWS", 2 if epoch == 3 else 256)
+    path, own = library()
+    expected = {i * 3: own.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
+    coded = byte_bpe.encode(docs.coalesce(1), path, public_tokenizers.PATTERN)
     got = coded.collect()
     assert len(got) == len(TEXTS) + 1 and all(r.ids == expected[r.doc_id] for r in got)
     decoded = {r.doc_id: bytes(r.text) for r in byte_bpe.decode_ids(coded, path).collect()}
     assert decoded == {i * 3: (t or "").encode() for i, t in enumerate(TEXTS)}
     assert byte_bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
-    assert hashlib.sha256(decoded[0]).hexdigest() == hashlib.sha256(TEXTS[0].encode()).hexdigest()
+
+
+def test_bpe_query(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    _, own = library()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = byte_bpe.op8_byte_bpe(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = own.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_long_matches_merge_alike():
+    path, own = library()
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 40, 900):
+        word = "".join(rng.choice(list("abetßé"), n))
+        assert byte_bpe.merge_long(word.encode(), byte_bpe.load_ranks(path)) == own.encode_ordinary(word)
+    assert len(byte_bpe.merge_long(b"ab" * 100_000, byte_bpe.load_ranks(path))) < 100_001
+
+
+def test_files_with_wide_ids_are_refused(tmp_path):
+    file = tmp_path / "wide.tiktoken"
+    file.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b + (1 << 20)}\n" for b in range(256)))
+    with pytest.raises(ValueError, match="bits"):
+        byte_bpe.load_ranks(str(file))
 
 
 def test_cuckoo_table_finds_every_pair():
     pairs = {(a, (a * 7 + k) % 5000): k for a in range(500) for k in range(5)}
     slots, size = byte_bpe.cuckoo_table(pairs)
     for (a, b), r in pairs.items():
-        assert (a << 32) | (b << 16) | r in [int(slots[p]) for p in byte_bpe._places(a, b, size)]
+        assert (a << 40) | (b << 20) | r in [int(slots[p]) for p in byte_bpe._places(a, b, size)]
