@@ -185,7 +185,7 @@ class PieceEncoder:
     look-ups bring back and the next change drops.
     """
 
-    MOST, GROUP, TOGETHER = 500_000, 4 << 20, 20_000
+    MOST, GROUP, TOGETHER = 350_000, 1 << 20, 20_000
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer

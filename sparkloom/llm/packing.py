@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import PieceEncoder, table, text_groups
 
 WINDOW = 1024
+ROWS = 512  # rows that a worker holds as Python strings
 FLUSH_TOKENS = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -109,7 +110,7 @@ def _pack(tokenizer_path: str, end_id: int, window: int, keeps_space: bool) -> C
             rows.clear()
             return out
 
-        for batch in batches:
+        for batch in (b.slice(low, ROWS) for b in batches for low in range(0, b.num_rows, ROWS)):
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in text_groups(texts, encoder.GROUP):
                 for doc, ids in zip(docs[part], encoder.encode(texts[part]), strict=True):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import PieceEncoder, shared_dir, table, text_groups
 
 STRIPE_BYTES = 32 << 20
+ROWS = 512  # rows that a worker holds as Python strings
 FLUSH_TOKENS = 1 << 20
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -44,7 +45,7 @@ def _encode_range(tokenizer_path: str, end_id: int, keeps_space: bool) -> Callab
             at += int(stops[-1])
             return pa.RecordBatch.from_arrays(out, ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
-        for batch in batches:
+        for batch in (b.slice(low, ROWS) for b in batches for low in range(0, b.num_rows, ROWS)):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for rows in text_groups(texts, encoder.GROUP):
                 coded, low = [ids + end for ids in encoder.encode(texts[rows])], 0
