@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -171,21 +172,43 @@ def text_groups(texts: list[str | None], most: int):
 _TAIL = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
+# Latin and Cyrillic letters that are tried as simple ones, ASCII marks but for the bar of special tokens, and pieces for the trial.
+_LETTERS = [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x400, 0x530)]
+_MARKS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~")
+_PIECES = ["a", "It", "internationalisation", "q" * 40, "don't", "McX.", "end.\nNext", "wow!!!", "l'\u00e9t\u00e9", "IT'S", "x'Llama", "(a_b)=12.50%", "\u00c9a--\u0416\u0443\u043a\n'tis", "a'", "\"'sure"]
+# A byte as byte-level files show it: itself where it prints, else the next free character from U+0100.
+_PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 _PROBE = "It's a  test, isn't\tit?\n\n  12 345.6 x--y (naïve café) — 東京 タワー 123½ ... <tag> a_b c/d É́ Straße İ ' s end "
 
 
+class _Pieces(dict):
+    """Ids by piece. A piece not met yet is looked up in the older dictionary, then encoded."""
+
+    def __init__(self, encode: Callable[[str, str], bytes], lead: str, older: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.lead, self.older = encode, lead, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece, self.lead)
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizers file, remembering the ids of each space-separated piece.
 
-    Pieces that are new to a worker go through the library together, GROUP bytes of text at a time; ASCII words, alone or before a mark, go to
-    its model at once where the file allows that. A split before a space that a non-space
+    A piece of common letters, digits and marks is split as the file's pre-tokenizer would, and its words go to the file's model at once where
+    the file allows that; any other piece goes through the library. A split before a space that a non-space
     follows must not fall inside a match of the file's pre-tokenizer; a file that gives a probe text other ids in pieces is refused.
     keeps_space: the piece keeps the space before it (byte-level files). Special tokens that a text spells out get their ids, as by the
-    library's defaults. Values are ids as little-endian unsigned 32-bit integers. At MOST pieces the dictionary becomes the older one, which
-    look-ups bring back and the next change drops.
+    library's defaults. Values are ids as little-endian unsigned 32-bit integers. Between groups of GROUP bytes of text, a dictionary of over
+    MOST pieces becomes the older one, which look-ups bring back and the next change drops.
     """
 
-    MOST, GROUP, TOGETHER = 350_000, 1 << 20, 20_000
+    MOST, GROUP = 350_000, 1 << 20
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
@@ -193,13 +216,12 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
         self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tok.get_vocab_size())]
-        self.simple = self._words_are_simple()
+        self.simple = False
+        self._renew({}, {})
+        self._find_simple()
         # Pieces as they are, and pieces by what follows their space.
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {} if keeps_space else self.plain
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        whole = np.array(self.tok.encode(_PROBE, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.encode([_PROBE]) != [whole]:
+        self._renew({}, {})
+        if self.encode([_PROBE]) != [self._by_library(_PROBE)]:
             raise ValueError(f"{path}: a split before a word changes its ids, keeps_space={keeps_space}")
 
     @classmethod
@@ -209,67 +231,61 @@ class PieceEncoder:
             _encoders[path, keeps_space] = cls(path, keeps_space)
         return _encoders[path, keeps_space]
 
+    def _renew(self, plain: dict[str, bytes], spaced: dict[str, bytes]) -> None:
+        self.plain = _Pieces(self._piece, "", plain)
+        self.spaced = _Pieces(self._piece, " ", spaced) if self.keeps_space else self.plain
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _word(self, word: str, lead: str) -> bytes:
-        return b"".join([self.id_bytes[t.id] for t in self.tok.model.tokenize(lead + word if self.keeps_space else word.lower())])
-
-    def _words_are_simple(self) -> bool:
-        """Whether ASCII words go straight to the file's model, and a mark after one is a piece of its own: held against a few words."""
-        words = ["a", "It", "isn", "Zebra", "internationalisation", "q" * 40, "don", "McX"]
-        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
-        for lead, shown in (("", ""), (" ", "\u0120")) if self.keeps_space else (("", ""),):
-            for w in words:
-                for m, ids in [("", b""), *self.marks.items()]:
-                    if np.array(self.tok.encode(lead + w + m, add_special_tokens=False).ids, "<u4").tobytes() != self._word(w, shown) + ids:
-                        return False
-        return True
-
-    def _learn(self, known: dict[str, bytes], older: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        fresh = []
-        shown = "\u0120" if lead else ""
-        for p in pieces:
-            if p not in known:
-                ids = older.get(p)
-                if ids is None:
-                    if self.simple and p.isascii():
-                        if p.isalpha():
-                            ids = self._word(p, shown)
-                        elif p[-1:] in self.marks and (word := p[:-1]).isalpha():
-                            ids = known.get(word) or older.get(word)
-                            if ids is None:
-                                ids = known[word] = self._word(word, shown)
-                            ids += self.marks[p[-1]]
-                    if ids is None:
-                        fresh.append(p)
-                        continue
-                known[p] = ids
-        for k in range(0, len(fresh), self.TOGETHER):
-            some = fresh[k : k + self.TOGETHER]
-            got = self.tok.encode([lead + p for p in some] if lead else some, is_pretokenized=True, add_special_tokens=False)
-            data = np.array(got.ids, "<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))) if got.ids else np.zeros(len(some), np.int64)
-            at = 0
-            for p, end in zip(some, ends.tolist(), strict=True):
-                known[p] = data[at:end]
-                at = end
+        if not self.keeps_space:
+            word = word.lower()
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        return b"".join([self.id_bytes[t.id] for t in self.tok.model.tokenize("\u0120" + shown if lead else shown)])
+
+    def _find_simple(self) -> None:
+        """Whether words go straight to the file's model, by which letters, and whether pieces split as _parts says: held against the library."""
+        leads = ("", " ") if self.keeps_space else ("",)
+        letters = [c for c in map(chr, _LETTERS) if c.isalpha() and all(self._by_library(f"{lead}a{c}b") == self._word(f"a{c}b", lead) for lead in leads)]
+        some = re.escape("".join(letters))
+        self.letters = frozenset(letters)
+        self.whole = re.compile(f"[{some}{_MARKS}0-9]++(?:\n[{some}{_MARKS}0-9]++)*+")
+        self.parts = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{some}]+|[0-9]+|[{_MARKS}]+|\n")
+        self.simple = {*"azAZ"} <= self.letters
+        self.simple = self.simple and all(self._piece(p, lead) == self._by_library(lead + p) for p in _PIECES for lead in leads)
+
+    def _piece(self, piece: str, lead: str) -> bytes:
+        if self.simple:
+            if self.keeps_space and not lead and piece[:1] == " ":
+                if self.whole.fullmatch(piece, 1):
+                    return self.spaced[piece[1:]]
+            elif self.whole.fullmatch(piece) and not (lead and piece[0] == "'"):
+                first, *rest = self.parts.findall(piece if self.keeps_space else piece.lower())
+                if rest:
+                    if not self.keeps_space:
+                        rest = [p for p in rest if p != "\n"]
+                    return (self.spaced if lead else self.plain)[first] + b"".join([self.plain[p] for p in rest])
+                if first[0] in self.letters:
+                    return self._word(first, lead)
+        return self._by_library(lead + piece)
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        split: list[tuple[list[str], list[str]]] = []
+        if max(len(self.plain), len(self.spaced)) > self.MOST:
+            # Plain dictionaries, so that the ones before them go.
+            self.plain.older = self.spaced.older = {}
+            self._renew(self.plain, self.spaced)
+        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
+        out = []
         for t in texts:
             if not self.keeps_space:
-                split.append(([], t.split(" ")))
+                out.append(b"".join(map(plain, t.split(" "))))
             elif _TAIL.search(t):
-                split.append((_BEFORE_WORD.split(t), []))
+                out.append(b"".join(map(plain, _BEFORE_WORD.split(t))))
             else:
                 head, *rest = t.split(" ")
-                split.append(([head], rest))
-        if max(len(self.plain), len(self.spaced)) > self.MOST:
-            self.older = (self.plain, self.spaced)
-            self.plain = {}
-            self.spaced = {} if self.keeps_space else self.plain
-        self._learn(self.plain, self.older[0], set().union(*[x for x, _ in split]), "")
-        self._learn(self.spaced, self.older[1], set().union(*[x for _, x in split]), " " if self.keeps_space else "")
-        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        return [b"".join(map(plain, x)) + b"".join(map(spaced, y)) for x, y in split]
+                out.append(plain(head) + b"".join(map(spaced, rest)))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for null."""
