@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -208,7 +209,7 @@ class PieceEncoder:
     MOST pieces becomes the older one, which look-ups bring back and the next change drops.
     """
 
-    MOST, GROUP = 350_000, 1 << 20
+    MOST, GROUP = 500_000, 1 << 20
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
@@ -252,11 +253,18 @@ class PieceEncoder:
         self.letters = frozenset(letters)
         self.whole = re.compile(f"[{some}{_MARKS}0-9]++(?:\n[{some}{_MARKS}0-9]++)*+")
         self.parts = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{some}]+|[0-9]+|[{_MARKS}]+|\n")
-        self.simple = {*"azAZ"} <= self.letters
+        self.ends = {m: self._by_library(m) for m in ".,;:!?"}
+        self.simple = {*string.ascii_letters} <= self.letters
         self.simple = self.simple and all(self._piece(p, lead) == self._by_library(lead + p) for p in _PIECES for lead in leads)
 
     def _piece(self, piece: str, lead: str) -> bytes:
         if self.simple:
+            # The usual cases first, which need no patterns: an ASCII word, and one with a mark after it.
+            if piece.isascii():
+                if piece.isalpha():
+                    return self._word(piece, lead)
+                if piece[-1:] in self.ends and (word := piece[:-1]).isalpha():
+                    return (self.spaced if lead else self.plain)[word] + self.ends[piece[-1]]
             if self.keeps_space and not lead and piece[:1] == " ":
                 if self.whole.fullmatch(piece, 1):
                     return self.spaced[piece[1:]]
