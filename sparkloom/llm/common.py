@@ -206,10 +206,10 @@ class PieceEncoder:
     follows must not fall inside a match of the file's pre-tokenizer; a file that gives a probe text other ids in pieces is refused.
     keeps_space: the piece keeps the space before it (byte-level files). Special tokens that a text spells out get their ids, as by the
     library's defaults. Values are ids as little-endian unsigned 32-bit integers. Between groups of GROUP bytes of text, a dictionary of over
-    MOST pieces becomes the older one, which look-ups bring back and the next change drops.
+    MOST pieces (a size just before its table would double) becomes the older one, which look-ups bring back and the next change drops.
     """
 
-    MOST, GROUP = 500_000, 1 << 20
+    MOST, GROUP = 330_000, 1 << 20
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
