@@ -184,19 +184,27 @@ _PROBE = "It's a  test, isn't\tit?\n\n  12 345.6 x--y (naïve café) — 東京
 
 
 class _Pieces(dict):
-    """Ids by piece. A piece not met yet is looked up in the older dictionary, then encoded."""
+    """Ids by piece. A piece not met yet is looked up in the older dictionary, then encoded. Of pieces made of several parts only those are kept
+    whose first part had been met, as one with a new word will hardly come again."""
 
-    def __init__(self, encode: Callable[[str, str], bytes], lead: str, older: dict[str, bytes]):
+    def __init__(self, encode: Callable[[str, str], tuple[bytes, bool | None]], lead: str, older: dict[str, bytes]):
         super().__init__()
         self.encode, self.lead, self.older = encode, lead, older
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = self.encode(piece, self.lead)
+            ids, met = self.encode(piece, self.lead)
+            if met is False:
+                return ids
         self[piece] = ids
         return ids
 
+    def part(self, piece: str) -> tuple[bytes, bool]:
+        """Its ids, and whether it had been met."""
+        met = piece in self or piece in self.older
+        return self[piece], met
+
 
 class PieceEncoder:
     """Encodes texts with a tokenizers file, remembering the ids of each space-separated piece.
@@ -255,28 +263,31 @@ class PieceEncoder:
         self.parts = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{some}]+|[0-9]+|[{_MARKS}]+|\n")
         self.ends = {m: self._by_library(m) for m in ".,;:!?"}
         self.simple = {*string.ascii_letters} <= self.letters
-        self.simple = self.simple and all(self._piece(p, lead) == self._by_library(lead + p) for p in _PIECES for lead in leads)
+        self.simple = self.simple and all(self._piece(p, lead)[0] == self._by_library(lead + p) for p in _PIECES for lead in leads)
 
-    def _piece(self, piece: str, lead: str) -> bytes:
+    def _piece(self, piece: str, lead: str) -> tuple[bytes, bool | None]:
+        """Its ids, and whether the first of several parts had been met (null: there is one part)."""
         if self.simple:
             # The usual cases first, which need no patterns: an ASCII word, and one with a mark after it.
             if piece.isascii():
                 if piece.isalpha():
-                    return self._word(piece, lead)
+                    return self._word(piece, lead), None
                 if piece[-1:] in self.ends and (word := piece[:-1]).isalpha():
-                    return (self.spaced if lead else self.plain)[word] + self.ends[piece[-1]]
+                    ids, met = (self.spaced if lead else self.plain).part(word)
+                    return ids + self.ends[piece[-1]], met
             if self.keeps_space and not lead and piece[:1] == " ":
                 if self.whole.fullmatch(piece, 1):
-                    return self.spaced[piece[1:]]
+                    return self.spaced.part(piece[1:])
             elif self.whole.fullmatch(piece) and not (lead and piece[0] == "'"):
                 first, *rest = self.parts.findall(piece if self.keeps_space else piece.lower())
                 if rest:
                     if not self.keeps_space:
                         rest = [p for p in rest if p != "\n"]
-                    return (self.spaced if lead else self.plain)[first] + b"".join([self.plain[p] for p in rest])
+                    ids, met = (self.spaced if lead else self.plain).part(first)
+                    return ids + b"".join([self.plain[p] for p in rest]), met
                 if first[0] in self.letters:
-                    return self._word(first, lead)
-        return self._by_library(lead + piece)
+                    return self._word(first, lead), None
+        return self._by_library(lead + piece), None
 
     def _group(self, texts: list[str]) -> list[bytes]:
         if max(len(self.plain), len(self.spaced)) > self.MOST:
