@@ -73,3 +73,8 @@ def judge(completions: DataFrame, text: str, gold: str, extract, equivalent, pro
     """Adds prediction, correct, and the prompt's first 200 characters. Completions alone are read: a prompt may hold its own answer."""
     predicted = completions.withColumn("prediction", extract(F.col(text)))
     return predicted.withColumn("correct", F.coalesce(equivalent(F.col("prediction"), F.col(gold)), F.lit(False))).withColumn("shown", F.substring(F.col(prompt), 1, 200))
+
+
+def with_golds(predictions: DataFrame, golds: DataFrame, idx: str, gold: str) -> DataFrame:
+    """Each prediction with the gold answer of its index; those without one, and golds without a prediction, go."""
+    return predictions.join(golds.select(idx, gold), idx)

@@ -66,3 +66,9 @@ def sampling_filter(logits: DataFrame, key: str, values: str, temperature: float
 def mean_loss(losses: DataFrame, step: str, value: str, every: int) -> DataFrame:
     """window, loss: the mean of every `every` steps."""
     return losses.groupBy(F.floor(F.col(step) / every).cast("bigint").alias("window")).agg(F.avg(value).alias("loss"))
+
+
+def rollouts(prompts: DataFrame, group_size: int, coolest: float = 0.7, step: float = 0.05) -> DataFrame:
+    """group_size rows a prompt with `rollout` from 0 and its temperature, which rises by step."""
+    out = prompts.withColumn("rollout", F.explode(F.sequence(F.lit(0), F.lit(group_size - 1))) if group_size > 0 else F.explode(F.array().cast("array<int>")))
+    return out.withColumn("temperature", coolest + step * F.col("rollout"))

@@ -171,6 +171,17 @@ def best_of_n(spark, sf_dir):
     return judging.best_of_n(rows, "k", "idx", "t", "gold").select("k", "idx", F.round("score", 6).alias("score"), "t")
 
 
+def paired_rewards(spark, sf_dir):
+    rows = _lines(spark, sf_dir).withColumn("i", F.col("k") * 100 + F.col("idx"))
+    paired = judging.with_golds(rows.select("i", _fmt("is ", F.col("q") % 7).alias("t")), rows.select("i", _fmt(F.col("p") % 7).alias("gold")), "i", "gold")
+    return paired.select("i", F.round(verify.reward(F.col("t"), F.col("gold")), 6).alias("score"))
+
+
+def rollouts(spark, sf_dir):
+    got = policy.rollouts(_orders(spark, sf_dir).select("k"), 4)
+    return got.select("k", F.col("rollout").cast("bigint").alias("rollout"), F.round("temperature", 6).alias("temperature"))
+
+
 def vote_metrics(spark, sf_dir):
     votes = judging.majority_vote(_candidates(spark, sf_dir), "k", "idx", "answer").withColumn("correct", F.col("answer") == "2")
     got = judging.vote_metrics(votes)
@@ -293,7 +304,7 @@ def instruction_filter(spark, sf_dir):
     return rows.where(~text.is_refusal(F.col("output"))).select("k", "output")
 
 
-QUERIES = {f.__name__: f for f in (extract_number_last, extract_number_first, hash_answer, boxed, calc_annotations, word_problem_formats, word_problem_formats_whole, competition_formats, synthetic_formats, digit_split, digit_collapse, marker_split, round_trip, overflow_remap, equivalence, number_kinds, reward_parts, majority_vote, answer_histogram, best_of_n, vote_metrics, op_accuracy, running_accuracy, advantages_median, advantages_mean, clipped_loss, kl, full_loss, log_probs, topk_nucleus, mean_losses, column_addition, column_product, tool_calls, first_tool_call, tool_resolve, calculator_values, lr_schedule, param_count, plan_table, instruction_filter)}
+QUERIES = {f.__name__: f for f in (extract_number_last, extract_number_first, hash_answer, boxed, calc_annotations, word_problem_formats, word_problem_formats_whole, competition_formats, synthetic_formats, digit_split, digit_collapse, marker_split, round_trip, overflow_remap, equivalence, number_kinds, reward_parts, majority_vote, answer_histogram, best_of_n, vote_metrics, paired_rewards, rollouts, op_accuracy, running_accuracy, advantages_median, advantages_mean, clipped_loss, kl, full_loss, log_probs, topk_nucleus, mean_losses, column_addition, column_product, tool_calls, first_tool_call, tool_resolve, calculator_values, lr_schedule, param_count, plan_table, instruction_filter)}
 
 _SPACED = "array_to_string(string_split({}::VARCHAR, ''), ' ')"
 _VOTES = f"WITH {LINES}, c AS (SELECT k, (q % 5)::VARCHAR AS answer, count(*) AS votes, min(idx) AS first FROM lines GROUP BY 1, 2), v AS (SELECT k, answer, votes, sum(votes) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY votes DESC, first) AS r FROM c)"
@@ -324,6 +335,8 @@ SQL = {
     "majority_vote": f"{_VOTES} SELECT k, answer, votes::BIGINT AS votes, total::BIGINT AS total, round(votes / total::DOUBLE, 6) AS agreement FROM v WHERE r = 1",
     "answer_histogram": f"WITH {LINES} SELECT k, (q % 5)::VARCHAR AS answer, count(*)::BIGINT AS votes FROM lines GROUP BY 1, 2",
     "best_of_n": f"WITH {LINES}, r AS (SELECT k, idx, CASE WHEN q % 7 = 3 THEN 1.2::DOUBLE ELSE 0::DOUBLE END AS score, 'is ' || (q % 7) AS t FROM lines) SELECT k, idx, score, t FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, idx) AS n FROM r) WHERE n = 1",
+    "paired_rewards": f"WITH {LINES} SELECT k * 100 + idx AS i, CASE WHEN q % 7 = p % 7 THEN 1.2::DOUBLE ELSE 0::DOUBLE END AS score FROM lines",
+    "rollouts": f"WITH {ORDERS} SELECT k, r.range::BIGINT AS rollout, round(0.7::DOUBLE + 0.05::DOUBLE * r.range, 6)::DOUBLE AS temperature FROM o, range(4) r",
     "vote_metrics": f"{_VOTES} SELECT count(*)::BIGINT AS total, round(avg((answer = '2')::INT), 6)::DOUBLE AS accuracy, round(avg(votes / total::DOUBLE), 6)::DOUBLE AS mean_agreement FROM v WHERE r = 1",
     "op_accuracy": f"WITH {_JUDGED}, n(op) AS (VALUES ('add'), ('sub'), ('mul'), ('div')) SELECT n.op, count(j.op)::BIGINT AS total, coalesce(sum(j.correct::INT), 0)::BIGINT AS correct, round(coalesce(sum(j.correct::INT), 0)::DOUBLE / greatest(count(j.op), 1), 6)::DOUBLE AS accuracy FROM n LEFT JOIN judged j USING (op) GROUP BY n.op",
     "running_accuracy": f"WITH {_JUDGED}, r AS (SELECT k % 50 AS g, k * 100 + idx AS pos, count(*) OVER w AS seen, avg(correct::INT) OVER w AS accuracy FROM judged WINDOW w AS (PARTITION BY k % 50 ORDER BY k * 100 + idx ROWS UNBOUNDED PRECEDING)) SELECT g, pos, seen::BIGINT AS seen, round(accuracy, 6)::DOUBLE AS accuracy FROM r WHERE seen % 10 = 0",
