@@ -257,8 +257,9 @@ class PieceEncoder:
         """Whether words go straight to the file's model, by which letters, and whether pieces split as _parts says: held against the library."""
         leads = ("", " ") if self.keeps_space else ("",)
         letters = [c for c in map(chr, _LETTERS) if c.isalpha() and all(self._by_library(f"{lead}a{c}b") == self._word(f"a{c}b", lead) for lead in leads)]
-        some = re.escape("".join(letters))
-        self.letters = frozenset(letters)
+        # Pieces may be lowered before they are split, so a letter's small form must be simple too.
+        self.letters = frozenset(c for c in letters if c.lower() in letters)
+        some = re.escape("".join(sorted(self.letters)))
         self.whole = re.compile(f"[{some}{_MARKS}0-9]++(?:\n[{some}{_MARKS}0-9]++)*+")
         self.parts = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{some}]+|[0-9]+|[{_MARKS}]+|\n")
         self.ends = {m: self._by_library(m) for m in ".,;:!?"}

@@ -34,7 +34,7 @@ def test_pieces_equal_the_library(name, keeps_space, monkeypatch):
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
-    from sparkloom.llm.common import PieceEncoder
+    from sparkloom.llm.common import _LETTERS, PieceEncoder
 
     monkeypatch.setattr(PieceEncoder, "MOST", 40)
     monkeypatch.setattr(PieceEncoder, "GROUP", 60)
@@ -48,6 +48,8 @@ def test_pieces_equal_the_library(name, keeps_space, monkeypatch):
 
     check()
     assert encoder.encode([None, ""]) == [b"", b""]
+    # Every letter that is tried as a simple one, alone and among marks, digits and line ends.
+    check.hypothesis.inner_test([f"{c} x{c}. {c}'S{c}!!12\n{c}{c.lower()}" for c in map(chr, _LETTERS)])
 
 
 def test_files_that_pieces_would_change_are_refused(tmp_path):
