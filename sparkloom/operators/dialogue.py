@@ -96,6 +96,25 @@ def dialogue_rows(pairs: DataFrame, key: str, field: Column, most: int = 30_000)
     return rows.select(F.lit("physics").alias("source"), key, dialogue_prompt(field, F.col("question")).alias("prompt"), reasoned(F.col("answer"), F.lit("Done")).alias("target"))
 
 
+def dialogue_texts(pairs: DataFrame, key: str, field: Column, most: int = 30_000) -> DataFrame:
+    """source, key, text of the first `most` pairs."""
+    rows = pairs.orderBy(key).limit(most)
+    return rows.select(F.lit("physics").alias("source"), key, dialogue_text(field, F.col("question"), F.col("answer")).alias("text"))
+
+
+def pretraining_rows(synthetic: DataFrame, traces: DataFrame, pairs: DataFrame, key: str, field: Column, examined: int = 50_000, most: int = 30_000) -> DataFrame:
+    """source, key, text: worked problems (question, answer), those of the first `examined` traces that are whole, and the first `most` pairs."""
+    made = synthetic.select(F.lit("synthetic").alias("source"), key, synthetic_problem(F.col("question"), F.col("answer"))["pretrain"].alias("text"))
+    return made.unionByName(trace_texts(traces, key, examined)).unionByName(dialogue_texts(pairs, key, field, most))
+
+
+def tuning_rows(synthetic: DataFrame, instructions: DataFrame, traces: DataFrame, pairs: DataFrame, key: str, field: Column, kept: int = 50_000, most: int = 30_000) -> DataFrame:
+    """source, key, prompt, target: worked problems, instructions, the first `kept` whole traces, and the first `most` pairs."""
+    f = synthetic_problem(F.col("question"), F.col("answer"))
+    made = synthetic.select(F.lit("synthetic").alias("source"), key, f["prompt"].alias("prompt"), f["target"].alias("target"))
+    return made.unionByName(instruction_rows(instructions, key)).unionByName(trace_rows(traces, key, kept)).unionByName(dialogue_rows(pairs, key, field, most))
+
+
 def problem_solution_rows(df: DataFrame, key: str, first: str, second: str, cap: int) -> DataFrame:
     """key, text of the first max(cap, 1) rows with both fields."""
     rows = df.where((F.coalesce(F.col(first), F.lit("")) != "") & (F.coalesce(F.col(second), F.lit("")) != "")).orderBy(key).limit(max(cap, 1))

@@ -1,4 +1,4 @@
-"""Votes, best answers, accuracies."""
+"""Votes, best answers, accuracies, evaluations."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.functions.verify import reward, reward_format
+from sparkloom.functions.text import boxed, last_number
+from sparkloom.functions.verify import is_equivalent, reward, reward_format
 
 OPERATIONS = ("add", "sub", "mul", "div")
 
@@ -78,3 +79,32 @@ def judge(completions: DataFrame, text: str, gold: str, extract, equivalent, pro
 def with_golds(predictions: DataFrame, golds: DataFrame, idx: str, gold: str) -> DataFrame:
     """Each prediction with the gold answer of its index; those without one, and golds without a prediction, go."""
     return predictions.join(golds.select(idx, gold), idx)
+
+
+def final_answer(text: Column) -> Column:
+    """What is boxed, or where that is missing or empty the last number (fractions first)."""
+    return F.coalesce(F.nullif(boxed(text), F.lit("")), last_number(text))
+
+
+def evaluation(completions: DataFrame, idx: str, prompt: str, text: str, gold: str, legacy: bool = False) -> DataFrame:
+    """idx, shown, gold, prediction, correct: one completion a prompt. legacy: the answer is looked for in prompt and completion together, so a
+    question that holds its own answer may be read as right. Null texts and golds are wrong."""
+    read = F.concat(F.coalesce(F.col(prompt), F.lit("")), F.coalesce(F.col(text), F.lit(""))) if legacy else F.col(text)
+    judged = judge(completions.withColumn("_read", read), "_read", gold, final_answer, is_equivalent, prompt)
+    return judged.select(idx, "shown", gold, "prediction", "correct")
+
+
+def voted_evaluation(completions: DataFrame, key: str, idx: str, prompt: str, text: str, gold: str) -> DataFrame:
+    """key, shown, gold, prediction, correct, agreement: the majority's answer of several completions a prompt. Prompts and golds are aggregated with the
+    answers' counts, so no row of a prompt is looked up again."""
+    answers = completions.withColumn("prediction", final_answer(F.col(text)))
+    votes = majority_vote(answers, key, idx, "prediction")
+    asked = completions.groupBy(key).agg(F.min(F.substring(F.col(prompt), 1, 200)).alias("shown"), F.min(gold).alias(gold))
+    correct = F.coalesce(is_equivalent(F.col("prediction"), F.col(gold)), F.lit(False))
+    return votes.join(asked, key).select(key, "shown", gold, "prediction", correct.alias("correct"), "agreement")
+
+
+def evaluation_summary(judged: DataFrame, correct: str = "correct") -> DataFrame:
+    """One row: total, correct, accuracy; zeros for no rows."""
+    right = F.coalesce(F.sum(F.col(correct).cast("bigint")), F.lit(0)).cast("bigint")
+    return judged.agg(F.count(F.lit(1)).alias("total"), right.alias("correct"), (right / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("accuracy"))

@@ -1,7 +1,9 @@
-"""Readers: JSON lines, Parquet shards, generated problems. A source that fails fails the job; none is skipped in silence."""
+"""Readers: JSON lines, Parquet shards, manifests, staged copies, generated problems. A source that fails fails the job; none is skipped in silence."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,34 @@ def first_shards(spark: SparkSession, paths: list[str], most: int, score: str, l
     return quality_take(spark.read.parquet(*paths[:most]), score, least, n, seed, key)
 
 
+def quality_shard_texts(spark: SparkSession, paths: list[str], n: int, key: str, most: int = 4, score: str = "quality_label", least: int = 3, seed: int = 42) -> DataFrame:
+    """first_shards with the defaults that the corpus is built with."""
+    return first_shards(spark, paths, most, score, least, seed, key, n)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def manifest_of(spark: SparkSession, folder: str) -> dict | None:
+    """The manifest at the folder's root, else that under data/train, else None."""
+    for name in ("manifest.json", "data/train/manifest.json"):
+        path = f"{folder.rstrip('/')}/{name}"
+        if _exists(spark, path):
+            return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return None
+
+
+def prefetched(df: DataFrame, path: str) -> DataFrame:
+    """The rows as staged at path: written once, and reused by whoever comes later. A copy counts as whole by its commit mark alone, so what a
+    broken write left is written again."""
+    spark = df.sparkSession
+    if not _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def row_count(spark: SparkSession, path: str) -> int:
     """From the footers: no column is read."""
     return spark.read.parquet(path).count()

@@ -1,4 +1,4 @@
-"""Streaming forms of the budget cut and of turn pairing: state by key, with files in key order.
+"""Streaming forms of the budget cut, of turn pairing and of packing: state by key, with files in key order.
 
 A batch's rows are sorted by the order key within their source, so results equal the batch operators' where triggers take rows in key
 order (one file a trigger, files in order); where they don't, rows that come late are judged by what was kept before them.
@@ -6,6 +6,7 @@ order (one file a trigger, files in order); where they don't, rows that come lat
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -54,6 +55,25 @@ def turn_stream(df: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     return said.groupBy(conversation).applyInPandasWithState(pair, f"{conversation} bigint, {turn} bigint, question string, answer string", "waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
+def packed_stream(df: DataFrame, length: int, end_id: int, shard: str = "shard", order: str = "doc_id", ids: str = "tokens") -> DataFrame:
+    """shard, chunk_id, input_ids: each shard's documents end to end with an end id each, cut into full sequences. State is the next sequence's
+    number and what is left over, fewer than `length` ids. A query that is started again from its checkpoint goes on where it stopped."""
+
+    def pack(key, batches, state):
+        number, rest = state.get if state.exists else (0, [])
+        held = [np.asarray(rest, dtype=np.int32)]
+        for tokens in pd.concat(list(batches)).sort_values(order)[ids]:
+            held += [np.asarray(tokens, dtype=np.int32), np.asarray([end_id], dtype=np.int32)]
+        stream = np.concatenate(held)
+        full = len(stream) // length
+        state.update((number + full, stream[full * length :].tolist()))
+        chunks = [c.tolist() for c in stream[: full * length].reshape(full, length)]
+        yield pd.DataFrame({shard: [key[0]] * full, "chunk_id": range(number, number + full), "input_ids": chunks})
+
+    narrow = df.where(f"{ids} is not null").selectExpr(f"cast({shard} as bigint) {shard}", order, f"cast({ids} as array<int>) {ids}")
+    return narrow.groupBy(shard).applyInPandasWithState(pack, f"{shard} bigint, chunk_id bigint, input_ids array<int>", "number bigint, rest array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
 def source_stats_stream(df: DataFrame, tokens: str = "n_tokens") -> DataFrame:
     """Running docs and tokens per source, for the update or complete output mode."""
     from pyspark.sql import functions as F
