@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,18 +112,79 @@ def chunk_by_rows(df: DataFrame, order: str, limit: int) -> DataFrame:
     return with_position(df, order).withColumn("chunk_id", F.floor(F.col("position") / limit).cast("bigint")).drop("position")
 
 
-def chunk_by_rows_and_bytes(df: DataFrame, order: str, rows: int, size: int, tokens: str = "n_tokens", source: str = "source", shard: str | None = None) -> DataFrame:
-    """chunk_id of a writer that closes a chunk when it has `rows` rows or `size` estimated bytes. Each chunk's start depends on the one before,
-    so a shard is folded in order; `shard` splits the table into files that are cut each by itself. A fold holds (order, size) of one
-    shard, not its rows."""
-    keyed = df.withColumn("_shard", F.col(shard) if shard else F.lit(0)).withColumn("_bytes", estimated_row_bytes(F.col(tokens), F.col(source)))
-    folded = keyed.groupBy("_shard").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.col("_bytes").alias("b")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("b"), F.array().cast("array<struct<k:bigint,c:bigint>>").alias("out"))
+def _next_starts(sizes: np.ndarray, rows: int, size: int) -> np.ndarray:
+    """Where the next chunk starts, for a chunk that starts at each row."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    return np.minimum(at + rows, np.searchsorted(total, total[:-1] + size, side="left").clip(at + 1))
 
-    def step(acc: Column, r: Column) -> Column:
-        full = (acc["n"] + 1 >= rows) | (acc["b"] + r["b"] >= size)
-        out = F.concat(acc["out"], F.array(F.struct(r["k"].cast("bigint").alias("k"), acc["chunk"].alias("c"))))
-        return F.struct(F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"), F.when(full, F.lit(0).cast("bigint")).otherwise(acc["n"] + 1).alias("n"), F.when(full, F.lit(0).cast("bigint")).otherwise(acc["b"] + r["b"]).alias("b"), out.alias("out"))
 
-    cut = folded.select("_shard", F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select("_shard", F.col("x.k").alias(order), F.col("x.c").alias("chunk_id"))
-    return keyed.join(cut, ["_shard", order]).drop("_shard", "_bytes")
+def chunk_by_rows_and_bytes(df: DataFrame, order: str, rows: int, size: int, tokens: str = "n_tokens", source: str = "source", shard: str | None = None, span: int | None = None) -> DataFrame:
+    """chunk_id of a writer that closes a chunk when it has `rows` rows or `size` estimated bytes, in the order of a key; `shard` splits the table into files
+    that are cut each by itself.
+
+    Each chunk's start depends on the one before, but a chunk that is open where a span of rows begins ends within its first `rows` rows. So each
+    span (with the first `rows` rows of the next, to see its last chunks' ends) tells for every such place where a chunk that starts there
+    leads to in the next span, and how many chunks on. One task follows these maps from span to span, one at a time; then spans are labelled. span: rows in
+    a span, `rows` at least; by default as many spans as shuffle partitions. Keys are unique within a shard; rows without
+    a shard are one of their own, rows of unknown size count as empty."""
+    from sparkloom.operators.corpus import with_position
+
+    if rows < 1 or size < 1:
+        raise ValueError("rows and size must be at least 1")
+    name = F.coalesce(F.concat(F.lit("="), F.col(shard).cast("string")), F.lit("")) if shard else F.lit("")
+    size_of = F.coalesce(estimated_row_bytes(F.col(tokens), F.col(source)).cast("bigint"), F.lit(0).cast("bigint"))
+    keyed = df.withColumn("_shard", name).withColumn("_bytes", size_of)
+    if shard:
+        # A shard is a file, so its window is of bounded size, as in corpus.holdout.
+        placed = keyed.withColumn("_at", F.row_number().over(W.partitionBy("_shard").orderBy(order)).cast("bigint") - 1)
+    else:
+        placed = with_position(keyed, order).withColumnRenamed("position", "_at")
+    spark = df.sparkSession
+    m = max(rows, span or -(-df.count() // max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    narrow = placed.select("_shard", "_at", "_bytes", F.floor(F.col("_at") / m).cast("bigint").alias("_span"))
+    ahead = narrow.where((F.col("_span") > 0) & (F.col("_at") - F.col("_span") * m < rows)).withColumn("_span", F.col("_span") - 1)
+    spans = narrow.unionByName(ahead).groupBy("_shard", "_span")
+
+    def lead(rows_of: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+        rows_of = rows_of.sort_values("_at")
+        at, own = rows_of["_at"].to_numpy(), int((rows_of["_at"] < (rows_of["_span"].iloc[0] + 1) * m).sum())
+        return at, _next_starts(rows_of["_bytes"].to_numpy(), rows, size), own
+
+    def maps(rows_of: pd.DataFrame) -> pd.DataFrame:
+        _, after, own = lead(rows_of)
+        out, steps = after[:own].copy(), np.ones(own, np.int64)
+        for i in range(own - 1, -1, -1):
+            if after[i] < own:
+                out[i], steps[i] = out[after[i]], steps[after[i]] + 1
+        n = min(rows, own)
+        return pd.DataFrame({"_shard": [rows_of["_shard"].iloc[0]], "_span": [rows_of["_span"].iloc[0]], "own": [own], "out": [(out[:n] - own).astype(np.int64)], "steps": [steps[:n]]})
+
+    def follow(batches):
+        shard_now, entry, chunk = None, 0, 0
+        for b in batches:
+            told = []
+            for s, k, own, out, steps in zip(b["_shard"], b["_span"], b["own"], b["out"], b["steps"], strict=True):
+                if s != shard_now:
+                    shard_now, entry, chunk = s, 0, 0
+                told.append((s, k, entry, chunk))
+                if entry < own:
+                    entry, chunk = int(out[entry]), chunk + int(steps[entry])
+                else:
+                    entry -= own
+            yield pd.DataFrame(told, columns=["_shard", "_span", "_entry", "_chunk"])
+
+    def label(rows_of: pd.DataFrame) -> pd.DataFrame:
+        at, after, own = lead(rows_of)
+        start, starts = int(rows_of["_entry"].iloc[0]), np.zeros(own, np.int64)
+        while start < own:
+            starts[start] = 1
+            start = int(after[start])
+        ids = rows_of["_chunk"].iloc[0] - 1 + np.cumsum(starts)
+        return pd.DataFrame({"_shard": rows_of["_shard"].iloc[0], "_at": at[:own], "chunk_id": ids})
+
+    led = spans.applyInPandas(maps, "_shard string, _span bigint, own bigint, out array<bigint>, steps array<bigint>")
+    entries = led.repartition(1).sortWithinPartitions("_shard", "_span").mapInPandas(follow, "_shard string, _span bigint, _entry bigint, _chunk bigint")
+    entered = narrow.unionByName(ahead).join(entries, ["_shard", "_span"])
+    cut = entered.groupBy("_shard", "_span").applyInPandas(label, "_shard string, _at bigint, chunk_id bigint")
+    return placed.join(cut, ["_shard", "_at"]).drop("_shard", "_at", "_bytes")

@@ -41,6 +41,23 @@ def test_chunks(spark, rows_limit, size_limit):
             chunk, n, b = chunk + 1, 0, 0
     got = mixture.chunk_by_rows_and_bytes(df, "doc_id", rows_limit, size_limit)
     assert {r.doc_id: r.chunk_id for r in got.collect()} == expected
+    narrow = mixture.chunk_by_rows_and_bytes(df, "doc_id", rows_limit, size_limit, span=11)
+    assert {r.doc_id: r.chunk_id for r in narrow.collect()} == expected
+
+
+def test_chunks_by_shard(spark):
+    rows, df = docs(spark, 120)
+    expected, state = {}, {}
+    for i, s, t in rows:
+        chunk, n, b = state.get(s, (0, 0, 0))
+        expected[i] = chunk
+        n, b = n + 1, b + int((2 * t + len(s) + 24) * 1.3)
+        state[s] = (chunk + 1, 0, 0) if n >= 6 or b >= 900 else (chunk, n, b)
+    got = mixture.chunk_by_rows_and_bytes(df, "doc_id", 6, 900, shard="source", span=9)
+    assert {r.doc_id: r.chunk_id for r in got.collect()} == expected
+    assert mixture.chunk_by_rows_and_bytes(df.limit(0), "doc_id", 6, 900).count() == 0
+    some = spark.createDataFrame([(1, None, 5), (2, "a", None), (3, None, 7)], "doc_id bigint, source string, n_tokens bigint")
+    assert sorted((r.doc_id, r.chunk_id) for r in mixture.chunk_by_rows_and_bytes(some, "doc_id", 1, 900, shard="source").collect()) == [(1, 0), (2, 0), (3, 1)]
 
 
 def token_rows(spark, seed=2, n=60):
