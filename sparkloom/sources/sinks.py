@@ -36,14 +36,14 @@ def write_numbered_chunks(df: DataFrame, path: str, chunk: str = "chunk_id") ->
 
 
 def manifest(df: DataFrame, plan: dict[str, int], ratios: dict[str, float] | None = None, rows_per_file: int | None = None) -> DataFrame:
-    """One row with one JSON text: documents, tokens and mean tokens by source and in all, the plan, the shares it was made by, and how many chunks
+    """One row with one JSON text: documents, tokens and (under `means`) mean tokens by source and in all, the plan, the shares it was made by, and how many chunks
     of rows_per_file rows there are at least."""
     mean = lambda: (F.col("tokens") / F.greatest(F.col("docs"), F.lit(1))).alias("mean_tokens")
     stats = df.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
-    rows = stats.agg(F.sort_array(F.collect_list(F.struct("source", "docs", "tokens", mean()))).alias("sources"), F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    rows = stats.agg(F.sort_array(F.collect_list(F.struct("source", "docs", "tokens"))).alias("sources"), F.sort_array(F.collect_list(F.struct("source", mean()))).alias("means"), F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     literal = lambda d, kind: F.map_from_arrays(F.array(*[F.lit(s) for s in d]), F.array(*[F.lit(kind(v)) for v in d.values()])) if d else F.lit(None)
     chunks = F.ceil(F.col("docs") / rows_per_file) if rows_per_file else F.lit(None)
-    return rows.select(F.to_json(F.struct("sources", "docs", "tokens", mean(), chunks.alias("chunks"), literal(plan, int).alias("plan"), literal(ratios, float).alias("ratios"))).alias("manifest"))
+    return rows.select(F.to_json(F.struct("sources", "docs", "tokens", "means", mean(), chunks.alias("chunks"), literal(plan, int).alias("plan"), literal(ratios, float).alias("ratios"))).alias("manifest"))
 
 
 def append_log(df: DataFrame, path: str) -> None:
