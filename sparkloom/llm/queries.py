@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, fingerprint, language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
+from sparkloom.llm import byte_bpe, filter_audit, fingerprint, language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_mixing": mixing.op9_mixing,
         "op10_vector_dedup": vector_dedup.op10_vector_dedup,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
@@ -49,6 +50,26 @@ FROM embeddings e JOIN reach r ON r.node = e.vec_id LEFT JOIN n ON n.a = e.vec_i
 """
 
 
+_FILTER_AUDIT = """
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w,
+  min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+flags AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), 'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(first < w.doc_id, false)} AS f
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+docs AS (SELECT part, good, toxic, (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END) || (CASE WHEN f.C THEN 'C' ELSE '' END) || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS fails, count(*) AS n FROM flags GROUP BY ALL),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+gone AS (SELECT d.*, o.filter_order, coalesce(list_min(list_transform(string_split(d.fails, ''), lambda x: CASE WHEN x <> '' THEN instr(o.filter_order, x) END)), 6) AS out_at FROM docs d, orders o),
+steps AS (SELECT part, filter_order, step, substr(filter_order, step::BIGINT, 1) AS x,
+  sum(CASE WHEN out_at > step THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN out_at = step THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN out_at < step AND contains(fails, substr(filter_order, step::BIGINT, 1)) THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = substr(filter_order, step::BIGINT, 1) THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN out_at = step AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN out_at = step AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM gone, (SELECT unnest(range(1, 6))::INT AS step) GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM steps
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators rest on tokenizer libraries, hashes or fitted models; tests hold them against brute force instead."""
-    return {"op3_near_dedup": _NEAR_DEDUP, "op10_vector_dedup": _VECTOR_DEDUP}
+    return {"op3_near_dedup": _NEAR_DEDUP, "op10_vector_dedup": _VECTOR_DEDUP, "op11_filter_audit": _FILTER_AUDIT}
