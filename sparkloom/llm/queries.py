@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, filter_audit, fingerprint, language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
+from sparkloom.llm import byte_bpe, filter_audit, fingerprint, hard_negatives, language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": mixing.op9_mixing,
         "op10_vector_dedup": vector_dedup.op10_vector_dedup,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     }
 
 
@@ -50,6 +51,15 @@ FROM embeddings e JOIN reach r ON r.node = e.vec_id LEFT JOIN n ON n.a = e.vec_i
 """
 
 
+_HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same AND other_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
 _FILTER_AUDIT = """
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w,
   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
@@ -72,4 +82,4 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 def oracle_sql() -> dict[str, str]:
     """The other operators rest on tokenizer libraries, hashes or fitted models; tests hold them against brute force instead."""
-    return {"op3_near_dedup": _NEAR_DEDUP, "op10_vector_dedup": _VECTOR_DEDUP, "op11_filter_audit": _FILTER_AUDIT}
+    return {"op3_near_dedup": _NEAR_DEDUP, "op10_vector_dedup": _VECTOR_DEDUP, "op11_filter_audit": _FILTER_AUDIT, "op12_hard_negatives": _HARD_NEGATIVES}
