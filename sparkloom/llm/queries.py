@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, filter_audit, fingerprint, hard_negatives, language, mixing, near_dedup, packing, page_text, secrets, token_orc, vector_dedup
+from sparkloom.llm import byte_bpe, filter_audit, fingerprint, hard_negatives, language, mixing, near_dedup, packing, page_text, personal_data, secrets, token_orc, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_vector_dedup": vector_dedup.op10_vector_dedup,
         "op11_filter_audit": filter_audit.op11_filter_audit,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_personal_data": personal_data.op13_personal_data,
     }
 
 
