@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from sparkloom.operators.mixture import range_of, seeded
+from sparkloom.operators.selection import first_n
 
 BUCKETS = (1024, 2048, 4096, 8192, 16384)
 
@@ -63,7 +64,7 @@ def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 def validation_sample(df: DataFrame, n: int, least_tokens: int, seed: int, key: str) -> DataFrame:
     """n rows in seeded order, then those that are long enough: the length is looked at after the sample is drawn."""
-    return df.orderBy(seeded(seed, key), key).limit(n).where(F.col("n_tokens") >= least_tokens)
+    return first_n(df, n, seeded(seed, key), key).where(F.col("n_tokens") >= least_tokens)
 
 
 def fixed_batches(df: DataFrame, size: int, seed: int, key: str) -> DataFrame:

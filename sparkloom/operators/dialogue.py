@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import annotations_to_calls, hash_answer, is_refusal, last_result, math_answer, stripped
+from sparkloom.operators.selection import first_n
 
 
 def speaker(role: Column) -> Column:
@@ -81,24 +82,24 @@ def instruction_rows(df: DataFrame, key: str) -> DataFrame:
 
 def trace_rows(df: DataFrame, key: str, kept: int = 50_000) -> DataFrame:
     """source, key, prompt, target of the first `kept` rows with problem and solution."""
-    rows = df.where((F.coalesce(F.col("problem"), F.lit("")) != "") & (F.coalesce(F.col("solution"), F.lit("")) != "")).orderBy(key).limit(kept)
+    rows = first_n(df.where((F.coalesce(F.col("problem"), F.lit("")) != "") & (F.coalesce(F.col("solution"), F.lit("")) != "")), kept, key)
     return rows.select(F.lit("openr1").alias("source"), key, F.concat(F.lit("Problem: "), F.col("problem"), F.lit("\nSolution: <REASON>")).alias("prompt"), reasoned(F.col("solution"), F.coalesce(F.col("answer"), F.lit(""))).alias("target"))
 
 
 def trace_texts(df: DataFrame, key: str, examined: int = 50_000) -> DataFrame:
     """source, key, text of those of the first `examined` rows that have problem and solution."""
-    rows = df.orderBy(key).limit(examined).where((F.coalesce(F.col("problem"), F.lit("")) != "") & (F.coalesce(F.col("solution"), F.lit("")) != ""))
+    rows = first_n(df, examined, key).where((F.coalesce(F.col("problem"), F.lit("")) != "") & (F.coalesce(F.col("solution"), F.lit("")) != ""))
     return rows.select(F.lit("openr1").alias("source"), key, F.concat(F.lit("Problem: "), F.col("problem"), F.lit("\n\nSolution:\n"), F.col("solution"), F.lit("\n\nAnswer: "), F.coalesce(F.col("answer"), F.lit(""))).alias("text"))
 
 
 def dialogue_rows(pairs: DataFrame, key: str, field: Column, most: int = 30_000) -> DataFrame:
-    rows = pairs.orderBy(key).limit(most)
+    rows = first_n(pairs, most, key)
     return rows.select(F.lit("physics").alias("source"), key, dialogue_prompt(field, F.col("question")).alias("prompt"), reasoned(F.col("answer"), F.lit("Done")).alias("target"))
 
 
 def dialogue_texts(pairs: DataFrame, key: str, field: Column, most: int = 30_000) -> DataFrame:
     """source, key, text of the first `most` pairs."""
-    rows = pairs.orderBy(key).limit(most)
+    rows = first_n(pairs, most, key)
     return rows.select(F.lit("physics").alias("source"), key, dialogue_text(field, F.col("question"), F.col("answer")).alias("text"))
 
 
@@ -117,7 +118,7 @@ def tuning_rows(synthetic: DataFrame, instructions: DataFrame, traces: DataFrame
 
 def problem_solution_rows(df: DataFrame, key: str, first: str, second: str, cap: int) -> DataFrame:
     """key, text of the first max(cap, 1) rows with both fields."""
-    rows = df.where((F.coalesce(F.col(first), F.lit("")) != "") & (F.coalesce(F.col(second), F.lit("")) != "")).orderBy(key).limit(max(cap, 1))
+    rows = first_n(df.where((F.coalesce(F.col(first), F.lit("")) != "") & (F.coalesce(F.col(second), F.lit("")) != "")), max(cap, 1), key)
     return rows.select(key, F.concat(F.lit("Problem: "), F.col(first), F.lit("\nSolution: "), F.col(second)).alias("text"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import is_legacy_code
 from sparkloom.functions.tokens import estimated_row_bytes
+from sparkloom.operators.selection import Keys, first_n, upto
 
 
 def seeded(seed: int, *keys: str) -> Column:
@@ -31,33 +32,32 @@ def sample_per_group(df: DataFrame, n: int, group: str, seed: int, key: str) ->
 
 
 def quality_take(df: DataFrame, score: str, least: int, n: int, seed: int, key: str) -> DataFrame:
-    """n of the rows that score at least `least`, in seeded order."""
-    return shuffled(df.where(F.col(score) >= least), seed, key).limit(n)
+    """The first n in seeded order of the rows that score at least `least`."""
+    return first_n(df.where(F.col(score) >= least), n, seeded(seed, key), key)
 
 
 def estimated_cut(df: DataFrame, target: int, order: str, text: str = "text", mean: int = 700, hard: int = 2_000_000) -> DataFrame:
     """Rows with text, in order, until `mean` tokens each would reach the target."""
-    n = min(hard, max(1, -(-target // mean)))
-    return df.where(F.coalesce(F.col(text), F.lit("")) != "").orderBy(order).limit(n)
+    return first_n(df.where(F.coalesce(F.col(text), F.lit("")) != ""), min(hard, max(1, -(-target // mean))), order)
 
 
 def capped_after(df: DataFrame, cap: int, order: str) -> DataFrame:
     """The first max(cap, 1) rows: the cap is looked at after a row is taken."""
-    return df.orderBy(order).limit(max(cap, 1))
+    return first_n(df, max(cap, 1), order)
 
 
 def current_code(df: DataFrame, cap: int, order: str, code: str = "code") -> DataFrame:
-    """Rows that no legacy pattern matches. A row is kept if it is the first, or if fewer than `cap` rows had been examined up to the
-    kept row before it. Adds `examined`. Rows before the cap are few and bounded by it, so the order is cut to them first."""
-    rows = df.where(F.coalesce(F.col(code), F.lit("")) != "").withColumn("passes", ~is_legacy_code(F.col(code)))
-    within = rows.orderBy(order).limit(max(cap, 1)).withColumn("examined", F.row_number().over(W.orderBy(order)))
-    beyond = rows.where("passes").join(F.broadcast(within.agg(F.max(order).alias("_last"))), F.col(order) > F.col("_last")).drop("_last").orderBy(order).limit(1)
-    # The first passing row beyond the cap is kept when every passing row before it was within it.
-    tail = beyond.withColumn("examined", F.lit(None).cast("int"))
-    both = within.where("passes").unionByName(tail)
-    before = F.lag("examined").over(W.orderBy(order))
-    first = F.row_number().over(W.orderBy(order)) == 1
-    return both.withColumn("_ok", first | (before < cap)).where("_ok").drop("_ok", "passes")
+    """Rows that no legacy pattern matches, up to the first of them that is the cap-th row examined or a later one. Rows without code aren't
+    examined. The cap-th key and the key of that last row are found by counting and by a minimum; a filter takes the rest."""
+    rows = df.where(F.coalesce(F.col(code), F.lit("")) != "")
+    passing = rows.where(~is_legacy_code(F.col(code)))
+    keys = Keys(rows, [F.col(order)])
+    found = keys.nth(max(cap, 1))
+    keys.close()
+    if found is None:
+        return passing
+    last = passing.where(keys.key >= keys.literal(found[0])).agg(F.min(keys.key).alias("k")).first().k
+    return passing if last is None else passing.where(upto(keys, last))
 
 
 def legacy_rate(df: DataFrame, code: str = "code") -> DataFrame:
