@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
+from sparkloom.operators import prefix
 from sparkloom.operators.mixture import range_of, seeded
 from sparkloom.operators.selection import first_n
 
@@ -27,6 +28,13 @@ def source_stats(df: DataFrame) -> DataFrame:
     return df.rollup("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
 
 
+def running_stats(df: DataFrame, order: str, by_source: bool = False) -> DataFrame:
+    """source, the order key, and docs, tokens, the shortest, longest and mean n_tokens up to each row, over all sources or each by itself."""
+    n = F.col("n_tokens")
+    told = {"docs": prefix.rows(), "tokens": prefix.total(n), "shortest": prefix.least(n), "longest": prefix.greatest(n), "mean_tokens": prefix.mean(n)}
+    return prefix.running(df.select("source", order, "n_tokens"), order, told, ["source"] if by_source else None).drop("n_tokens")
+
+
 def with_position(df: DataFrame, order: str, weight: str | None = None, ranges: int | None = None) -> DataFrame:
     """Adds `position`: the rows before (or the sum of their weights), in the order of a key: nulls first, and among equal keys by weight, then by a
     hash of the plain columns. Rows are dealt into ranges of the key; the ranges' totals, a number of rows that doesn't grow with the table's,

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import boxed, last_number
 from sparkloom.functions.verify import is_equivalent, reward, reward_format
+from sparkloom.operators import prefix
 
 OPERATIONS = ("add", "sub", "mul", "div")
 
@@ -57,11 +57,11 @@ def accuracy_by_operation(judged: DataFrame, op: str = "op", correct: str = "cor
     return names.join(F.broadcast(found), op, "left").select(op, zero("total").alias("total"), zero("right").alias("correct"), (zero("right") / F.greatest(zero("total"), F.lit(1))).alias("accuracy"))
 
 
-def running_accuracy(judged: DataFrame, group: str, idx: str, correct: str, every: int) -> DataFrame:
-    """group, idx, seen, accuracy so far after every `every` rows of a group."""
-    w = W.partitionBy(group).orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
-    out = judged.select(group, idx, F.count("*").over(w).alias("seen"), F.avg(F.col(correct).cast("int")).over(w).alias("accuracy"))
-    return out.where(F.col("seen") % every == 0)
+def running_accuracy(judged: DataFrame, group: str | None, idx: str, correct: str, every: int) -> DataFrame:
+    """group (where there is one), idx, seen, accuracy so far after every `every` rows of a group, or of one run over all rows."""
+    by = [group] if group else []
+    told = {"seen": prefix.rows(), "accuracy": prefix.share(F.col(correct))}
+    return prefix.running(judged.select(*by, idx, correct), idx, told, by).where(F.col("seen") % every == 0).drop(correct)
 
 
 def vote_metrics(results: DataFrame, correct: str = "correct", agreement: str = "agreement") -> DataFrame:

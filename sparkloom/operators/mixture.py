@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from sparkloom.functions.text import is_legacy_code
 from sparkloom.functions.tokens import estimated_row_bytes
-from sparkloom.operators.selection import Keys, first_n, upto
+from sparkloom.operators.selection import Keys, comparable, first_n, sampled_keys, tie_hash, upto
 
 
 def seeded(seed: int, *keys: str) -> Column:
@@ -66,17 +67,31 @@ def legacy_rate(df: DataFrame, code: str = "code") -> DataFrame:
     return rows.agg(F.count("*").alias("examined"), F.count_if(is_legacy_code(F.col(code))).alias("rejected")).withColumn("rejected_percent", 100.0 * F.col("rejected") / F.greatest("examined", F.lit(1)))
 
 
+def running_legacy_rate(df: DataFrame, order: str, every: int, code: str = "code") -> DataFrame:
+    """The order key, examined, rejected_percent so far, after every `every` rows with code."""
+    from sparkloom.operators import prefix
+
+    rows = df.where(F.coalesce(F.col(code), F.lit("")) != "").select(order, is_legacy_code(F.col(code)).alias("legacy"))
+    told = {"examined": prefix.rows(), "rejected_percent": prefix.share(F.col("legacy"), percent=True)}
+    return prefix.running(rows, order, told).where(F.col("examined") % every == 0).drop("legacy")
+
+
 def range_of(df: DataFrame, order: str, ranges: int | None = None) -> Column:
     """Number of the range of `order` that a row is in, of about as many rows each; nulls are in the first, as they sort first. There are as many
     ranges as shuffle partitions, 64 at least, so that a range stays one task's work as tables and clusters grow; bounds are found in a literal
-    array by bisection."""
+    array by bisection. Numbers have bounds by rows; other keys (texts, times) by a sample of the distinct ones. Bounds are looked up while the query is built."""
     n = ranges or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] or []))
+    key = comparable(df, [F.col(order)])[0]
+    if isinstance(df.select(order).schema[0].dataType, NumericType):
+        bounds = sorted(set(df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] or []))
+    else:
+        keys = sampled_keys(df, key, 8 * n)
+        bounds = list(dict.fromkeys(keys[k * len(keys) // n] for k in range(1, n))) if keys else []
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
     held = F.array(*[F.lit(b) for b in bounds])
-    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, step: F.when(F.get(held, i + step - 1) <= F.col(order), i + step).otherwise(i))
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, step: F.when(F.get(held, i + step - 1) <= key, i + step).otherwise(i))
     return F.when(F.col(order).isNull(), 0).otherwise(found)
 
 
@@ -87,7 +102,7 @@ def plan_table(spark: SparkSession, plan: dict[str, tuple[int, int]]) -> DataFra
 
 def budget_cut(df: DataFrame, plan: DataFrame, order: str, tokens: str = "n_tokens", buckets: int | None = None) -> DataFrame:
     """Per source: rows in order while the tokens before them are under the target and the rows before them under the cap; the row that
-    crosses the target stays. Sources without a plan pass whole. Null keys come first.
+    crosses the target stays. Sources without a plan pass whole. Null keys come first, equal keys go by tokens and then a hash of the plain columns.
 
     Both conditions are monotone, so the kept rows are a prefix. A source may hold a third of all rows, so none is sorted by one task: rows
     are dealt into ranges of the order within the source, ranges' totals give each its base, and only within a range is there a window."""
@@ -98,7 +113,7 @@ def budget_cut(df: DataFrame, plan: DataFrame, order: str, tokens: str = "n_toke
     bases = totals.select("source", "_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))
     # Ranges that start at or beyond the target or the cap are dropped before any row is sorted.
     live = ranged.join(F.broadcast(bases), ["source", "_range"], "left").where("target is null or (_t0 < target and _c0 < cap)")
-    rows_before = W.partitionBy("source", "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows_before = W.partitionBy("source", "_range").orderBy(order, tokens, tie_hash(df)).rowsBetween(W.unboundedPreceding, -1)
     spent = F.col("_t0") + F.coalesce(F.sum(tokens).over(rows_before), F.lit(0))
     kept = F.col("_c0") + F.coalesce(F.count(F.lit(1)).over(rows_before), F.lit(0))
     out = live.where("target is not null").withColumn("_ok", (spent < F.col("target")) & (kept < F.col("cap"))).where("_ok").drop("_ok")

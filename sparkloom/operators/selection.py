@@ -36,6 +36,13 @@ def _literal(value: Row, kind: StructType) -> Column:
     return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(value, kind, strict=True)])
 
 
+def sampled_keys(df: DataFrame, key: Column, about: int) -> list:
+    """About so many distinct keys in order (all, if there are fewer), whichever way the rows are dealt: those with the least hashes of `about` classes."""
+    hashed = df.select(key.alias("k")).where("k is not null").select("k", F.xxhash64("k").alias("h"))
+    least = hashed.groupBy(F.pmod("h", F.lit(about)).alias("b")).agg(F.min_by("k", "h").alias("k"))
+    return [r.k for r in least.select("k").distinct().orderBy("k").collect()]
+
+
 class Keys:
     """The keys of a table's rows in an order, staged; kept until close()."""
 

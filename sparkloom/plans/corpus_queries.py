@@ -44,6 +44,25 @@ def shard_stats(spark, sf_dir):
     return bigints(corpus.shard_stats(corpus.only_sources(rows, ["src0", "src1", "src2"])), "docs", "tokens")
 
 
+def _running(got: DataFrame) -> DataFrame:
+    return bigints(got, "docs", "tokens", "shortest", "longest").withColumn("mean_tokens", F.round("mean_tokens", 6))
+
+
+def running_totals(spark, sf_dir):
+    """Totals up to each document, in one run over all."""
+    return _running(corpus.running_stats(encoded(spark, sf_dir, False), "doc_id")).drop("source")
+
+
+def running_source_totals(spark, sf_dir):
+    return _running(corpus.running_stats(encoded(spark, sf_dir, False), "doc_id", by_source=True))
+
+
+def running_legacy_rate(spark, sf_dir):
+    """The share of legacy code among what has been examined, as it is told while a source is filtered."""
+    got = mixture.running_legacy_rate(_code(spark, sf_dir), "k", 100)
+    return bigints(got, "examined").withColumn("rejected_percent", F.round("rejected_percent", 6))
+
+
 def encode_stats(spark, sf_dir):
     e = encoded(spark, sf_dir)
     return e.select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), joined(F.col("tokens")).alias("digest"))
@@ -99,19 +118,11 @@ def legacy_rate(spark, sf_dir):
     return bigints(got, "examined", "rejected").withColumn("rejected_percent", F.round("rejected_percent", 6))
 
 
-def _two_fields(spark, sf_dir, cap: int) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("role"), "text")
-    got = dialogue.problem_solution_rows(c, "key", "role", "text", cap)
-    return got.select("key", F.md5("text").alias("digest"))
-
-
-def two_field_filter(spark, sf_dir):
-    return _two_fields(spark, sf_dir, 100)
-
-
 def two_field_filter_whole(spark, sf_dir):
     """With the reference's cap."""
-    return _two_fields(spark, sf_dir, 50_000)
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("role"), "text")
+    got = dialogue.problem_solution_rows(c, "key", "role", "text", 50_000)
+    return got.select("key", F.md5("text").alias("digest"))
 
 
 def _sharded(spark, sf_dir):
@@ -209,12 +220,12 @@ def ordered_union(spark, sf_dir):
     return bigints(dialogue.ordered_union(frames), "source_rank")
 
 
-def _sft_branches(spark, sf_dir, orders: DataFrame, **caps: int) -> DataFrame:
-    """Instructions, traces and dialogues; caps: most traces and pairs, the operators' own where they aren't given."""
-    field = F.lit("general")
-    pairs = dialogue.dialogue_rows(_pairs(spark, sf_dir).withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", field, caps.get("pairs", 30_000))
+def _sft_branches(spark, sf_dir) -> DataFrame:
+    """Instructions, traces and dialogues, with the reference's caps, which are the operators' own."""
+    field, orders = F.lit("general"), table(spark, sf_dir, "orders")
+    pairs = dialogue.dialogue_rows(_pairs(spark, sf_dir).withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", field)
     instructions = dialogue.instruction_rows(orders.select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit(" Status of "), F.col("o_orderkey").cast("string")).alias("instruction"), F.when(F.col("o_orderkey") % 20 == 0, "").otherwise("short").alias("input"), F.when(F.col("o_orderkey") % 30 == 0, "<NoOutput> x").otherwise(F.concat(F.col("o_orderstatus"), F.lit("\n"))).alias("output")), "key")
-    traces = dialogue.trace_rows(orders.select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("problem"), F.when(F.col("o_orderkey") % 40 == 0, "").otherwise("S").alias("solution"), F.col("o_orderstatus").alias("answer")), "key", caps.get("traces", 50_000))
+    traces = dialogue.trace_rows(orders.select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("problem"), F.when(F.col("o_orderkey") % 40 == 0, "").otherwise("S").alias("solution"), F.col("o_orderstatus").alias("answer")), "key")
     return instructions.unionByName(traces).unionByName(pairs)
 
 
@@ -223,8 +234,8 @@ def _digested(examples: DataFrame) -> DataFrame:
 
 
 def sft_union(spark, sf_dir):
-    """A tenth of the orders and small caps, as its SQL has it; sft_union_whole has all."""
-    return _digested(_sft_branches(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"), traces=100, pairs=150))
+    """The branches that come from tables."""
+    return _digested(_sft_branches(spark, sf_dir))
 
 
 def sft_union_whole(spark, sf_dir):
@@ -232,24 +243,16 @@ def sft_union_whole(spark, sf_dir):
     p = problem(F.col("id"))
     made = dialogue.synthetic_problem(p["question"], p["answer"])
     synthetic = spark.range(2_000).select(F.lit("synthetic").alias("source"), F.col("id").alias("key"), made["prompt"].alias("prompt"), made["target"].alias("target"))
-    return _digested(synthetic.unionByName(_sft_branches(spark, sf_dir, table(spark, sf_dir, "orders"))))
-
-
-def _trace_texts(spark, sf_dir, *examined: int) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("problem"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("S").alias("solution"), F.col("o_orderstatus").alias("answer"))
-    return dialogue.trace_texts(rows, "key", *examined).select("key", F.md5("text").alias("digest"))
-
-
-def trace_texts(spark, sf_dir):
-    return _trace_texts(spark, sf_dir, 500)
+    return _digested(synthetic.unionByName(_sft_branches(spark, sf_dir)))
 
 
 def trace_texts_whole(spark, sf_dir):
     """With the reference's cap, which is the operator's own."""
-    return _trace_texts(spark, sf_dir)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("problem"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("S").alias("solution"), F.col("o_orderstatus").alias("answer"))
+    return dialogue.trace_texts(rows, "key").select("key", F.md5("text").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (source_stats, shard_stats, encode_stats, budget_mixture, budget_rows, estimated_cut, quality_take, legacy_filter_cap, legacy_rate, two_field_filter, two_field_filter_whole, holdout_split, holdout_difference, val_sample, shuffle_batches, token_offsets, pack_drop_tail, pack_resume, pack_pad_labels, pack_prompt_mask, shift_pairs, chunk_ids_rows, chunk_ids_both, row_bytes, turn_pairs, length_buckets, sample_per_source, ordered_union, sft_union, sft_union_whole, trace_texts, trace_texts_whole)}
+QUERIES = {f.__name__: f for f in (source_stats, shard_stats, running_totals, running_source_totals, running_legacy_rate, encode_stats, budget_mixture, budget_rows, estimated_cut, quality_take, legacy_filter_cap, legacy_rate, two_field_filter_whole, holdout_split, holdout_difference, val_sample, shuffle_batches, token_offsets, pack_drop_tail, pack_resume, pack_pad_labels, pack_prompt_mask, shift_pairs, chunk_ids_rows, chunk_ids_both, row_bytes, turn_pairs, length_buckets, sample_per_source, ordered_union, sft_union, sft_union_whole, trace_texts_whole)}
 
 _BUDGET = f"""WITH {DOCS}, {PLAN_SQL}, run AS (SELECT d.doc_id, d.source, d.n_tokens, p.target, p.cap,
   coalesce(sum(d.n_tokens) OVER w, 0) AS spent, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS kept FROM docs d LEFT JOIN plan p USING (source)
@@ -265,7 +268,12 @@ def _stream_sql(end: int) -> str:
 
 _PADDED = f"padded AS (SELECT chunk_id, list_concat(ids, list_transform(range({LENGTH} - len(ids)), lambda x: {PAD})) AS ids FROM packed)"
 
+_SO_FAR = "count(*) OVER w AS docs, sum(n_tokens) OVER w::BIGINT AS tokens, min(n_tokens) OVER w AS shortest, max(n_tokens) OVER w AS longest, round(avg(n_tokens) OVER w, 6)::DOUBLE AS mean_tokens FROM docs"
+
 SQL = {
+    "running_totals": f"WITH {DOCS} SELECT doc_id, {_SO_FAR} WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)",
+    "running_source_totals": f"WITH {DOCS} SELECT source, doc_id, {_SO_FAR} WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)",
+    "running_legacy_rate": f"WITH {CODE_SQL}, r AS (SELECT k, examined, round(100.0 * (count(*) FILTER (NOT passes) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING))::DOUBLE / examined, 6)::DOUBLE AS rejected_percent FROM seen) SELECT * FROM r WHERE examined % 100 = 0",
     "source_stats": f"WITH {DOCS} SELECT source, count(*)::BIGINT AS docs, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ROLLUP(source)",
     "shard_stats": f"WITH {DOCS} SELECT (doc_id // 100)::BIGINT AS shard, source, count(*)::BIGINT AS docs, sum(n_tokens)::BIGINT AS tokens FROM docs WHERE source IN ('src0','src1','src2') GROUP BY 1, 2",
     "encode_stats": f"WITH {DOCS} SELECT doc_id, len(tokens)::BIGINT AS n, list_sum(tokens)::BIGINT AS total, {joined_sql('tokens')} AS digest FROM docs",
@@ -275,7 +283,7 @@ SQL = {
     "quality_take": "SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE quality >= 1 ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
     "legacy_filter_cap": f"WITH {CODE_SQL}, passing AS (SELECT k, lag(examined) OVER (ORDER BY k) AS before FROM seen WHERE passes) SELECT k FROM passing WHERE before IS NULL OR before < 200",
     "legacy_rate": f"WITH {CODE_SQL} SELECT count(*)::BIGINT AS examined, count(*) FILTER (NOT passes)::BIGINT AS rejected, round(100.0 * count(*) FILTER (NOT passes)::DOUBLE / greatest(count(*), 1), 6)::DOUBLE AS rejected_percent FROM seen",
-    "two_field_filter": "WITH c AS (SELECT conv_id * 1000 + turn AS key, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS role, text FROM conversations) SELECT key, md5('Problem: ' || role || chr(10) || 'Solution: ' || text) AS digest FROM c WHERE role <> '' AND text <> '' ORDER BY key LIMIT 100",
+    "two_field_filter_whole": "WITH c AS (SELECT conv_id * 1000 + turn AS key, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS role, text FROM conversations) SELECT key, md5('Problem: ' || role || chr(10) || 'Solution: ' || text) AS digest FROM c WHERE role <> '' AND text <> '' ORDER BY key LIMIT 50000",
     "holdout_split": f"WITH {_SHARDED} SELECT doc_id, shard::BIGINT AS shard, back <= greatest(1, floor(n * 0.05::DOUBLE)) AS held_out FROM sharded",
     "holdout_difference": f"WITH {_SHARDED} SELECT doc_id FROM sharded WHERE back > greatest(1, floor(n * 0.05::DOUBLE))",
     "val_sample": f"WITH {_SHARDED}, drawn AS (SELECT doc_id, n_tokens FROM sharded WHERE back <= greatest(1, floor(n * 0.2::DOUBLE)) ORDER BY md5('7:' || doc_id), doc_id LIMIT 100) SELECT doc_id, n_tokens FROM drawn WHERE n_tokens >= 1000",
@@ -300,12 +308,10 @@ SQL = {
     "length_buckets": f"WITH {DOCS}, b(bucket) AS (VALUES (1024), (2048), (4096), (8192), (16384)), m AS (SELECT doc_id, bucket::BIGINT AS bucket, n_tokens, row_number() OVER (PARTITION BY bucket ORDER BY md5('3:' || doc_id), doc_id) AS r FROM docs JOIN b ON n_tokens BETWEEN floor(0.9 * bucket) AND floor(1.1 * bucket)) SELECT doc_id, bucket, n_tokens FROM m WHERE r <= 5",
     "sample_per_source": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('5:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 5",
     "ordered_union": "SELECT doc_id, source, CASE source WHEN 'src2' THEN 0 WHEN 'src0' THEN 1 ELSE 2 END::BIGINT AS source_rank FROM documents WHERE source IN ('src0', 'src1', 'src2')",
-    "sft_union": f"""WITH {PAIRS}, o AS (SELECT o_orderkey::BIGINT AS key, o_orderstatus AS st FROM orders WHERE o_orderkey % 10 = 0),
+    "sft_union": f"""WITH {PAIRS}, o AS (SELECT o_orderkey::BIGINT AS key, o_orderstatus AS st FROM orders),
      a AS (SELECT 'alpaca' AS source, key, 'Instruction: Status of ' || key || chr(10) || CASE WHEN key % 20 = 0 THEN '' ELSE 'Input: short' || chr(10) END || 'Response:' AS prompt, ' ' || st AS target FROM o WHERE key % 30 <> 0),
-     t AS (SELECT 'openr1' AS source, key, 'Problem: P' || key || chr(10) || 'Solution: <REASON>' AS prompt, 'S</REASON>' || chr(10) || '<ANSWER>' || st || '</ANSWER>' AS target FROM o WHERE key % 40 <> 0 ORDER BY key LIMIT 100),
-     d AS (SELECT 'physics' AS source, key, '[Physics: general] ' || question || chr(10) || 'Answer: <REASON>' AS prompt, answer || '</REASON>' || chr(10) || '<ANSWER>Done</ANSWER>' AS target FROM pairs ORDER BY key LIMIT 150)
+     t AS (SELECT 'openr1' AS source, key, 'Problem: P' || key || chr(10) || 'Solution: <REASON>' AS prompt, 'S</REASON>' || chr(10) || '<ANSWER>' || st || '</ANSWER>' AS target FROM o WHERE key % 40 <> 0 ORDER BY key LIMIT 50000),
+     d AS (SELECT 'physics' AS source, key, '[Physics: general] ' || question || chr(10) || 'Answer: <REASON>' AS prompt, answer || '</REASON>' || chr(10) || '<ANSWER>Done</ANSWER>' AS target FROM pairs ORDER BY key LIMIT 30000)
      SELECT source, key, md5(prompt) AS prompt, md5(target) AS target FROM (SELECT * FROM a UNION ALL SELECT * FROM t UNION ALL SELECT * FROM d)""",
-    "trace_texts": "WITH f AS (SELECT o_orderkey::BIGINT AS key, o_orderstatus AS st FROM orders ORDER BY o_orderkey LIMIT 500) SELECT key, md5('Problem: P' || key || chr(10) || chr(10) || 'Solution:' || chr(10) || 'S' || chr(10) || chr(10) || 'Answer: ' || st) AS digest FROM f WHERE key % 3 <> 0",
+    "trace_texts_whole": "WITH f AS (SELECT o_orderkey::BIGINT AS key, o_orderstatus AS st FROM orders ORDER BY o_orderkey LIMIT 50000) SELECT key, md5('Problem: P' || key || chr(10) || chr(10) || 'Solution:' || chr(10) || 'S' || chr(10) || chr(10) || 'Answer: ' || st) AS digest FROM f WHERE key % 3 <> 0",
 }
-SQL["two_field_filter_whole"] = SQL["two_field_filter"].replace("LIMIT 100", "LIMIT 50000")
-SQL["trace_texts_whole"] = SQL["trace_texts"].replace("LIMIT 500", "LIMIT 50000")

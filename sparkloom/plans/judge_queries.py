@@ -74,21 +74,13 @@ def calc_annotations(spark, sf_dir):
     return _lines(spark, sf_dir).select("k", "idx", F.md5(text.annotations_to_calls(t)).alias("digest"))
 
 
-def _word_problem_formats(lines: DataFrame) -> DataFrame:
+def word_problem_formats_whole(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
     q, p = F.col("q"), F.col("p")
     f = dialogue.word_problem(_fmt("How many ", p, "?"), _fmt("It is <<", q, "+", p, "=", q + p, ">>", q + p, " \n#### ", q + p))
     return lines.select("k", "idx", f.alias("f")).select("k", "idx", F.md5("f.pretrain").alias("pretrain"), F.md5("f.prompt").alias("prompt"), F.md5("f.target").alias("target"), F.md5("f.ask").alias("ask"), F.col("f.gold").alias("gold"))
 
 
-def word_problem_formats(spark, sf_dir):
-    """A tenth of the orders, as its SQL has it; word_problem_formats_whole has all."""
-    return _word_problem_formats(_lines(spark, sf_dir).where("k % 10 = 1"))
-
-
-def word_problem_formats_whole(spark, sf_dir):
-    return _word_problem_formats(_lines(spark, sf_dir))
-
-
 def competition_formats(spark, sf_dir):
     f = dialogue.competition_problem(_fmt("Find ", F.col("c")), _fmt("so \\boxed{", F.col("k"), "}"))
     return _orders(spark, sf_dir).select("k", f.alias("f")).select("k", F.md5("f.pretrain").alias("pretrain"), F.md5("f.prompt").alias("prompt"), F.md5("f.target").alias("target"), F.md5("f.ask").alias("ask"), F.col("f.gold").alias("gold"))
@@ -209,6 +201,12 @@ def running_accuracy(spark, sf_dir):
     return got.select("g", "pos", F.col("seen").cast("bigint").alias("seen"), F.round("accuracy", 6).alias("accuracy"))
 
 
+def running_accuracy_whole(spark, sf_dir):
+    """One evaluation over all lines."""
+    got = judging.running_accuracy(_judged(spark, sf_dir).withColumn("pos", F.col("k") * 100 + F.col("idx")), None, "pos", "correct", 10)
+    return got.select("pos", F.col("seen").cast("bigint").alias("seen"), F.round("accuracy", 6).alias("accuracy"))
+
+
 def advantages_median(spark, sf_dir):
     return policy.advantages(_lines(spark, sf_dir), "k", "d").select("k", "idx", F.round("advantage", 6).alias("advantage"))
 
@@ -304,7 +302,7 @@ def instruction_filter(spark, sf_dir):
     return rows.where(~text.is_refusal(F.col("output"))).select("k", "output")
 
 
-QUERIES = {f.__name__: f for f in (extract_number_last, extract_number_first, hash_answer, boxed, calc_annotations, word_problem_formats, word_problem_formats_whole, competition_formats, synthetic_formats, digit_split, digit_collapse, marker_split, round_trip, overflow_remap, equivalence, number_kinds, reward_parts, majority_vote, answer_histogram, best_of_n, vote_metrics, paired_rewards, rollouts, op_accuracy, running_accuracy, advantages_median, advantages_mean, clipped_loss, kl, full_loss, log_probs, topk_nucleus, mean_losses, column_addition, column_product, tool_calls, first_tool_call, tool_resolve, calculator_values, lr_schedule, param_count, plan_table, instruction_filter)}
+QUERIES = {f.__name__: f for f in (extract_number_last, extract_number_first, hash_answer, boxed, calc_annotations, word_problem_formats_whole, competition_formats, synthetic_formats, digit_split, digit_collapse, marker_split, round_trip, overflow_remap, equivalence, number_kinds, reward_parts, majority_vote, answer_histogram, best_of_n, vote_metrics, paired_rewards, rollouts, op_accuracy, running_accuracy, running_accuracy_whole, advantages_median, advantages_mean, clipped_loss, kl, full_loss, log_probs, topk_nucleus, mean_losses, column_addition, column_product, tool_calls, first_tool_call, tool_resolve, calculator_values, lr_schedule, param_count, plan_table, instruction_filter)}
 
 _SPACED = "array_to_string(string_split({}::VARCHAR, ''), ' ')"
 _VOTES = f"WITH {LINES}, c AS (SELECT k, (q % 5)::VARCHAR AS answer, count(*) AS votes, min(idx) AS first FROM lines GROUP BY 1, 2), v AS (SELECT k, answer, votes, sum(votes) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY votes DESC, first) AS r FROM c)"
@@ -317,7 +315,7 @@ SQL = {
     "hash_answer": f"WITH {ORDERS} SELECT k, CASE k % 3 WHEN 0 THEN c || (k + 100)::VARCHAR WHEN 1 THEN '-' || k || '.25' ELSE c::VARCHAR END AS answer FROM o",
     "boxed": f"WITH {ORDERS} SELECT k, CASE k % 4 WHEN 0 THEN ' {{' || k || '}} ' WHEN 1 THEN k::VARCHAR END AS inner, CASE k % 4 WHEN 0 THEN '{{' || k || '}}' ELSE k::VARCHAR END AS answer FROM o",
     "calc_annotations": f"WITH {LINES}, t AS (SELECT k, idx, 'has <<' || q || ' + ' || p || ' = ' || (q + p) || '>>' || (q + p) || ' and << ' || p || '*2=' || (p * 2) || '>> left' AS t FROM lines) SELECT k, idx, md5(regexp_replace(t, '<<\\s*([^=\\n]+?)\\s*=\\s*[^\\n]*?>>(?:\\s*-?\\d+(?:\\.\\d+)?)?', '<TOOL>calc(\\1)</TOOL>', 'g')) AS digest FROM t",
-    "word_problem_formats": f"WITH {LINES}, t AS (SELECT k, idx, 'Question: How many ' || p || '?' || chr(10) AS qu, 'It is <TOOL>calc(' || q || '+' || p || ')</TOOL>' AS cot, (q + p)::VARCHAR AS g FROM lines WHERE k % 10 = 1) SELECT k, idx, md5(qu || 'Answer: ' || cot || ' ' || chr(10) || '#### ' || g) AS pretrain, md5(qu || 'Answer: <REASON>') AS prompt, md5(cot || '</REASON>' || chr(10) || '<ANSWER>' || g || '</ANSWER>') AS target, md5(qu || 'Answer:') AS ask, g AS gold FROM t",
+    "word_problem_formats_whole": f"WITH {LINES}, t AS (SELECT k, idx, 'Question: How many ' || p || '?' || chr(10) AS qu, 'It is <TOOL>calc(' || q || '+' || p || ')</TOOL>' AS cot, (q + p)::VARCHAR AS g FROM lines) SELECT k, idx, md5(qu || 'Answer: ' || cot || ' ' || chr(10) || '#### ' || g) AS pretrain, md5(qu || 'Answer: <REASON>') AS prompt, md5(cot || '</REASON>' || chr(10) || '<ANSWER>' || g || '</ANSWER>') AS target, md5(qu || 'Answer:') AS ask, g AS gold FROM t",
     "competition_formats": f"WITH {ORDERS}, t AS (SELECT k, 'Problem: Find ' || c || chr(10) || 'Solution:' AS ask, 'so \\boxed{{' || k || '}}' AS s FROM o) SELECT k, md5(ask || ' ' || s) AS pretrain, md5(ask || ' <REASON>') AS prompt, md5(s || '</REASON>' || chr(10) || '<ANSWER>' || k || '</ANSWER>') AS target, md5(ask) AS ask, k::VARCHAR AS gold FROM t",
     "synthetic_formats": f"WITH {LINES}, t AS (SELECT k, idx, p || ' + ' || s AS qu, CASE WHEN idx % 2 = 0 THEN 'Result: 1' || chr(10) || 'Result: ' || (p + s) || ' ' ELSE p || ' + ' || s || ' = ' || (p + s) END AS a, (p + s)::VARCHAR AS g FROM lines) SELECT k, idx, md5('Question: ' || qu || chr(10) || 'Answer: ' || a) AS pretrain, md5(a || '</REASON>' || chr(10) || '<ANSWER>' || g || '</ANSWER>') AS target, g AS gold FROM t",
     "digit_split": f"WITH {ORDERS} SELECT k, 'x<NUM> ' || {_SPACED.format('k')} || '+<NEG> ' || {_SPACED.format('c')} || ' <DECIMAL> ' || {_SPACED.format('(k % 1000)')} || ' end' AS apart FROM o",
@@ -340,6 +338,7 @@ SQL = {
     "vote_metrics": f"{_VOTES} SELECT count(*)::BIGINT AS total, round(avg((answer = '2')::INT), 6)::DOUBLE AS accuracy, round(avg(votes / total::DOUBLE), 6)::DOUBLE AS mean_agreement FROM v WHERE r = 1",
     "op_accuracy": f"WITH {_JUDGED}, n(op) AS (VALUES ('add'), ('sub'), ('mul'), ('div')) SELECT n.op, count(j.op)::BIGINT AS total, coalesce(sum(j.correct::INT), 0)::BIGINT AS correct, round(coalesce(sum(j.correct::INT), 0)::DOUBLE / greatest(count(j.op), 1), 6)::DOUBLE AS accuracy FROM n LEFT JOIN judged j USING (op) GROUP BY n.op",
     "running_accuracy": f"WITH {_JUDGED}, r AS (SELECT k % 50 AS g, k * 100 + idx AS pos, count(*) OVER w AS seen, avg(correct::INT) OVER w AS accuracy FROM judged WINDOW w AS (PARTITION BY k % 50 ORDER BY k * 100 + idx ROWS UNBOUNDED PRECEDING)) SELECT g, pos, seen::BIGINT AS seen, round(accuracy, 6)::DOUBLE AS accuracy FROM r WHERE seen % 10 = 0",
+    "running_accuracy_whole": f"WITH {_JUDGED}, r AS (SELECT k * 100 + idx AS pos, count(*) OVER w AS seen, avg(correct::INT) OVER w AS accuracy FROM judged WINDOW w AS (ORDER BY k * 100 + idx ROWS UNBOUNDED PRECEDING)) SELECT pos, seen::BIGINT AS seen, round(accuracy, 6)::DOUBLE AS accuracy FROM r WHERE seen % 10 = 0",
     "advantages_median": f"WITH {LINES} SELECT k, idx, (round(d - median(d) OVER (PARTITION BY k), 6) + 0.0::DOUBLE)::DOUBLE AS advantage FROM lines",
     "advantages_mean": f"WITH {LINES} SELECT k, idx, (round(d - avg(d) OVER (PARTITION BY k), 6) + 0.0::DOUBLE)::DOUBLE AS advantage FROM lines",
     "clipped_loss": f"WITH {STEPS} SELECT k, round({_LOSS}, 6)::DOUBLE AS loss, round(coalesce(avg((abs(ratio - 1) > 0.2)::INT) FILTER (m), 0), 6)::DOUBLE AS clip_fraction, round(coalesce(avg(new - old) FILTER (m), 0), 6)::DOUBLE AS mean_shift, round(CASE WHEN count(*) FILTER (m) > 0 THEN avg(ratio) ELSE 0 END, 6)::DOUBLE AS ratio_mean, round(CASE WHEN count(*) FILTER (m) > 0 THEN max(ratio) ELSE 0 END, 6)::DOUBLE AS ratio_max FROM st GROUP BY k",
@@ -367,4 +366,3 @@ SQL = {
 }
 for _k in ("boxed", "competition_formats"):
     SQL[_k] = SQL[_k].replace("{{", "{").replace("}}", "}")
-SQL["word_problem_formats_whole"] = SQL["word_problem_formats"].replace(" WHERE k % 10 = 1", "")
