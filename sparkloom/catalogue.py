@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import corpus_queries, judge_queries, source_queries, stream_queries
+from sparkloom.plans import corpus_queries, judge_queries, place_queries, source_queries, stream_queries
 
-_MODULES = (corpus_queries, judge_queries, source_queries, stream_queries)
+_MODULES = (corpus_queries, judge_queries, source_queries, stream_queries, place_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
@@ -10,6 +10,7 @@ from pyspark.sql.types import AtomicType
 from sparkloom.operators import prefix
 from sparkloom.operators.mixture import range_of, seeded
 from sparkloom.operators.selection import first_n
+from sparkloom.session import staged
 
 BUCKETS = (1024, 2048, 4096, 8192, 16384)
 
@@ -56,6 +57,23 @@ def holdout(df: DataFrame, fraction: float, shard: str, order: str) -> DataFrame
     return df.withColumn("held_out", F.row_number().over(by.orderBy(F.col(order).desc())) <= tail)
 
 
+def holdout_by_place(df: DataFrame, fraction: float, shard: str = "shard", place: str = "row_index", chosen: Column | None = None) -> DataFrame:
+    """Adds `held_out` as holdout does, for rows that carry their file and their place in it, as readers.token_shards gives them. Rows aren't moved: a file has
+    one number, the place from which on it is held out, and a scan compares. Without a choice that number comes from counts by file, which read no column; with
+    one (a condition), only chosen rows are left, a file's last are counted among them, and files and places alone are sorted. Nothing is held out at
+    fraction 0."""
+    rows = df if chosen is None else df.where(chosen)
+    if fraction <= 0:
+        return rows.withColumn("held_out", F.lit(False))
+    if chosen is None:
+        marks = rows.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).select(shard, (F.col("n") - F.greatest(F.lit(1), F.floor(F.col("n") * fraction))).alias("_from"))
+    else:
+        ranked = rows.select(shard, place, F.row_number().over(W.partitionBy(shard).orderBy(F.col(place).desc())).alias("r"), F.count("*").over(W.partitionBy(shard)).alias("n"))
+        marks = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * fraction))).groupBy(shard).agg(F.min(place).alias("_from"))
+    # Staged, so that Spark knows its size: it is sent to all tasks where that is small, and joined by shuffle where there are very many files.
+    return rows.join(staged(marks, "marks"), shard).withColumn("held_out", F.col(place) >= F.col("_from")).drop("_from")
+
+
 def training_rows(df: DataFrame, fraction: float, shard: str, order: str) -> DataFrame:
     """Rows to train on; nothing is held out at fraction 0."""
     return df if fraction <= 0 else holdout(df, fraction, shard, order).where("not held_out").drop("held_out")

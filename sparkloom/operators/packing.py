@@ -14,12 +14,18 @@ def sequences(df: DataFrame, order: str, length: int, arrays: list[str], skip: i
     multiples of the length and only slices move, so a token is never a row. Chunks before `skip` are not built. size: how long the arrays are, where that is known without
     building them; bounds and totals of positions then read no array, and each array is built once."""
     sized = df.withColumn("_n", F.size(arrays[0]) if size is None else size.cast("int")).where("_n > 0")
-    placed = with_position(sized, order, "_n")
+    return cut(with_position(sized, order, "_n"), length, arrays, skip)
+
+
+def cut(placed: DataFrame, length: int, arrays: list[str], skip: int = 0, most: int | None = None) -> DataFrame:
+    """The sequences of rows whose `position` and number of ids `_n` are known; from number `skip` on, up to number `most`."""
     first, last = F.floor(F.col("position") / length), F.floor((F.col("position") + F.col("_n") - 1) / length)
-    cut = placed.where(last >= skip).select("position", "_n", *arrays, F.explode(F.sequence(F.greatest(first, F.lit(skip)), last)).alias("chunk_id"))
+    until = last if most is None else F.least(last, F.lit(most))
+    wanted = placed.where(last >= skip) if most is None else placed.where((last >= skip) & (first <= most))
+    slices = wanted.select("position", "_n", *arrays, F.explode(F.sequence(F.greatest(first, F.lit(skip)), until)).alias("chunk_id"))
     start = F.greatest(F.col("chunk_id") * length - F.col("position"), F.lit(0))
     end = F.least((F.col("chunk_id") + 1) * length - F.col("position"), F.col("_n").cast("bigint"))
-    pieces = cut.select("chunk_id", (F.col("position") + start).alias("at"), *[F.slice(a, (start + 1).cast("int"), (end - start).cast("int")).alias(a) for a in arrays])
+    pieces = slices.select("chunk_id", (F.col("position") + start).alias("at"), *[F.slice(a, (start + 1).cast("int"), (end - start).cast("int")).alias(a) for a in arrays])
     joined = pieces.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("at", *arrays))).alias("p"))
     return joined.select("chunk_id", *[F.flatten(F.col(f"p.{a}")).alias(a) for a in arrays])
 
