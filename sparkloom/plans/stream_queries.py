@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions.bpe import encode_bpe
-from sparkloom.plans.corpus_queries import PLAN, SQL as CORPUS_SQL
+from sparkloom.functions.tokens import EOS
+from sparkloom.plans.corpus_queries import DOCS, LENGTH, PLAN, encoded, joined, joined_sql
+from sparkloom.plans.corpus_queries import SQL as CORPUS_SQL
 from sparkloom.session import scratch, table
-from sparkloom.streaming.state import budget_stream
+from sparkloom.streaming.state import budget_stream, packed_stream
 
 
 def _is_file(spark, path: str) -> bool:
@@ -29,6 +31,22 @@ def stream_budget(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("doc_id", "source", "n_tokens")
 
 
+def stream_packed(spark, sf_dir):
+    """Documents of each shard packed as a stream over four triggers, equal to packing each shard at once."""
+    docs = encoded(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 100).cast("bigint").alias("shard"), "tokens")
+    at = scratch(spark, "stream-packed")
+    bounds = [None, *(docs.agg(F.percentile_approx("doc_id", [0.25, 0.5, 0.75])).first()[0] or []), None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        # Written one after the other, so that a file of later documents is a later file.
+        part = docs if low is None else docs.where(F.col("doc_id") > low)
+        (part if high is None else part.where(F.col("doc_id") <= high)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    query = packed_stream(stream, LENGTH, EOS).writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(f"{at}/rows")
+    return got.select("shard", "chunk_id", F.size("input_ids").cast("bigint").alias("n"), joined(F.col("input_ids")).alias("digest"))
+
+
 def bpe_encode(spark, sf_dir):
     import public_tokenizers
 
@@ -37,5 +55,11 @@ def bpe_encode(spark, sf_dir):
     return docs.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.array_max("ids").cast("bigint").alias("greatest"))
 
 
-QUERIES = {f.__name__: f for f in (stream_budget, bpe_encode)}
-SQL = {"stream_budget": CORPUS_SQL["budget_rows"]}
+QUERIES = {f.__name__: f for f in (stream_budget, stream_packed, bpe_encode)}
+SQL = {
+    "stream_budget": CORPUS_SQL["budget_rows"],
+    "stream_packed": f"""WITH {DOCS}, ended AS (SELECT doc_id, doc_id // 100 AS shard, list_append(tokens, {EOS}) AS ids FROM docs),
+     stream AS (SELECT t.shard, t.id, row_number() OVER (PARTITION BY t.shard ORDER BY t.doc_id, t.place) - 1 AS pos FROM ended e, LATERAL (SELECT e.doc_id, e.shard, unnest(e.ids) AS id, generate_subscripts(e.ids, 1) AS place) t),
+     packed AS (SELECT shard, pos // {LENGTH} AS chunk_id, list(id ORDER BY pos) AS ids FROM stream GROUP BY 1, 2)
+     SELECT shard::BIGINT AS shard, chunk_id::BIGINT AS chunk_id, len(ids)::BIGINT AS n, {joined_sql('ids')} AS digest FROM packed WHERE len(ids) = {LENGTH}""",
+}
