@@ -133,3 +133,39 @@ def digits_together(x: Column) -> Column:
     x = F.regexp_replace(x, r"<NEG>\s*", "-")
     x = F.regexp_replace(x, r"\s*<DECIMAL>\s*", ".")
     return stripped(F.regexp_replace(x, r"(?<=\d)\s+(?=\d)", ""))
+
+
+RUN = 256
+
+
+def running_sums(values: Column) -> Column:
+    """array<int>: the sums up to each element, in runs of RUN, since appending copies what there is."""
+
+    def sums(run: Column, base: Column) -> Column:
+        whole = F.aggregate(run, F.array(base), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.slice(whole, F.lit(2), F.size(run))
+
+    def of(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(v) - 1, F.lit(RUN)).cast("int")), lambda k: F.slice(v, k * RUN + 1, F.lit(RUN)))
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+        return let(runs, lambda rs: let(F.transform(rs, total), lambda ts: F.flatten(F.transform(rs, lambda r, i: sums(r, total(F.slice(ts, F.lit(1), i)))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<int>")))
+
+
+def matches_at(x: Column, pattern: str) -> Column:
+    """array<struct<place, start, stop, value>>: a pattern's matches from left to right, with their places in characters. Starts follow from the lengths of the
+    matches and of what lies between them. The pattern must not match nothing."""
+
+    def placed(m: Column) -> Column:
+        steps = F.transform(m["v"], lambda _, i: F.length(F.get(m["b"], i)) + F.coalesce(F.length(F.get(m["v"], i - 1)), F.lit(0)))
+        return let(running_sums(steps), lambda starts: F.transform(m["v"], lambda v, i: F.struct(i.alias("place"), F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(v)).alias("stop"), v.alias("value"))))
+
+    x = F.coalesce(x, F.lit(""))
+    return let(F.struct(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)).alias("v"), F.split(x, pattern, -1).alias("b")), placed)
+
+
+def tool_calls(x: Column) -> Column:
+    """array<struct<place, tool, expr, start, stop>>: every call of a text, from left to right."""
+    part = lambda v, i: F.regexp_extract(v, TOOL_CALL, i)
+    return F.transform(matches_at(x, TOOL_CALL), lambda m: F.struct(m["place"].alias("place"), F.lower(part(m["value"], 1)).alias("tool"), stripped(part(m["value"], 2)).alias("expr"), m["start"].alias("start"), m["stop"].alias("stop")))

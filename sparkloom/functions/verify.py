@@ -108,5 +108,11 @@ def reward_length(text: Column, gold: Column, best: int = 200) -> Column:
     return F.when(~is_equivalent(found, gold) | (n == 0), 0.0).when(n <= best, 1.0).when(n >= 2 * best, 0.0).otherwise(1.0 - (n - best) / float(best))
 
 
+def reward_breakdown(text: Column, gold: Column, correct: float = 1.0, form: float = 0.3, length: float = 0.2) -> Column:
+    """struct(correct, form, length, total), each part computed once."""
+    parts = F.struct(reward_correct(text, gold).alias("correct"), reward_format(text).alias("form"), reward_length(text, gold).alias("length"))
+    return let(parts, lambda p: F.struct(*[p[c].alias(c) for c in ("correct", "form", "length")], (correct * p["correct"] + form * p["form"] + length * p["length"]).alias("total")))
+
+
 def reward(text: Column, gold: Column, correct: float = 1.0, form: float = 0.3, length: float = 0.2) -> Column:
-    return correct * reward_correct(text, gold) + form * reward_format(text) + length * reward_length(text, gold)
+    return reward_breakdown(text, gold, correct, form, length)["total"]

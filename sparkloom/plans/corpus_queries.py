@@ -81,6 +81,11 @@ def estimated_cut(spark, sf_dir):
     return mixture.estimated_cut(table(spark, sf_dir, "documents"), 210_000, "doc_id").select("doc_id", "source")
 
 
+def estimated_cut_whole(spark, sf_dir):
+    """With the reference's target."""
+    return mixture.estimated_cut(table(spark, sf_dir, "documents"), 600_000_000, "doc_id").select("doc_id", "source")
+
+
 def quality_take(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return mixture.quality_take(rows, "quality", 1, 50, 42, "doc_id").select("doc_id", "source")
@@ -252,7 +257,7 @@ def trace_texts_whole(spark, sf_dir):
     return dialogue.trace_texts(rows, "key").select("key", F.md5("text").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (source_stats, shard_stats, running_totals, running_source_totals, running_legacy_rate, encode_stats, budget_mixture, budget_rows, estimated_cut, quality_take, legacy_filter_cap, legacy_rate, two_field_filter_whole, holdout_split, holdout_difference, val_sample, shuffle_batches, token_offsets, pack_drop_tail, pack_resume, pack_pad_labels, pack_prompt_mask, shift_pairs, chunk_ids_rows, chunk_ids_both, row_bytes, turn_pairs, length_buckets, sample_per_source, ordered_union, sft_union, sft_union_whole, trace_texts_whole)}
+QUERIES = {f.__name__: f for f in (source_stats, shard_stats, running_totals, running_source_totals, running_legacy_rate, encode_stats, budget_mixture, budget_rows, estimated_cut, estimated_cut_whole, quality_take, legacy_filter_cap, legacy_rate, two_field_filter_whole, holdout_split, holdout_difference, val_sample, shuffle_batches, token_offsets, pack_drop_tail, pack_resume, pack_pad_labels, pack_prompt_mask, shift_pairs, chunk_ids_rows, chunk_ids_both, row_bytes, turn_pairs, length_buckets, sample_per_source, ordered_union, sft_union, sft_union_whole, trace_texts_whole)}
 
 _BUDGET = f"""WITH {DOCS}, {PLAN_SQL}, run AS (SELECT d.doc_id, d.source, d.n_tokens, p.target, p.cap,
   coalesce(sum(d.n_tokens) OVER w, 0) AS spent, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS kept FROM docs d LEFT JOIN plan p USING (source)
@@ -280,6 +285,7 @@ SQL = {
     "budget_mixture": f"{_BUDGET} SELECT source, count(*)::BIGINT AS docs, sum(n_tokens)::BIGINT AS tokens, max(doc_id)::BIGINT AS last_doc FROM chosen GROUP BY source",
     "budget_rows": f"{_BUDGET} SELECT doc_id, source, n_tokens FROM chosen",
     "estimated_cut": "SELECT doc_id, source FROM documents WHERE text <> '' ORDER BY doc_id LIMIT 300",
+    "estimated_cut_whole": "SELECT doc_id, source FROM documents WHERE text <> '' ORDER BY doc_id LIMIT 857143",
     "quality_take": "SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE quality >= 1 ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
     "legacy_filter_cap": f"WITH {CODE_SQL}, passing AS (SELECT k, lag(examined) OVER (ORDER BY k) AS before FROM seen WHERE passes) SELECT k FROM passing WHERE before IS NULL OR before < 200",
     "legacy_rate": f"WITH {CODE_SQL} SELECT count(*)::BIGINT AS examined, count(*) FILTER (NOT passes)::BIGINT AS rejected, round(100.0 * count(*) FILTER (NOT passes)::DOUBLE / greatest(count(*), 1), 6)::DOUBLE AS rejected_percent FROM seen",

@@ -112,7 +112,8 @@ def round_trip(spark, sf_dir):
     ids = F.col("tokens")
     plain = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), r"(?<=\d)\s+(?=\d)", "")
     rows = encoded(spark, sf_dir)
-    return rows.select("doc_id", tokens.round_trips(ids, F.col("n_tokens")).alias("ok"), (tokens.decode_chars(ids) == text.stripped(plain)).alias("same"))
+    decoded = rows.select("doc_id", tokens.round_trips(ids, F.col("n_tokens")).alias("ok"), tokens.decode_chars(ids).alias("decoded"), text.stripped(plain).alias("plain"))
+    return decoded.select("doc_id", "ok", (F.col("decoded") == F.col("plain")).alias("same"), F.length("decoded").cast("bigint").alias("n"), F.md5("decoded").alias("digest"))
 
 
 def overflow_remap(spark, sf_dir):
@@ -141,8 +142,8 @@ def reward_parts(spark, sf_dir):
     t = F.when(i == 0, good).when(i == 1, _fmt("</REASON><REASON> <ANSWER>", q, "</ANSWER>")).when(i == 2, _fmt("<ANSWER>", q, "</ANSWER><REASON></REASON> ", q)).when(i == 3, F.concat(good, F.repeat(F.lit("."), (q * 5).cast("int")), _fmt(" ", q))).when(i == 4, _fmt("plain ", q)).otherwise(_fmt("</ANSWER> <ANSWER> ", q))
     gold = _fmt(F.when(p % 3 == 0, q + 1).otherwise(q))
     rows = _lines(spark, sf_dir).select("k", "idx", t.alias("t"), gold.alias("g"))
-    r = lambda c: F.round(c, 6)
-    return rows.select("k", "idx", r(verify.reward_correct(F.col("t"), F.col("g"))).alias("correct"), r(verify.reward_format(F.col("t"))).alias("form"), r(verify.reward_length(F.col("t"), F.col("g"))).alias("length"), r(verify.reward(F.col("t"), F.col("g"))).alias("total"))
+    told = rows.select("k", "idx", verify.reward_breakdown(F.col("t"), F.col("g")).alias("r"))
+    return told.select("k", "idx", *[F.round(f"r.{c}", 6).alias(c) for c in ("correct", "form", "length", "total")])
 
 
 def _candidates(spark, sf_dir):
@@ -263,9 +264,8 @@ def column_product(spark, sf_dir):
 
 def tool_calls(spark, sf_dir):
     rows = _lines(spark, sf_dir).select("k", "idx", _fmt("a <TOOL>calc(", F.col("p"), " + ", F.col("s"), ")</TOOL> b <tool> EXEC ( ", F.col("q"), " ) </TOOL>").alias("t"))
-    rows.createOrReplaceTempView("_tool_texts")
-    calculator.register(spark)
-    return spark.sql("SELECT k, idx, cast(place AS bigint) AS place, tool, expr, cast(start AS bigint) AS start FROM _tool_texts, LATERAL tool_calls(t)")
+    found = rows.select("k", "idx", F.inline(text.tool_calls(F.col("t"))))
+    return bigints(found.select("k", "idx", "place", "tool", "expr", "start"), "place", "start")
 
 
 def first_tool_call(spark, sf_dir):
@@ -322,7 +322,9 @@ SQL = {
     "digit_collapse": f"WITH {ORDERS} SELECT k, 'x' || k || ' + -' || c || '.' || (k % 1000) || ' end' AS together FROM o",
     "marker_split": f"""WITH {ORDERS}, t AS (SELECT k, '</REASON>' AS m, k::VARCHAR AS a, '<x>' || c AS b FROM o) SELECT k, 'a|<NUM>|' || a || '|</REASON>|' || b AS pieces,
      {joined_sql("list_concat([32766, 97, 32758], list_concat(list_transform(string_split(a, ''), lambda x: ascii(x)), list_concat([32762], list_transform(string_split(b, ''), lambda x: ascii(x)))))")} AS ids FROM t""",
-    "round_trip": "SELECT doc_id, true AS ok, true AS same FROM documents WHERE text <> ''",
+    "round_trip": """WITH a AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t FROM documents WHERE text <> ''),
+     b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([0-9])\\s+([0-9])', '\\1\\2', 'g'), '([0-9])\\s+([0-9])', '\\1\\2', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^\\s+', ''), '\\s+$', '') AS t FROM b)
+     SELECT doc_id, t <> '' AS ok, true AS same, length(t)::BIGINT AS n, md5(t) AS digest FROM c""",
     "overflow_remap": f"WITH {ORDERS} SELECT k, {joined_sql('list_transform([c, k * 7, 32693, 32694, k + 32758], lambda i: CASE WHEN i < 32694 THEN i ELSE 32694 + i % 64 END)')} AS ids FROM o",
     "equivalence": f"WITH {LINES} SELECT k, idx, {_CORRECT} AS same FROM lines",
     "number_kinds": f"WITH {LINES} SELECT k, idx, CASE k % 8 WHEN 2 THEN 'ratio' WHEN 3 THEN 'sym' WHEN 4 THEN 'sym' WHEN 6 THEN 'sym' WHEN 7 THEN 'sym' ELSE 'num' END AS kind, round(CASE k % 8 WHEN 0 THEN q::DOUBLE WHEN 1 THEN q / 100.0::DOUBLE WHEN 2 THEN q / 4.0::DOUBLE WHEN 5 THEN q::DOUBLE END, 6) AS value FROM lines",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import corpus, permutation
+from sparkloom.operators import corpus, intervals, permutation
 from sparkloom.plans.corpus_queries import SQL as CORPUS_SQL
-from sparkloom.plans.corpus_queries import LENGTH, _packed, _sharded, encoded
+from sparkloom.plans.corpus_queries import DOCS, LENGTH, _packed, _sharded, encoded
 from sparkloom.session import scratch, table
 from sparkloom.sources import positions
 
@@ -53,7 +53,15 @@ def epoch_sample(spark, sf_dir):
     return permutation.sample(rows, n, n // 10, 5).select("doc_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (pack_resume_indexed, holdout_by_place, holdout_of_sources, epoch_batches, epoch_sample)}
+def length_ranges(spark, sf_dir):
+    """Documents by overlapping ranges of length, which come from a table."""
+    k = F.col("n_nationkey").cast("bigint")
+    ranges = table(spark, sf_dir, "nation").select(k.alias("range_id"), (k * k * 20).alias("low"), (k * k * 20 + k % 7 * 150 * (1 + k)).alias("high"))
+    docs = encoded(spark, sf_dir, False).select("doc_id", "n_tokens")
+    return intervals.in_intervals(docs, "n_tokens", ranges, "low", "high").select("doc_id", "range_id")
+
+
+QUERIES = {f.__name__: f for f in (length_ranges, pack_resume_indexed, holdout_by_place, holdout_of_sources, epoch_batches, epoch_sample)}
 
 
 def _permuted_sql(seed: int, epoch: int) -> str:
@@ -73,6 +81,7 @@ def _permuted_sql(seed: int, epoch: int) -> str:
 
 
 SQL = {
+    "length_ranges": f"WITH {DOCS}, r AS (SELECT n_nationkey::BIGINT AS range_id, n_nationkey * n_nationkey * 20 AS low, n_nationkey * n_nationkey * 20 + n_nationkey % 7 * 150 * (1 + n_nationkey) AS high FROM nation) SELECT doc_id, range_id FROM docs JOIN r ON n_tokens BETWEEN low AND high",
     "pack_resume_indexed": CORPUS_SQL["pack_resume"],
     "holdout_by_place": CORPUS_SQL["holdout_split"],
     "holdout_of_sources": "WITH s AS (SELECT doc_id, doc_id // 100 AS shard, row_number() OVER w AS back, count(*) OVER (PARTITION BY doc_id // 100) AS n FROM documents WHERE text <> '' AND source IN ('src0', 'src1', 'src2', 'src3') WINDOW w AS (PARTITION BY doc_id // 100 ORDER BY doc_id DESC)) SELECT doc_id, shard::BIGINT AS shard, back <= greatest(1, floor(n * 0.2::DOUBLE)) AS held_out FROM s",
