@@ -9,7 +9,8 @@
    as long as its blocks, however dense a group is.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, or have a null id, link with nothing and are
-their own component; vectors of different lengths don't link; rows that repeat are vectors of their own; an empty table gives no row.
+their own component; vectors of different lengths don't link; rows that repeat are vectors of their own, with
+the same id or not, and an id at several vectors joins nothing; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -267,12 +268,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     usable = staged(rows.mapInArrow(_usable(kind), "vec_id long, dim int, digest binary, raw binary"), "vectors")
     grouped = usable.groupBy("dim", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
     distinct = usable.select(F.col("vec_id").alias("id"), "raw", F.col("digest").alias("of")).dropDuplicates(["id", "of"])
-    classes = staged(grouped.join(distinct, (F.col("digest") == F.col("of")) & grouped["id"].eqNullSafe(distinct["id"])).select(grouped["id"], "dim", "digest", "raw", "weight"), "classes")
+    classes = staged(grouped.join(distinct, (F.col("digest") == F.col("of")) & grouped["id"].eqNullSafe(distinct["id"])).select(grouped["id"], "dim", "digest", "raw", "weight", F.monotonically_increasing_id().alias("node")), "classes")
     n = classes.count()
     axes = principal_axes(classes, kind)
     size = max(block, -(-n // MAX_BLOCKS))
     sequence = (
-        classes.select("id", "dim", "raw", "weight")
+        classes.select(F.col("node").alias("id"), "dim", "raw", "weight")
         .mapInArrow(_cells(kind, axes, eps), "id long, dim int, raw binary, weight long, cell string")
         .repartitionByRange(max(1, n // (4 * size)), "dim", "cell", "id")
         .sortWithinPartitions("dim", "cell", "id")
@@ -294,8 +295,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     found = staged(work.mapInArrow(_join(kind, axes, cosine), "id long, links long, root long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("id", "dim", "digest", "weight").join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
-    of_class = of_class.select("dim", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    # Classes go by numbers of their own up to here, as an id may stand at several vectors; a component is named by the smallest id of its classes at last.
+    members = classes.select("id", "node", "dim", "digest", "weight").join(links.withColumnRenamed("id", "node"), "node", "left").join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    members = members.select("dim", "digest", "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    named = members.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_class = members.join(named, "component").select("dim", "digest", "n_links", "component_id")
     placed = usable.select("vec_id", "dim", "digest").join(of_class, ["dim", "digest"]).select("vec_id", "n_links", "component_id")
     bad = _unusable(rows).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return placed.union(bad).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

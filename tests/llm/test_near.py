@@ -220,3 +220,25 @@ def test_vectors_of_a_close_threshold_and_at_it(spark):
     tie = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 1.0, 1.0, 1.0]), (3, [1.0, -1.0, -1.0, -1.0])]  # 0.5 exactly, and -0.5
     got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(spark.createDataFrame(tie, "vec_id bigint, embedding array<float>"), cosine=0.5).collect()}
     assert got == {1: (2, 1), 2: (1, 1), 3: (1, 1)}
+
+
+def test_vectors_that_share_an_id(spark):
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 6))
+    rows = [(int(rng.integers(0, 25)), (base[rng.integers(0, 12)] + rng.normal(size=6) * rng.choice([0, 0.05, 0.3])).tolist()) for _ in range(160)]
+    rows += [(i, [float(x) for x in v]) for i, v in ((1, [1, 0, 0, 0, 0, 0]), (1, [0, 1, 0, 0, 0, 0]), (2, [1, 0.01, 0, 0, 0, 0]), (3, [0, 0, 1, 0, 0, 0]))]
+    unit = np.array([v for _, v in rows])
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    reach = [{i} for i in range(len(rows))]
+    for i in range(len(rows)):
+        for j in np.flatnonzero(close[i]):
+            if reach[i] is not reach[j]:
+                reach[i] |= reach[j]
+                for k in reach[j]:
+                    reach[k] = reach[i]
+    expected = sorted((i, int(close[k].sum()) - 1, min(rows[m][0] for m in reach[k])) for k, (i, _) in enumerate(rows))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_dedup.near_vectors(df, block=16).collect())
+    assert got == expected
