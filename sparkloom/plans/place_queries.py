@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions.tokens import encode_chars
 from sparkloom.operators import corpus, intervals, permutation
 from sparkloom.plans.corpus_queries import SQL as CORPUS_SQL
 from sparkloom.plans.corpus_queries import DOCS, LENGTH, _packed, _sharded, encoded
 from sparkloom.session import scratch, table
-from sparkloom.sources import positions
+from sparkloom.sources import chunks, positions
 
 
 def pack_resume_indexed(spark, sf_dir):
     """pack_resume from files with an index, of which only those from its first sequence on are read."""
     path = scratch(spark, "positioned")
-    positions.write_positioned(encoded(spark, sf_dir), path, "doc_id", n_ids="n_tokens")
+    docs = encoded(spark, sf_dir, False).select("doc_id", "text", "n_tokens")
+    positions.write_positioned(docs, path, "doc_id", encode_chars(F.col("text")), n_ids="n_tokens")
     return _packed(positions.resumed(spark, path, LENGTH, None, 100))
 
 
@@ -61,7 +63,16 @@ def length_ranges(spark, sf_dir):
     return intervals.in_intervals(docs, "n_tokens", ranges, "low", "high").select("doc_id", "range_id")
 
 
-QUERIES = {f.__name__: f for f in (length_ranges, pack_resume_indexed, holdout_by_place, holdout_of_sources, epoch_batches, epoch_sample)}
+def written_chunks(spark, sf_dir):
+    """Totals by source of the files that a manifest of written chunks names."""
+    path = scratch(spark, "chunks")
+    rows = encoded(spark, sf_dir, False).select("doc_id", "source", F.col("n_tokens").cast("int").alias("n_tokens"))
+    chunks.write_token_chunks(rows, path, rows=300, size=1 << 20)
+    back = chunks.read_token_chunks(spark, path, rows.schema)
+    return back.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").cast("bigint").alias("tokens"))
+
+
+QUERIES = {f.__name__: f for f in (written_chunks, length_ranges, pack_resume_indexed, holdout_by_place, holdout_of_sources, epoch_batches, epoch_sample)}
 
 
 def _permuted_sql(seed: int, epoch: int) -> str:
@@ -81,6 +92,7 @@ def _permuted_sql(seed: int, epoch: int) -> str:
 
 
 SQL = {
+    "written_chunks": f"WITH {DOCS} SELECT source, count(*)::BIGINT AS docs, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY source",
     "length_ranges": f"WITH {DOCS}, r AS (SELECT n_nationkey::BIGINT AS range_id, n_nationkey * n_nationkey * 20 AS low, n_nationkey * n_nationkey * 20 + n_nationkey % 7 * 150 * (1 + n_nationkey) AS high FROM nation) SELECT doc_id, range_id FROM docs JOIN r ON n_tokens BETWEEN low AND high",
     "pack_resume_indexed": CORPUS_SQL["pack_resume"],
     "holdout_by_place": CORPUS_SQL["holdout_split"],

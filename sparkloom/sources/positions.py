@@ -6,24 +6,26 @@ A run that resumes at some sequence reads the index, opens only files that reach
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import packing
-from sparkloom.operators.corpus import with_position
+from sparkloom.operators import packing, prefix
 
 
-def write_positioned(df: DataFrame, path: str, order: str, ids: str = "tokens", files: int | None = None, n_ids: str | None = None, rows_per_file: int = 100_000) -> None:
+def write_positioned(df: DataFrame, path: str, order: str, ids: str | Column = "tokens", files: int | None = None, n_ids: str | None = None, rows_per_file: int = 100_000) -> None:
     """Writes documents to path/rows with `position`, `number` (the documents before it) and `n_ids`, in the order of a key, as about so many files or
-    more, and the index to path/index, which comes last: without it a folder isn't whole. Rows without ids (null) go. n_ids: a column with how many ids there are,
-    where there is one."""
+    more, and the index to path/index, which comes last: without it a folder isn't whole. Rows without ids (null) go. ids: a column's name, or an expression, which is written
+    as `tokens`; n_ids: a column with how many ids there are, where there is one. With both, ids are made as rows are written, after they have been moved."""
     spark = df.sparkSession
-    size = F.size(ids) if n_ids is None else F.col(n_ids)
-    whole = df.where(F.col(ids).isNotNull()).withColumn("n_ids", size.cast("long")).withColumn("_w", F.col("n_ids") + 1)
-    placed = with_position(with_position(whole, order, "_w").withColumnRenamed("position", "_at"), "_at").withColumnRenamed("position", "number").withColumnRenamed("_at", "position").drop("_w")
+    given = F.col(ids) if isinstance(ids, str) else ids
+    size = F.size(given) if n_ids is None else F.col(n_ids)
+    whole = (df.where(given.isNotNull()) if n_ids is None else df.where(size.isNotNull())).withColumn("n_ids", size.cast("long"))
+    ends = prefix.running(whole, order, {"_rows": prefix.rows(), "_ids": prefix.total(F.col("n_ids") + 1)})
+    placed = ends.withColumn("position", (F.col("_ids") - F.col("n_ids") - 1).cast("long")).withColumn("number", (F.col("_rows") - 1).cast("long")).drop("_rows", "_ids")
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartitionByRange(n, "position").sortWithinPartitions("position")
-    dealt.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(f"{path.rstrip('/')}/rows")
+    made = dealt if isinstance(ids, str) else dealt.withColumn("tokens", ids)
+    made.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(f"{path.rstrip('/')}/rows")
     written = spark.read.parquet(f"{path.rstrip('/')}/rows").select(F.col("_metadata.file_path").alias("file"), "position", "number", "n_ids")
     index = written.groupBy("file").agg(F.min("position").alias("first"), F.max(F.col("position") + F.col("n_ids") + 1).alias("last"), F.min("number").alias("number"), F.count(F.lit(1)).alias("rows"))
     index.repartitionByRange(max(1, n // 64), "first").sortWithinPartitions("first").write.parquet(f"{path.rstrip('/')}/index")
