@@ -7,6 +7,11 @@ language: rows whose text has no language (null, or no letter) go; all others st
 near_dedup: of each group of near duplicates the row with the smallest doc_id stays, and rows that repeat that id.
 secrets: every row stays; each secret in its text is replaced by its kind in brackets, and n_chars follows the new text.
 packing: one row a piece of a document in a sequence of at most 1,024 tokens.
+
+Defined cases, for every stage: an empty table gives no row; texts of any length are read whole. Null and empty texts have no language and go at once; a stage that is given one by
+itself keeps it (near_dedup: it is like nothing; secrets: it has none; packing: its end id alone). Rows that repeat an id are documents of their own: of equal texts under one
+id all stay, as none is smaller than the other; a null id is never the smaller one and its row stays. A null lang teaches nothing, and where no row has one no language is known and all rows go; null source or
+n_chars decide nothing, and n_chars is counted anew when secrets are replaced. Columns besides those of documents go along, but not into pieces.
 """
 
 from __future__ import annotations
