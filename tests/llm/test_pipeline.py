@@ -49,3 +49,26 @@ def test_stages_on_an_empty_table(spark):
     _, docs = make(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "unused").count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    rng = random.Random(9)
+    words = [" ".join(rng.choice(EN) for _ in range(60)) for _ in range(4)]
+    long = " ".join(rng.choice(EN) for _ in range(60_000)) + " token = abcdefgh9"
+    rows = [(1, words[0]), (1, words[0]), (1, words[1]), (2, words[0]), (None, words[0]), (None, None), (3, None), (4, ""), (5, long), (6, long), (None, words[2])]
+    docs = spark.createDataFrame([(i, t, "en" if k % 4 else None, None, None, "x") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string")
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=key)
+    with_text = sorted(((i, t) for i, t in rows if t), key=key)
+    assert told(stages["language"](spark, docs, "unused")) == with_text
+    assert stages["language"](spark, docs.withColumn("lang", docs.source), "unused").count() == 0
+    gone = [(2, words[0]), (6, long)]
+    left = stages["near_dedup"](spark, docs, "unused")
+    assert told(left) == sorted((r for r in rows if r not in gone), key=key) and left.columns == docs.columns
+    masked = stages["secrets"](spark, left, "unused").collect()
+    assert sorted(((r.doc_id, r.text) for r in masked), key=key) == sorted(((i, t and t.replace("token = abcdefgh9", "[assign]")) for i, t in rows if (i, t) not in gone), key=key)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in masked)
+    pieces = stages["packing"](spark, left, "unused").collect()
+    assert sum(p.length for p in pieces if p.doc_id == 5) == next(p.doc_tokens for p in pieces if p.doc_id == 5) > 60_000
+    assert sorted(p.doc_tokens for p in pieces if p.doc_id in (3, 4)) == [1, 1] and len({(p.sequence_id, p.offset) for p in pieces}) == len(pieces)
