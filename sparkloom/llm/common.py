@@ -55,6 +55,11 @@ def discard(*frames: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """df for a join by shuffle and merge, where Spark's estimate of a side's size may be far too small for a broadcast."""
+    return df.hint("merge")
+
+
 def let(value: Column, body) -> Column:
     """body(x) with x bound to value once; a plain reference inside a lambda may be inlined and evaluated per element."""
     return F.transform(F.array(value), body)[0]

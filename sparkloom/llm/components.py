@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import discard, staged
+from sparkloom.llm.common import by_merge, discard, staged
 
 MAX_ROUNDS = 60
 SMALL = 250_000  # links that one task may hold: some 30 MB
@@ -17,7 +17,7 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     ends of a link; small star: neighbours smaller than it. Only minima are grouped; the rest is a join, which splits hot keys."""
     seen = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both_ways else edges
     least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = seen.join(least, "a")
+    joined = seen.join(by_merge(least), "a")
     if both_ways:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     rest = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -14,7 +14,8 @@
    found. A document's set goes to each pair of blocks once, and no pair of documents is ever a row. A family of more than `family`
    documents is compared by key instead.
 
-No key's or family's members are gathered in one task: minima are partial aggregates, comparisons are joins or pairs of blocks.
+No key's or family's members are gathered in one task: minima are partial aggregates, comparisons are joins or pairs of blocks. No table that
+grows with the documents is broadcast: a row gives many keys, which estimates of size don't know, so joins are by merge.
 
 Defined cases: null text or no words: empty set, linked with nothing; fewer words than a shingle has: the whole sequence is the one
 shingle; rows that repeat an id share its result if their sets are equal, and are documents of their own if not; an empty table gives no row; other columns are left out.
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, discard, mix64, staged, table, text_chunks, word_hashes
+from sparkloom.llm.common import U64, by_merge, discard, mix64, staged, table, text_chunks, word_hashes
 from sparkloom.llm.components import connected_components
 
 
@@ -204,23 +205,23 @@ def _groups(mixed: DataFrame, s: Settings) -> DataFrame:
     """(group, id, part): documents that must be compared with all of their group. A group is a family, the documents that mixed keys
     connect; where a family has more than s.family documents, each of its keys is a group."""
     heads = mixed.groupBy("key").agg(F.min("id").alias("head"))
-    linked = connected_components(mixed.join(heads, "key").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+    linked = connected_components(mixed.join(by_merge(heads), "key").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
     linked = staged(linked, "families")
     wide = linked.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > s.family).select("component")
-    placed = mixed.join(linked, F.col("id") == F.col("node"), "left").join(wide.withColumn("wide", F.lit(True)), "component", "left")
+    placed = mixed.join(by_merge(linked), F.col("id") == F.col("node"), "left").join(by_merge(wide.withColumn("wide", F.lit(True))), "component", "left")
     return placed.select(F.when(F.col("wide"), F.xxhash64("key")).otherwise(F.xxhash64("component", F.lit(0))).alias("group"), "id", "part").distinct()
 
 
 def _links_in_blocks(mixed: DataFrame, sizes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Links between the parts of each group, as a forest. A group is dealt by hash into blocks of about s.block documents and s.mass
     shingles; a pair of blocks is one piece of work and gives fewer rows than it has documents, however many pairs are alike."""
-    group = staged(_groups(mixed, s).join(sizes, "id"), "groups")
+    group = staged(_groups(mixed, s).join(by_merge(sizes), "id"), "groups")
     blocks = group.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("mass"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
     blocks = blocks.select("group", F.greatest(F.ceil(F.col("n") / s.block), F.ceil(F.col("mass") / s.mass)).cast("int").alias("blocks"))
-    placed = group.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
+    placed = group.join(by_merge(blocks), "group").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
     dealt = placed.select("group", "id", "part", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("group", "id", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
-    work = dealt.join(sets, "id").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "second")
+    work = dealt.join(by_merge(sets), "id").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "second")
     out = staged(work.select("group", "x", "y", "second", "id", "part", "shingles").mapInArrow(_compare_blocks(s.percent), "a long, b long"), "links")
     discard(group)
     return out
@@ -333,21 +334,21 @@ def _found(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> D
     named = members.where("digest is not null and doc_id is not null")
     split = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select(F.col("doc_id").alias("first"), F.lit(True).alias("split"))
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.min("sig").alias("sig"))
-    classes = staged(classes.join(staged(split, "split"), "first", "left").select("digest", F.when(F.col("split"), F.xxhash64("digest")).otherwise(F.col("first")).alias("id"), "first", "size", "sig"), "classes")
+    classes = staged(classes.join(by_merge(staged(split, "split")), "first", "left").select("digest", F.when(F.col("split"), F.xxhash64("digest")).otherwise(F.col("first")).alias("id"), "first", "size", "sig"), "classes")
 
     keys = classes.select("id", "sig").mapInArrow(_emit_keys(s), "key long, id long")
     leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader", "n")
-    shared = staged(keys.join(leaders, "key"), "keys")
+    shared = staged(keys.join(by_merge(leaders), "key"), "keys")
     # One pass over the texts gives the full sets of all documents that share a key with another.
-    sharing = shared.select("id").distinct().join(classes.select("id", "first", "digest"), "id")
+    sharing = shared.select("id").distinct().join(by_merge(classes.select("id", "first", "digest")), "id")
     sharing = staged(sharing, "sharing")
-    read = texts.join(sharing.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_full_sets(s.words), "first long, shingles binary, digest binary")
-    sets = staged(read.join(sharing, ["first", "digest"]).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    read = texts.join(by_merge(sharing.select(F.col("first").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_full_sets(s.words), "first long, shingles binary, digest binary")
+    sets = staged(read.join(by_merge(sharing), ["first", "digest"]).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         pairs = staged(pairs, "pairs")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        both = pairs.join(by_merge(left), "a").join(by_merge(right), "b").select("a", "b", "x", "y")
         out = staged(both.mapInArrow(_confirm(s.percent), "a long, b long"), "links")
         discard(pairs)
         return out
@@ -357,13 +358,13 @@ def _found(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> D
 
     def worth_a_look(pairs: DataFrame) -> DataFrame:
         p, q = known.alias("p"), known.alias("q")
-        return pairs.distinct().join(p, F.col("a") == F.col("p.id")).join(q, F.col("b") == F.col("q.id")).where(close).select("a", "b")
+        return pairs.distinct().join(by_merge(p), F.col("a") == F.col("p.id")).join(by_merge(q), F.col("b") == F.col("q.id")).where(close).select("a", "b")
 
     def still_mixed(parts: DataFrame) -> DataFrame:
         """(key, id, part, n) of the keys whose members are of several components."""
-        placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+        placed = shared.join(by_merge(parts), F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
         mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("key")
-        return staged(placed.join(mixed, "key"), "mixed")
+        return staged(placed.join(by_merge(mixed), "key"), "mixed")
 
     links = confirmed(worth_a_look(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))))
     parts = staged(connected_components(links), "parts")
@@ -373,7 +374,7 @@ def _found(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> D
         if large.isEmpty():
             break
         leaders = large.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * s.leaders + k)).alias("at"), F.col("id").alias("to"), F.col("part").alias("of"))).alias(f"l{k}") for k in range(s.leaders)])
-        met = large.join(leaders, "key").select("id", "part", F.explode(F.array(*[f"l{k}" for k in range(s.leaders)])).alias("l")).where("part <> l.of")
+        met = large.join(by_merge(leaders), "key").select("id", "part", F.explode(F.array(*[f"l{k}" for k in range(s.leaders)])).alias("l")).where("part <> l.of")
         links = links.union(confirmed(worth_a_look(met.select(F.least("id", "l.to").alias("a"), F.greatest("id", "l.to").alias("b")))))
         parts = staged(connected_components(links), "parts")
         discard(mixed)
@@ -382,11 +383,11 @@ def _found(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> D
     final = staged(connected_components(links), "parts")
     discard(shared, sharing, sets, mixed, parts)
 
-    placed = staged(classes.join(final, F.col("id") == F.col("node"), "left").select("digest", "id", "first", F.coalesce("component", "id").alias("part")), "placed")
+    placed = staged(classes.join(by_merge(final), F.col("id") == F.col("node"), "left").select("digest", "id", "first", F.coalesce("component", "id").alias("part")), "placed")
     renamed = placed.where("id <> first").select("part").distinct()
-    least = staged(placed.join(renamed, "part", "left_semi").groupBy("part").agg(F.min("first").alias("least")), "least")
-    of_class = placed.join(least, "part", "left").select("digest", F.coalesce("least", "part").alias("component"))
-    out = members.join(of_class, "digest", "left")
+    least = staged(placed.join(by_merge(renamed), "part", "left_semi").groupBy("part").agg(F.min("first").alias("least")), "least")
+    of_class = placed.join(by_merge(least), "part", "left").select("digest", F.coalesce("least", "part").alias("component"))
+    out = members.join(by_merge(of_class), "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row")
 
@@ -395,7 +396,7 @@ def keep_first(docs: DataFrame, settings: Settings = Settings(), id_col: str = "
     """The rows of docs that no smaller document of their component stands for; rows that repeat its id, or have none, stay."""
     found = _found(docs, settings, id_col, "text")
     gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    return docs.join(gone, (F.col(id_col) == F.col("_id")) & (_row("text") == F.col("_row")), "left_anti").select(*docs.columns)
+    return docs.join(by_merge(gone), (F.col(id_col) == F.col("_id")) & (_row("text") == F.col("_row")), "left_anti").select(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,3 +242,16 @@ def test_vectors_that_share_an_id(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_dedup.near_vectors(df, block=16).collect())
     assert got == expected
+
+
+def test_near_duplicates_broadcast_nothing_that_grows(spark, monkeypatch):
+    plans, staged = [], near_dedup.staged
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, label)
+
+    monkeypatch.setattr(near_dedup, "staged", seen)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3, 60))], "doc_id bigint, text string")
+    seen(near_dedup.keep_first(docs), "kept")
+    assert len(plans) > 8 and not [p for p in plans if "BroadcastExchange" in p]
