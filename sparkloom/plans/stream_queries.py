@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.bpe import encode_bpe
@@ -12,38 +15,33 @@ from sparkloom.session import scratch, table
 from sparkloom.streaming.state import budget_stream, packed_stream
 
 
-def _is_file(spark, path: str) -> bool:
-    """A stream reads folders; a table that is one file is read from its folder by name."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+def streamed(rows: DataFrame, key: str, label: str, make: Callable[[DataFrame], DataFrame], parts: int = 4) -> DataFrame:
+    """What a stream makes of rows that come in the order of a key. A range of the key is written by many tasks, and the query run until nothing is left, before the
+    next range is written: a file's time, by which Spark takes files, is not its rows' order. Null keys come first."""
+    spark = rows.sparkSession
+    at = scratch(spark, label)
+    bounds = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)])).first()[0] or []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = rows if low is None else rows.where(F.col(key) > low)
+        if high is not None:
+            part = part.where((F.col(key) <= high) | F.col(key).isNull()) if low is None else part.where(F.col(key) <= high)
+        part.write.mode("append").parquet(f"{at}/in")
+        made = make(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+        query = made.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{at}/rows")
 
 
 def stream_budget(spark, sf_dir):
-    """The budget cut over documents as a stream, run until nothing is left; equal to the batch cut, as its files come in key order."""
-    source = table(spark, sf_dir, "documents")
-    path = f"{sf_dir.rstrip('/')}/documents.parquet"
-    reader = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1)
-    stream = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if _is_file(spark, path) else reader.parquet(path)
-    rows = stream.where("text <> ''").withColumn("n_tokens", F.length("text").cast("bigint"))
-    out = scratch(spark, "stream-budget")
-    query = budget_stream(rows, PLAN).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("doc_id", "source", "n_tokens")
+    """The budget cut over documents as a stream of four triggers, equal to the batch cut."""
+    rows = encoded(spark, sf_dir, False).select("doc_id", "source", "n_tokens")
+    return streamed(rows, "doc_id", "stream-budget", lambda s: budget_stream(s, PLAN)).select("doc_id", "source", "n_tokens")
 
 
 def stream_packed(spark, sf_dir):
     """Documents of each shard packed as a stream over four triggers, equal to packing each shard at once."""
     docs = encoded(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 100).cast("bigint").alias("shard"), "tokens")
-    at = scratch(spark, "stream-packed")
-    bounds = [None, *(docs.agg(F.percentile_approx("doc_id", [0.25, 0.5, 0.75])).first()[0] or []), None]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        # Written one after the other, so that a file of later documents is a later file.
-        part = docs if low is None else docs.where(F.col("doc_id") > low)
-        (part if high is None else part.where(F.col("doc_id") <= high)).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    query = packed_stream(stream, LENGTH, EOS).writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = spark.read.parquet(f"{at}/rows")
+    got = streamed(docs, "doc_id", "stream-packed", lambda s: packed_stream(s, LENGTH, EOS))
     return got.select("shard", "chunk_id", F.size("input_ids").cast("bigint").alias("n"), joined(F.col("input_ids")).alias("digest"))
 
 

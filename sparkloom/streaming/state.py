@@ -195,14 +195,19 @@ class _Packing(_InOrder):
         number, rest = self.left.get() if self.left.exists() else (0, b"")
         held, size = [bytes(rest)], len(rest) // 4
         end = np.array([self.end_id], "<i4").tobytes()
-        for _, ids in self.in_order(rows):
-            held += [bytes(ids), end]
+        for _, ids in self.in_order(self._as_bytes(rows)):
+            held += [ids, end]
             size += len(ids) // 4 + 1
             if size >= AT_ONCE * self.length:
                 number, held, size = yield from self._given_out(key, number, held)
         number, held, size = yield from self._given_out(key, number, held)
         self.left.update((number, b"".join(held)))
 
+    @staticmethod
+    def _as_bytes(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            yield chunk.assign(ids=[np.array([i for i in ids if not pd.isna(i)] if ids.dtype.kind != "i" else ids, "<i8").astype("<i4").tobytes() for ids in chunk["ids"]])
+
     def _given_out(self, key, number: int, held: list[bytes]):
         """Gives the full sequences out; returns the next one's number and the ids that are left, fewer than `length`."""
         ids = np.frombuffer(b"".join(held), "<i4")
@@ -213,21 +218,11 @@ class _Packing(_InOrder):
         return number + full, [rest], len(rest) // 4
 
 
-def packed_ids(ids: Column) -> Column:
-    """An array of ids as little-endian 32-bit integers."""
-
-    def four(i: Column) -> Column:
-        h = F.lpad(F.hex(i.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
-        return F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
-
-    return F.unhex(F.array_join(F.transform(ids, four), ""))
-
-
 def packed_stream(df: DataFrame, length: int, end_id: int, shard: str = "shard", order: str = "doc_id", ids: str = "tokens") -> DataFrame:
     """shard, chunk_id, input_ids: each shard's documents end to end with an end id each, cut into full sequences. State is the next sequence's
     number and what is left over, fewer than `length` ids, as bytes."""
     on_rocksdb(df.sparkSession)
-    narrow = df.where(f"{ids} is not null").select(_whole(shard, "key"), _whole(order, "place"), packed_ids(F.col(ids)).alias("ids"))
+    narrow = df.where(f"{ids} is not null").select(_whole(shard, "key"), _whole(order, "place"), F.col(ids).alias("ids"))
     return narrow.groupBy("key").transformWithStateInPandas(_Packing(length, end_id, shard), f"{shard} bigint, chunk_id bigint, input_ids array<int>", "Append", "None")
 
 

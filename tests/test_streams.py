@@ -96,3 +96,22 @@ def test_packing(spark, tmp_path, chunked, request, monkeypatch):
     got = run(spark, tmp_path, schema, lambda s: state.packed_stream(s, 16, EOS), [rows[:20], rows[20:21], rows[21:]])
     expected = {(s, r.chunk_id): r.input_ids for s in range(2) for r in packing.pack_drop_tail(spark.createDataFrame(rows, schema).where(f"shard = {s}"), "doc_id", 16, EOS).collect()}
     assert {(r.shard, r.chunk_id): r.input_ids for r in got} == expected and len(got) == len(expected)
+
+
+def test_triggers_follow_the_key_whatever_files_times_are(spark, tmp_path):
+    import os
+
+    from sparkloom.plans.corpus_queries import budget_rows
+    from sparkloom.plans.stream_queries import stream_budget
+
+    rng = random.Random(5)
+    rows = [(i, f"src{rng.choice([0, 0, 1, 2, 7])}", "x" * rng.choice([0, 40, 900])) for i in range(400)]
+    at = tmp_path / "documents.parquet"
+    at.mkdir()
+    for k in range(4):
+        spark.createDataFrame(rows[k * 100 : k * 100 + 100], "doc_id bigint, source string, text string").coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        name = at / f"part-{k}.parquet"
+        next((tmp_path / f"p{k}").glob("part-*")).rename(name)
+        os.utime(name, (1_000_000 - k, 1_000_000 - k))  # later documents in older files
+    expected = budget_rows(spark, str(tmp_path)).collect()
+    assert len(expected) < 300 and sorted(map(tuple, stream_budget(spark, str(tmp_path)).collect())) == sorted(map(tuple, expected))
