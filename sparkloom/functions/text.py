@@ -29,7 +29,7 @@ def let(value: Column, body) -> Column:
 
 def stripped(x: Column) -> Column:
     """Without white space of any kind at both ends; `trim` takes spaces alone."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank_to_null(x: Column) -> Column:

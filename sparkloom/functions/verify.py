@@ -15,10 +15,13 @@ _LATEX = r"\\frac\{(-?\d{1,18})\}\{(\d{1,18})\}"
 PLAIN = r"^-?\d+(?:\.\d+)?$"
 
 
+def _clean(x: Column) -> Column:
+    return stripped(F.btrim(stripped(x), F.lit("$")))
+
+
 def normalized(x: Column) -> Column:
     """struct(kind, num, p, q, sym): kind is `num`, `ratio` (p / q) or `sym` (anything else); null for null or blank."""
-    t = stripped(F.regexp_replace(stripped(x), r"^\$+|\$+$", ""))
-    t = stripped(F.regexp_replace(t, r"^[()]+|[()]+$", ""))
+    t = stripped(F.btrim(_clean(x), F.lit("()")))
 
     def kinds(s: Column) -> Column:
         bare = F.regexp_replace(s, r"\s*%$", "")
@@ -57,8 +60,6 @@ def _same_number(a: Column, b: Column) -> Column:
 def is_equivalent(pred: Column, gold: Column) -> Column:
     """The first rule that decides: equal texts; equal numbers, when both are; equal last plain number with the same count of words, four at most;
     `answer = N` beside `N`; equal last number when what is left without digits is the same, or nothing on one side."""
-    clean = lambda x: stripped(F.regexp_replace(stripped(x), r"^\$+|\$+$", ""))
-
     def judged(s: Column) -> Column:
         p, g = s["p"], s["g"]
         pt, gt = F.filter(F.split(p, r"\s+"), lambda w: w != ""), F.filter(F.split(g, r"\s+"), lambda w: w != "")
@@ -68,26 +69,27 @@ def is_equivalent(pred: Column, gold: Column) -> Column:
         pn, gn = last(F.regexp_extract_all(p, F.lit(NUMBER), F.lit(0))), last(F.regexp_extract_all(g, F.lit(NUMBER), F.lit(0)))
         ps, gs = (stripped(F.regexp_replace(x, r"\d+(?:\.\d+)?", "")) for x in (p, g))
         embedded = (pn == gn) & ((ps == "") | (gs == "") | (ps == gs))
+        # Null unless both are numbers; read once, and only where texts differ.
+        both = F.struct(normalized(p).alias("p"), normalized(g).alias("g"))
+        numbers = let(both, lambda v: F.when(_numeric(v["p"]) & _numeric(v["g"]), _same_number(v["p"], v["g"])))
         no = F.lit(False)
         return (
             F.when(s["p"].isNull() | s["g"].isNull() | (p == "") | (g == ""), no)
             .when(p == g, F.lit(True))
-            .when(_numeric(s["pv"]) & _numeric(s["gv"]), _same_number(s["pv"], s["gv"]))
-            .otherwise(F.coalesce(short, no) | F.coalesce(framed, no) | F.coalesce(embedded, no))
+            .otherwise(F.coalesce(numbers, F.coalesce(short, no) | F.coalesce(framed, no) | F.coalesce(embedded, no)))
         )
 
-    p, g = clean(pred), clean(gold)
-    return let(F.struct(p.alias("p"), g.alias("g"), normalized(p).alias("pv"), normalized(g).alias("gv")), judged)
+    return let(F.struct(_clean(pred).alias("p"), _clean(gold).alias("g")), judged)
 
 
 def reward_correct(pred: Column, gold: Column) -> Column:
     """1.0 or 0.0: the whole text, what is boxed, the last number, or the whole text as a number is equivalent to gold."""
-    gv, nv, wv = normalized(gold), normalized(last_number(pred)), normalized(pred)
-    close = lambda a: F.when(_numeric(a) & _numeric(gv), (F.abs(as_double(a) - as_double(gv)) <= TOLERANCE).cast("double"))
+    read = F.struct(normalized(last_number(pred)).alias("last"), normalized(pred).alias("whole"), normalized(gold).alias("gold"))
+    close = lambda a, g: F.when(_numeric(a) & _numeric(g), (F.abs(as_double(a) - as_double(g)) <= TOLERANCE).cast("double"))
     return (
         F.when(F.coalesce(pred, F.lit("")).eqNullSafe("") | F.coalesce(gold, F.lit("")).eqNullSafe(""), 0.0)
         .when(is_equivalent(pred, gold) | F.coalesce(is_equivalent(boxed(pred), gold), F.lit(False)), 1.0)
-        .otherwise(F.coalesce(close(nv), close(wv), F.lit(0.0)))
+        .otherwise(let(read, lambda v: F.coalesce(close(v["last"], v["gold"]), close(v["whole"], v["gold"]), F.lit(0.0))))
     )
 
 
