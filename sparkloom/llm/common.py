@@ -161,6 +161,13 @@ def text_chunks(column, max_bytes: int = 1 << 21):
         lo = hi
 
 
+def row_slices(batches, rows: int):
+    """Arrow batches cut to so many rows at most, so that what a worker makes of a batch is bounded."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def text_groups(texts: list[str | None], most: int):
     """Slices of texts with about `most` characters, one text at least."""
     low, size = 0, 0
@@ -245,6 +252,11 @@ class PieceEncoder:
             _encoders[path, keeps_space] = cls(path, keeps_space)
         return _encoders[path, keeps_space]
 
+    @staticmethod
+    def release() -> None:
+        """Forgets a worker's encoders: Spark gives its workers to other steps, which need the memory."""
+        _encoders.clear()
+
     def _renew(self, plain: dict[str, bytes], spaced: dict[str, bytes]) -> None:
         self.plain = _Pieces(self._piece, "", plain)
         self.spaced = _Pieces(self._piece, " ", spaced) if self.keeps_space else self.plain

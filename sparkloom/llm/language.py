@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import _LOWER, crc32_of_id, table, text_chunks
+from sparkloom.llm.common import _LOWER, PieceEncoder, crc32_of_id, row_slices, table, text_chunks
 
 SAMPLE_PER_LANGUAGE = 3000
 SALTS = 61
+ROWS = 2048  # rows that a worker takes at a time
 TABLE = 1 << 16
 SWITCH = 12.0
 MIN_SCRIPT_SHARE = 0.01
@@ -265,7 +266,8 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        PieceEncoder.release()
+        for batch in row_slices(batches, ROWS):
             langs, _, _ = label_batch(model, batch.column(at))
             yield batch.filter(pa.array([x != UNKNOWN for x in langs]))
 

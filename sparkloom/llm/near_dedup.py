@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, by_merge, discard, mix64, staged, table, text_chunks, word_hashes
+from sparkloom.llm.common import U64, PieceEncoder, by_merge, discard, mix64, row_slices, staged, table, text_chunks, word_hashes
 from sparkloom.llm.components import connected_components
 
 
@@ -59,6 +59,8 @@ class Settings:
 
 
 _ROW_LIMIT = 4096  # shingles that are hashed against all values at a time
+ROWS = 512  # rows that a worker holds with their sets at a time
+CHUNK = 1 << 18  # bytes of text at a time: some eight arrays of 8 bytes each
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +71,7 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(column, words: int):
     """Yields (row, sorted distinct 64-bit shingle hashes) for each text of an Arrow column."""
-    for lo, buf, bounds in text_chunks(column):
+    for lo, buf, bounds in text_chunks(column, CHUNK):
         h, _, first = word_hashes(buf, bounds)
         for i in range(len(bounds) - 1):
             own = h[first[i] : first[i + 1]]
@@ -123,7 +125,8 @@ def _digests(s: Settings) -> Callable:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        PieceEncoder.release()
+        for batch in row_slices(batches, ROWS):
             rows, sizes, digests, sigs = [], [], [], []
             for row, shingles in shingle_sets(batch.column(1), s.words):
                 rows.append(row)
@@ -158,7 +161,7 @@ def _full_sets(words: int) -> Callable:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in row_slices(batches, ROWS):
             rows, sets, digests = [], [], []
             for row, shingles in shingle_sets(batch.column(1), words):
                 rows.append(row)
