@@ -218,6 +218,83 @@ class _Pieces(dict):
         return self[piece], met
 
 
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
+
+
+class _ShortPieces:
+    """Ids of pieces of SHORT bytes at most. A piece's key is its bytes and their number, as two integers, so a match is exact; its entry
+    is named in one of TRIES places from its hash on. What finds no place is encoded whenever it comes."""
+
+    SHORT, BITS, TRIES = 15, 21, 4
+
+    def __init__(self):
+        self.places = np.zeros(1 << self.BITS, dtype=np.int32)
+        # Entry 0 is no piece's.
+        self.low, self.high = np.zeros(1, U64), np.full(1, (1 << 64) - 1, dtype=U64)
+        self.starts, self.sizes, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4"), np.zeros(1, bool)
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    @classmethod
+    def keys(cls, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, place) of each piece; buf has 16 bytes more than the pieces. Pieces of over SHORT bytes get the key of no piece."""
+        wide = np.ndarray(len(buf) - 7, "<u8", buffer=buf, strides=(1,))
+        low = wide[starts] & _LOW_BYTES[np.minimum(sizes, 8)]
+        high = wide[starts + np.minimum(sizes, 8)] & _LOW_BYTES[np.clip(sizes - 8, 0, 7)] | np.minimum(sizes, cls.SHORT + 1).astype(U64) << U64(56)
+        place = mix64(low ^ high * U64(0x9E3779B97F4A7C15)) >> U64(64 - cls.BITS)
+        return low, high, place.astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry of each piece, which pieces have none)."""
+        at = self.places[place]
+        miss = np.flatnonzero((self.low[at] != low) | (self.high[at] != high))
+        for k in range(1, self.TRIES):
+            other = self.places[(place[miss] + k) & ((1 << self.BITS) - 1)]
+            same = (self.low[other] == low[miss]) & (self.high[other] == high[miss])
+            at[miss[same]] = other[same]
+            miss = miss[~same]
+        at[miss] = 0
+        self.used[at] = True
+        return at, miss
+
+    def add(self, low: np.ndarray, high: np.ndarray, place: np.ndarray, short: np.ndarray, coded: list[bytes]) -> None:
+        """New entries; those that aren't short get no place."""
+        first, sizes = len(self), np.array([len(c) // 4 for c in coded], dtype=np.int64)
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(coded), "<u4"))
+        self.low, self.high, self.used = np.append(self.low, low), np.append(self.high, high), np.append(self.used, np.zeros(len(low), bool))
+        self._put(first + np.flatnonzero(short).astype(np.int32), place[short])
+
+    def _put(self, entry: np.ndarray, place: np.ndarray) -> None:
+        for k in range(self.TRIES):
+            at = (place + k) & ((1 << self.BITS) - 1)
+            free = self.places[at] == 0
+            self.places[at[free]] = entry[free]
+            left = self.places[at] != entry
+            entry, place = entry[left], place[left]
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of entries end to end, their numbers)."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])], sizes
+
+    def kept(self) -> _ShortPieces:
+        """A new table of the short entries that were found again since this one began."""
+        out = _ShortPieces()
+        some = np.flatnonzero(self.used & (self.high >> U64(56) <= U64(self.SHORT)))
+        if len(some):
+            ids, sizes = self.take(some)
+            ends, data = np.cumsum(sizes) * 4, ids.tobytes()
+            coded = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            low, high = self.low[some], self.high[some]
+            place = mix64(low ^ high * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.BITS)
+            out.add(low, high, place.astype(np.int64), np.ones(len(some), bool), coded)
+        return out
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizers file, remembering the ids of each space-separated piece.
 
@@ -227,9 +304,13 @@ class PieceEncoder:
     keeps_space: the piece keeps the space before it (byte-level files). Special tokens that a text spells out get their ids, as by the
     library's defaults. Values are ids as little-endian unsigned 32-bit integers. Between groups of GROUP bytes of text, a dictionary of over
     MOST pieces (a size just before its table would double) becomes the older one, which look-ups bring back and the next change drops.
+    Where no piece keeps its space, a group's pieces are looked up together, by their bytes, and of over MOST_SHORT pieces those stay that came
+    again since the last change.
     """
 
     MOST, GROUP = 330_000, 1 << 20
+    MOST_SHORT = 400_000
+    BLOCK = 1 << 18  # pieces that are looked up together
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
@@ -238,6 +319,7 @@ class PieceEncoder:
         self.keeps_space = keeps_space
         self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tok.get_vocab_size())]
         self.simple = False
+        self.short = _ShortPieces()
         self._renew({}, {})
         self._find_simple()
         # Pieces as they are, and pieces by what follows their space.
@@ -312,18 +394,63 @@ class PieceEncoder:
             # Plain dictionaries, so that the ones before them go.
             self.plain.older = self.spaced.older = {}
             self._renew(self.plain, self.spaced)
+        if not self.keeps_space:
+            return self._by_bytes(texts)
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
         out = []
         for t in texts:
-            if not self.keeps_space:
-                out.append(b"".join(map(plain, t.split(" "))))
-            elif _TAIL.search(t):
+            if _TAIL.search(t):
                 out.append(b"".join(map(plain, _BEFORE_WORD.split(t))))
             else:
                 head, *rest = t.split(" ")
                 out.append(plain(head) + b"".join(map(spaced, rest)))
         return out
 
+    def _by_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts whose pieces don't keep their space."""
+        whole = [t.encode() for t in texts]
+        data = b" ".join([*whole, b" " * 16])
+        buf = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero(buf[:-16] == 32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        last = np.cumsum([len(t) + 1 for t in whole]) - 1  # where each text's last piece ends
+        flat, sizes = [], []
+        for k in range(0, len(ends), self.BLOCK):
+            ids, n = self._block(data, buf, starts[k : k + self.BLOCK], ends[k : k + self.BLOCK])
+            flat.append(ids.tobytes())
+            sizes.append(n)
+        joined = b"".join(flat)
+        stops = (np.cumsum(np.concatenate(sizes))[np.searchsorted(ends, last)] * 4).tolist()
+        return [joined[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _block(self, data: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many each piece has)."""
+        if len(self.short) > self.MOST_SHORT:
+            self.short = self.short.kept()
+            if len(self.short) > self.MOST_SHORT // 2:
+                self.short = _ShortPieces()
+        short, sizes = self.short, ends - starts
+        low, high, place = short.keys(buf, starts, sizes)
+        at, miss = short.find(low, high, place)
+        if len(miss):
+            new: dict[bytes, int] = {}
+            first, coded, entries, where = len(short), [], [], []
+            for i, a, b in zip(miss.tolist(), starts[miss].tolist(), ends[miss].tolist(), strict=True):
+                piece = data[a:b]
+                n = new.get(piece)
+                if n is None:
+                    n = new[piece] = first + len(coded)
+                    # The usual case first: an ASCII word.
+                    if self.simple and piece.isalpha():
+                        coded.append(b"".join([self.id_bytes[t.id] for t in self.tok.model.tokenize(piece.lower().decode())]))
+                    else:
+                        coded.append(self._piece(piece.decode(), "")[0])
+                    where.append(i)
+                entries.append(n)
+            at[miss] = entries
+            short.add(low[where], high[where], place[where], sizes[where] <= short.SHORT, coded)
+        return short.take(at)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for null."""
         return [ids for rows in text_groups(texts, self.GROUP) for ids in self._group([t or "" for t in texts[rows]])]
