@@ -103,15 +103,19 @@ def fold_merges(words: Column, ranks: Column, size: int) -> Column:
 
     def merged(t: Column, start: Column) -> Column:
         def step(acc: Column, _: Column) -> Column:
-            def at(p: Column) -> Column:
+            # Values that are used more than once are bound: what a lambda refers to is evaluated at each place.
+            def at(m: Column, p: Column) -> Column:
                 n = F.size(acc)
-                m = F.shiftright(F.get(acc, p - 1), BITS)
-                right = F.when(p + 1 < n, _linked(t, size, m, id_of(F.get(acc, p + 1)))).otherwise(m + NO_PAIR)
-                new = F.when(p > 1, F.array(_linked(t, size, id_of(F.get(acc, p - 2)), m), right)).otherwise(F.array(right))
-                done = F.concat(F.slice(acc, F.lit(1), F.greatest(p - 2, F.lit(0))), new, F.slice(acc, p + 2, n))
-                return F.when(F.get(acc, p - 1) >= NO_PAIR, acc).otherwise(done)
+                right = F.when(p + 1 < n, let(id_of(F.get(acc, p + 1)), lambda b: _linked(t, size, m, b))).otherwise(m + NO_PAIR)
+                left = let(id_of(F.get(acc, p - 2)), lambda a: _linked(t, size, a, m))
+                new = F.when(p > 1, F.array(left, right)).otherwise(F.array(right))
+                return F.concat(F.slice(acc, F.lit(1), F.greatest(p - 2, F.lit(0))), new, F.slice(acc, p + 2, n))
 
-            return let(F.array_position(acc, F.array_min(acc)).cast("int"), at)
+            def merge(m: Column) -> Column:
+                place = F.array_position(acc, F.array_min(acc)).cast("int")
+                return F.when(m >= NO_PAIR >> BITS, acc).otherwise(let(place, lambda p: at(m, p)))
+
+            return let(F.shiftright(F.array_min(acc), BITS), merge)
 
         return F.transform(F.when(F.size(start) < 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(start)), start, step)), id_of)
 
