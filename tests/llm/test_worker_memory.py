@@ -36,3 +36,10 @@ def test_steps_of_other_operators_forget_encoders():
     common.PieceEncoder.shared(path, True)
     list(near_dedup._digests(near_dedup.Settings())(iter([_batches(3)])))
     assert not common._encoders
+
+
+def test_fitting_languages_forgets_encoders():
+    common.PieceEncoder.shared(public_tokenizers.path("byte_bpe_50k.json"), True)
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words", "mots"]), pa.array(["en", "fr"])], ["text", "lang"])
+    assert {r["lang"] for b in language._count(iter([batch])) for r in b.to_pylist()} == {"en", "fr"}
+    assert not common._encoders
