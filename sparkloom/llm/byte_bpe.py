@@ -2,7 +2,7 @@
 
 1. Each partition's texts are split into matches of the file's pattern. A row carries its text as numbers of space-separated pieces, the
    pieces and matches its partition has not met before, and those matches as arrays of byte ids with the rank of each pair of neighbours (or
-   the one id of a match that is itself an entry).
+   the one id of a match that is itself an entry). Two bytes that are sure to merge, whatever else does, are one id from the start.
 2. Spark folds the ranked merges over those arrays. The rank map is a literal: an array with two places for every pair of ids (cuckoo
    hashing), so a look-up is two element accesses. The state keeps the rank of every adjacent pair; a merge looks up two.
 3. The rows go on in the same task, which lays the ids of the pieces end to end. Decoding concatenates the entries' bytes, as hexadecimal
@@ -111,11 +111,11 @@ def fold_merges(words: Column, ranks: Column, size: int) -> Column:
                 new = F.when(p > 1, F.array(left, right)).otherwise(F.array(right))
                 return F.concat(F.slice(acc, F.lit(1), F.greatest(p - 2, F.lit(0))), new, F.slice(acc, p + 2, n))
 
+            # m: the least element, by which array_position finds its place.
             def merge(m: Column) -> Column:
-                place = F.array_position(acc, F.array_min(acc)).cast("int")
-                return F.when(m >= NO_PAIR >> BITS, acc).otherwise(let(place, lambda p: at(m, p)))
+                return F.when(m >= NO_PAIR, acc).otherwise(let(F.array_position(acc, m).cast("int"), lambda p: at(F.shiftright(m, BITS), p)))
 
-            return let(F.shiftright(F.array_min(acc), BITS), merge)
+            return let(F.array_min(acc), merge)
 
         return F.transform(F.when(F.size(start) < 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(start)), start, step)), id_of)
 
@@ -159,11 +159,56 @@ class _Starts:
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.pairs = np.full(1 << 16, NO_PAIR, dtype=np.int64)
+        short = sorted((len(t) << 32 | int.from_bytes(t), r) for t, r in self.ranks.items() if len(t) <= 4)
+        self.keys, self.of_key = (np.array(c, dtype=np.int64) for c in zip(*short, strict=True))
+        self.begin, self.end, self.sure = (np.full(1 << 16, NO_PAIR, dtype=np.int64) for _ in range(3))
+        pairs, longer = np.full(1 << 16, -1, dtype=np.int64), np.full(1 << 16, NO_PAIR, dtype=np.int64)
         for t, r in self.ranks.items():
-            if len(t) == 2:
-                self.pairs[t[0] << 8 | t[1]] = r << BITS
+            if len(t) > 1:
+                head, tail = t[0] << 8 | t[1], t[-2] << 8 | t[-1]
+                self.begin[head], self.end[tail] = min(self.begin[head], r), min(self.end[tail], r)
+                if len(t) == 2:
+                    pairs[head] = r
+                else:
+                    longer[head], longer[tail] = min(longer[head], r), min(longer[tail], r)
+        # The rank of a pair of bytes that is below all entries that begin or end with it.
+        some = (pairs >= 0) & (pairs < longer)
+        self.sure[some] = pairs[some]
+
+    def _paired(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of bytes, or of pairs of bytes that are sure to merge, each with its pair's rank above it; how many each word has).
+
+        A pair xy between bytes a and b merges whatever else does where no entry of a lower rank ends with ax or begins with yb, as only those could take x or y
+        before; no other merge comes earlier or later for it where entries that begin or end with xy have higher ranks."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+        wide = data.astype(np.int64)
+        ends = np.cumsum(sizes)
+        pair = np.full(len(wide), -1, dtype=np.int64)  # of a byte and the next one of its word
+        pair[:-1] = wide[:-1] << 8 | wide[1:]
+        pair[ends[sizes > 0] - 1] = -1
+        inner = pair >= 0
+        rank, begin, end = (np.where(inner, t[pair], NO_PAIR) for t in (self.sure, self.begin, self.end))
+        left, right = np.full(len(wide), NO_PAIR), np.full(len(wide), NO_PAIR)
+        left[1:], right[:-1] = end[:-1], begin[1:]
+        merged = (rank < NO_PAIR) & (rank < left) & (rank < right)
+        first = np.ones(len(wide), dtype=bool)
+        first[1:] = ~merged[:-1]
+        at = np.flatnonzero(first)
+        two = merged[at]
+        value, length = np.where(two, pair[at], wide[at]), 1 + two
+        ids = self._ranks_of(length << 32 | value)
+        linked = np.full(len(at), -1, dtype=np.int64)
+        whole = length[:-1] + length[1:]
+        linked[:-1] = self._ranks_of(whole << 32 | value[:-1] << 8 * length[1:] | value[1:])
+        counts = np.searchsorted(at, ends) - np.searchsorted(at, ends - sizes)
+        linked[np.cumsum(counts)[sizes > 0] - 1] = -1
+        return np.where(linked >= 0, linked << BITS, NO_PAIR) + ids, counts
+
+    def _ranks_of(self, key: np.ndarray) -> np.ndarray:
+        """Ranks of entries of four bytes at most, by length and bytes; -1 for none."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.of_key[at], -1)
 
     def arrays(self, words: list[bytes]):
         """A ListArray of one array a word."""
@@ -174,17 +219,15 @@ class _Starts:
         for k, w in enumerate(words):
             if len(w) > LONG and whole[k] is None:
                 whole[k] = merge_long(w, ranks)
-        plain = b"".join([w for w, x in zip(words, whole, strict=True) if x is None])
-        data = np.frombuffer(plain, np.uint8)
-        sizes = np.array([len(w) if x is None else 1 if isinstance(x, int) else len(x) for w, x in zip(words, whole, strict=True)], dtype=np.int64)
+        plain = [w for w, x in zip(words, whole, strict=True) if x is None]
+        state, lengths = self._paired(np.frombuffer(b"".join(plain), np.uint8), np.array([len(w) for w in plain], dtype=np.int64))
+        folded_words = np.array([x is None for x in whole], dtype=bool)
+        sizes = np.array([1 if x is None or isinstance(x, int) else len(x) for x in whole], dtype=np.int64)
+        sizes[folded_words] = lengths
         ends = np.cumsum(sizes)
-        folded = np.repeat(np.array([x is None for x in whole], dtype=bool), sizes)
+        folded = np.repeat(folded_words, sizes)
         out = np.empty(len(folded), dtype=np.int64)
-        wide = data.astype(np.int64)
-        linked = np.full(len(wide), NO_PAIR, dtype=np.int64)
-        linked[:-1] = self.pairs[wide[:-1] << 8 | wide[1:]]
-        out[folded] = linked + self.single[wide]
-        out[ends[sizes > 0] - 1] = out[ends[sizes > 0] - 1] & MASK | NO_PAIR
+        out[folded] = state
         given = [i for x in whole if x is not None for i in ((x,) if isinstance(x, int) else x)]
         out[~folded] = np.array(given, dtype=np.int64) | NO_PAIR
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
