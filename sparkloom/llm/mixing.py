@@ -32,10 +32,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import _BYTE_CODE, _LOWER, _SPACE, U64, _powers, crc32_of_id, discard, mix64, staged, table, text_chunks, word_hashes, word_spans
+from sparkloom.llm.common import _BYTE_CODE, _LOWER, _SPACE, U64, _powers, crc32_of_id, discard, mix64, staged, text_chunks, word_hashes, word_spans
 
 CONTEXTS = 5  # one, two and three bytes; five bytes of the word; the whole word so far
 SLOT_BITS = (16, 18, 19, 20, 22)
@@ -624,8 +624,3 @@ def _hashes(column) -> np.ndarray:
     """The words' hashes as word_spans gives them."""
     parts = [word_hashes(buf, bounds)[0].view(np.int64) for _, buf, bounds in text_chunks(column)]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, held_out())
