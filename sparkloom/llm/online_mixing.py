@@ -1,17 +1,16 @@
 """Scoring texts by online logistic mixing of bit predictors, and a smoothed unigram score beside it.
 
-A text (in lower case, A-Z only) is its bytes and an END, each of which is the bits of its Huffman code. Every bit is predicted in its contexts: the
-last byte, two, three and four bytes, whatever they are, the word so far, and that with the word before it. A context and the code's node name a slot with
-counts of zeros and ones. The slots' estimates, in the logistic domain, are summed by weights that a gate selects (how sure the two contexts of words
-are); the sum's probability is refined by a map from levels of the sum to what was met there. Once a bit is read, the gate's weights take a step down the
-slope of its cost, and the map's level a step to the bit, before the next bit is predicted. A text's score is the sum over its bits, and of nothing else.
+A text (in lower case, A-Z only) is its bytes and an END, each of which is the bits of its Huffman code after the byte before it. Every bit is predicted in
+its contexts: the last three bytes and the last five, whatever they are, the word so far, and that with the word before it. A context and the code's node name a
+slot with counts of zeros and ones. The slots' estimates, in the logistic domain, are summed by weights that a gate selects (how sure the two contexts of
+words are); the sum's probability is refined by a map from levels of the sum to what was met there. After each STEP bits the gate's weights take a step down the
+slope of their cost, and the map's levels a step to the bits, before the next ones are predicted. A text's score is the sum over its bits, and of nothing else.
 
-Fitting: the table of words gives the code; one pass over all training texts counts the slots, whose number follows the input up to MOST_BITS; in
-another every training text is read as in scoring, but from counts without the bit that is read. The means of the weights that texts
-end with, and what was met at each level, are where each text starts in scoring. Sums don't depend on how rows are dealt, so neither do scores, but for rounding.
+Fitting: counts of pairs of bytes give the code; one pass over all training texts counts the slots, whose number follows the input up to MOST_BITS. Sums don't
+depend on how rows are dealt, so neither do scores, but for rounding. Weights start from START_WEIGHTS and the map from the sum's own probability in each text.
 
-Texts are read side by side, a bit of each at a time. One of more than SEGMENT bytes is read in segments, each of which starts from the fitted weights and
-map; contexts run on.
+Texts are read side by side, a bit of each at a time. One of more than SEGMENT bytes is read in segments, each of which starts from those weights and
+that map; contexts run on.
 
 The unigram score needs each word's exact count: those above a threshold, at most HOT_WORDS of them, go to every worker; the others are joined with one
 row for each document and word.
@@ -48,10 +47,11 @@ RATE = 0.02  # of weights
 MAP_RATE = 0.02
 START_WEIGHTS = (0.4, 0.45, 0.3, 0.45)
 FLOOR = 1e-4  # of a bit's probability
-CHUNK = 1 << 17  # bytes of text at a time whose slots are looked up
-READ = 1 << 22  # bytes of text that are read side by side
+CHUNK = 1 << 15  # bytes of text at a time whose slots are looked up: arrays of some eight bytes a bit stay in the cache
+READ = 1 << 21  # bytes of text that are read side by side
 SEGMENT = 2048
 BLOCK = 1 << 16
+TASK = 1 << 28
 
 
 # ---------------------------------------------------------------- bits and their contexts
@@ -59,7 +59,7 @@ BLOCK = 1 << 16
 
 @dataclass
 class Code:
-    """sizes, starts: of each byte's bits; cells: for all bytes' bits, one after another, 2 * node + bit."""
+    """sizes, starts: of the bits of each pair of a byte and the one after it, of which the latter is coded; cells: all pairs' bits, one after another, 2 * node + bit."""
 
     sizes: np.ndarray
     starts: np.ndarray
@@ -67,9 +67,15 @@ class Code:
 
 
 def code_of(counts: np.ndarray) -> Code:
-    """The Huffman code of 256 counts, each of which counts one more. Nodes are numbered from the one that is met most, so that a context's
-    usual slots lie together."""
-    heap = [(int(n) + 1, b) for b, n in enumerate(counts)]
+    """The Huffman codes of bytes after each byte, by the counts of pairs, each of which counts one more."""
+    paths = [p for k in range(NODES) for p in _paths(counts[NODES * k : NODES * (k + 1)].tolist())]
+    sizes = np.array([len(p) for p in paths], np.int64)
+    return Code(sizes, np.cumsum(sizes) - sizes, np.array([c for p in paths for c in p], np.int64))
+
+
+def _paths(counts: list[int]) -> list[list[int]]:
+    """Each byte's bits. Nodes are numbered from the one that is met most, so that a context's usual slots lie together."""
+    heap = [(n + 1, b) for b, n in enumerate(counts)]
     heapq.heapify(heap)
     children, weight = {}, {}
     name = NODES
@@ -89,23 +95,22 @@ def code_of(counts: np.ndarray) -> Code:
                 paths[child] = own
             else:
                 todo.append((child, own))
-    sizes = np.array([len(p) for p in paths], np.int64)
-    return Code(sizes, np.cumsum(sizes) - sizes, np.array([c for p in paths for c in p], np.int64))
+    return paths
 
 
 def contexts_of(buf: np.ndarray, bounds: np.ndarray, bits: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The bytes of each text and its END, and for each context the number of its first slot. Nothing before a text's start counts."""
+    """Each byte of the texts and their ENDs as a pair with the byte before it, and for each context the number of its first slot. Nothing before a text's start counts."""
     n, sizes = len(bounds) - 1, np.diff(bounds)
     full = np.full(len(buf) + n * (PAD + 1), END, dtype=np.uint8)
     heads = np.arange(n) * (PAD + 1) + PAD + bounds[:-1]  # where each text's bytes start, after its padding
     full[np.arange(len(buf)) + np.repeat(np.arange(n) * (PAD + 1) + PAD, sizes)] = _LOWER[buf]
     at = np.arange(len(buf) + n) + np.repeat(np.arange(n) * PAD + PAD, sizes + 1)
     wide = full.astype(U64)
-    last, orders = wide[at - 1], []
-    for k in range(2, PAD + 1):
-        last = last | wide[at - k] << U64(8 * (k - 1))
+    last, orders = np.zeros(len(full), U64), []
+    for k in range(1, PAD + 1):
+        last[k:] |= wide[:-k] << U64(8 * (k - 1))
         if k in ORDERS:
-            orders.append(last)
+            orders.append(last.take(at))
     first = np.zeros(len(full), dtype=bool)
     first[1:] = _SPACE[full[:-1]]
     first[heads] = True
@@ -115,35 +120,41 @@ def contexts_of(buf: np.ndarray, bounds: np.ndarray, bits: tuple[int, ...]) -> t
     acc[0] = 0
     np.cumsum(_BYTE_CODE[full] * p[: len(full)], out=acc[1:])
     part = np.cumsum(first)[at] - 1
-    begin = begins[part]
-    word = mix64((acc[at] - acc[begin]) * inv[begin] + (at - begin).astype(U64))
+    begin = begins.take(part)
+    word = (acc.take(at) - acc.take(begin)) * inv.take(begin) + (at - begin).astype(U64)
     # The word before: of a text's first there is none.
     ends = np.maximum(np.append(begins[1:], 1) - 1, begins)
     whole = mix64((acc[ends] - acc[begins]) * inv[begins] + (ends - begins).astype(U64))
     before = np.append(U64(0), whole[:-1])
     before[np.searchsorted(begins, heads)] = 0
-    pair = mix64(word + before[part] * U64(0xD6E8FEB86659FD93))
-    hashes = [mix64(x * U64(0x9E3779B97F4A7C15)) for x in orders] + [word, pair]
-    return full[at], [(h >> U64(64 - b)).astype(np.int64) for h, b in zip(hashes, bits, strict=True)]
+    pair = word + before.take(part) * U64(0xD6E8FEB86659FD93)
+    # Nodes are those of the code after the last byte, which a word that has not begun doesn't tell.
+    last = wide.take(at - 1)
+    hashes = [mix64(x * U64(0x9E3779B97F4A7C15)) for x in orders] + [mix64(x + last) for x in (word, pair)]
+    return (last << U64(8) | wide.take(at)).astype(np.int64), [(h >> U64(64 - b)).astype(np.int64) for h, b in zip(hashes, bits, strict=True)]
 
 
 def slots_in(bits: tuple[int, ...]) -> list[int]:
     return [(1 << b) + NODES for b in bits]
 
 
-def _cells(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits of each byte, 2 * node + bit of each bit)."""
-    sizes = code.sizes[symbols]
-    at = np.arange(int(sizes.sum())) + np.repeat(code.starts[symbols] - (np.cumsum(sizes) - sizes), sizes)
-    return sizes, code.cells[at]
+def _cells(code: Code, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which byte each bit is of, 2 * node + bit of each bit)."""
+    sizes = code.sizes.take(pairs)
+    of = np.repeat(np.arange(len(pairs)), sizes)
+    at = (code.starts.take(pairs) - (np.cumsum(sizes) - sizes)).take(of)
+    at += np.arange(len(of))
+    return of, code.cells.take(at)
 
 
 def count_bits(counts: list[np.ndarray], code: Code, bits: tuple[int, ...], buf: np.ndarray, bounds: np.ndarray) -> None:
     """Adds some texts' bits to the counts of zeros and ones (in turn) of each context's slots."""
-    symbols, bases = contexts_of(buf, bounds, bits)
-    sizes, cells = _cells(code, symbols)
+    pairs, bases = contexts_of(buf, bounds, bits)
+    of, cells = _cells(code, pairs)
     for k in range(CONTEXTS):
-        np.add.at(counts[k], np.repeat(2 * bases[k], sizes) + cells, np.int32(1))
+        at = (2 * bases[k]).take(of)
+        at += cells
+        np.add.at(counts[k], at, np.int32(1))
 
 
 def estimates(counts: np.ndarray) -> np.ndarray:
@@ -166,15 +177,20 @@ def _sure(x: np.ndarray) -> np.ndarray:
     return (size > 8).view(np.int8) + (size > 40).view(np.int8)
 
 
-def inputs_of(model: Model, symbols: np.ndarray, bases: list[np.ndarray], out: np.ndarray) -> int:
-    """For each bit eight bytes in one number of out: the estimates, the gate and the bit. Returns how many bits there are."""
-    sizes, cells = _cells(model.code, symbols)
-    rows, nodes = out[: len(cells)].view(np.int8).reshape(-1, 8), cells >> 1
+def inputs_of(model: Model, pairs: np.ndarray, bases: list[np.ndarray]) -> np.ndarray:
+    """For each bit eight bytes in one number: the estimates, the gate and the bit."""
+    of, cells = _cells(model.code, pairs)
+    rows, nodes, sure = np.empty((len(cells), 8), np.int8), cells >> 1, []
     for k in range(CONTEXTS):
-        rows[:, k] = model.tables[k][np.repeat(bases[k], sizes) + nodes]
-    rows[:, 6] = _sure(rows[:, CONTEXTS - 2]) * 3 + _sure(rows[:, CONTEXTS - 1])
+        at = bases[k].take(of)
+        at += nodes
+        x = model.tables[k].take(at)
+        rows[:, k] = x
+        if k >= CONTEXTS - 2:
+            sure.append(_sure(x))
+    rows[:, 6] = sure[0] * np.int8(3) + sure[1]
     rows[:, 7] = cells & 1
-    return len(cells)
+    return rows.view(U64).ravel()
 
 
 # ---------------------------------------------------------------- reading side by side
@@ -197,14 +213,14 @@ class Readers:
         x = [v[..., k].astype(np.float32) for k in range(CONTEXTS)]
         y = v[..., 7].astype(np.float32)
         gate = self.gates[who] + v[0, :, 6]
-        item = self.weights[gate]
+        item = self.weights.take(gate)
         w = item.view(np.float32).reshape(-1, CONTEXTS)
         dot = x[0] * w[:, 0]
         for k in range(1, CONTEXTS):
             dot += x[k] * w[:, k]
         np.minimum(np.maximum(dot, -_HIGH, out=dot), _HIGH, out=dot)
         level = (dot * _STEEP + _MIDDLE).astype(np.int32) + self.rungs[who]
-        miss, q = y - _ONE / (_ONE + np.exp(-dot)), self.levels[level]
+        miss, q = y - _ONE / (_ONE + np.exp(-dot)), self.levels.take(level)
         far = y - q
         # 1 less the mean of both distances.
         chance = _ONE - np.minimum(np.abs(miss + far) * _HALF, _MOST)
@@ -230,7 +246,7 @@ def read_bits(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     readers, cost = Readers(n), np.zeros(n)
     whole, ahead = sizes // STEP, np.arange(STEP)[:, None]
     for a in np.searchsorted(-whole, -np.arange(int(whole[0]) if n else 0), side="left").tolist():
-        cost[:a] += readers.read(rows[at[:a] + ahead], slice(a))
+        cost[:a] += readers.read(rows.take(at[:a] + ahead), slice(a))
         at[:a] += STEP
     for k in range(STEP - 1):  # the bits after a segment's last whole step, one by one
         who = np.flatnonzero(sizes % STEP > k)
@@ -242,42 +258,47 @@ def read_bits(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def read_texts(model: Model, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log2 of each text's probability."""
-    n, lengths, texts = len(bounds) - 1, [], []
-    rows = np.empty(int((np.bincount(_LOWER[buf], minlength=NODES) * model.code.sizes).sum() + n * model.code.sizes[END]), U64)
-    low = filled = 0
+    n, rows, lengths, texts = len(bounds) - 1, [], [], []
+    low = 0
     while low < n:
         high = min(n, max(low + 1, int(np.searchsorted(bounds, bounds[low] + CHUNK, side="right")) - 1))
         part = bounds[low : high + 1] - bounds[low]
-        symbols, bases = contexts_of(buf[bounds[low] : bounds[high]], part, model.bits)
+        pairs, bases = contexts_of(buf[bounds[low] : bounds[high]], part, model.bits)
         heads = part + np.arange(len(part))
         pieces = -(-np.diff(heads) // SEGMENT)
         of = np.repeat(np.arange(len(pieces)), pieces)
-        lengths.append(np.add.reduceat(model.code.sizes[symbols], heads[of] + SEGMENT * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))))
+        lengths.append(np.add.reduceat(model.code.sizes[pairs], heads[of] + SEGMENT * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))))
         texts.append(of + low)
         # A long text's slots are looked up by parts, so that what is held beside the inputs stays small.
-        for k in range(0, len(symbols), 2 * CHUNK):
+        for k in range(0, len(pairs), 2 * CHUNK):
             at = slice(k, k + 2 * CHUNK)
-            filled += inputs_of(model, symbols[at], [x[at] for x in bases], rows[filled:])
+            rows.append(inputs_of(model, pairs[at], [x[at] for x in bases]))
         low = high
     if not n:
         return np.zeros(0)
-    return np.bincount(np.concatenate(texts), weights=read_bits(rows, np.concatenate([[0], np.cumsum(np.concatenate(lengths))])), minlength=n)
+    return np.bincount(np.concatenate(texts), weights=read_bits(np.concatenate(rows), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])), minlength=n)
 
 
 # ---------------------------------------------------------------- fitting
 
 
-def _byte_counts(batches):
-    """How often each byte comes, by (word, n) rows."""
+def pair_counts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How often each pair of a byte and the next one comes, with END before and after each text."""
+    n = len(bounds) - 1
+    full = np.full(len(buf) + n + 1, END, np.int32)
+    full[np.arange(1, len(buf) + 1) + np.repeat(np.arange(n), np.diff(bounds))] = _LOWER[buf]
+    return np.bincount((full[:-1] << 8) | full[1:], minlength=NODES * NODES)
+
+
+def _pairs(batches):
     import pyarrow as pa
 
-    counts = np.zeros(NODES)
+    counts = np.zeros(NODES * NODES, np.int64)
     for batch in batches:
-        n = batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, buf, bounds in text_chunks(batch.column(0), 1 << 20):
-            counts += np.bincount(buf, weights=np.repeat(n[lo : lo + len(bounds) - 1], np.diff(bounds)), minlength=NODES)
+        for _, buf, bounds in text_chunks(batch.column(0), 1 << 18):
+            counts += pair_counts(buf, bounds)
     some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["byte", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["pair", "n"])
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -335,16 +356,15 @@ def _estimate(batches):
         yield from _blocks([(*at, len(total), estimates(total).tobytes())])
 
 
-def fit(training: DataFrame, met: DataFrame, n_docs: int) -> Model:
-    """training: text; met: word, n of all its words and white space bytes. The driver gets a byte for each slot."""
-    counts = np.zeros(NODES, np.int64)
-    for byte, n in met.select("word", "n").mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n")).collect():
-        counts[byte] = n
-    counts[END] += n_docs
+def fit(training: DataFrame) -> Model:
+    """training: text. The driver gets a byte for each slot."""
+    counts = np.zeros(NODES * NODES, np.int64)
+    for pair, n in training.mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():
+        counts[pair] = n
     code, most = code_of(counts), max(14, int(counts.sum()).bit_length())
     bits = tuple(min(b, most) for b in MOST_BITS)
-    # A task gives its counts once, however many texts it reads, so there are no more tasks than run at a time.
-    few = training.coalesce(training.sparkSession.sparkContext.defaultParallelism)
+    # A task gives its counts once, however many texts it reads, so there are no more than run at a time or have TASK bytes each.
+    few = training.coalesce(max(training.sparkSession.sparkContext.defaultParallelism, int(counts.sum()) // TASK))
     tables = [np.zeros(n, np.int8) for n in slots_in(bits)]
     summed = few.mapInArrow(_count(code, bits), _BLOCKS).repartition("context", "block").sortWithinPartitions("context", "block").mapInArrow(_estimate, _BLOCKS)
     for context, block, size, data in summed.collect():
@@ -415,7 +435,7 @@ def score_online(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col:
     got = known.agg(F.count("*"), F.sum("n")).first()
     distinct, total = got[0] + (n_docs > 0), (got[1] or 0) + n_docs
     denominator = np.log10(total + distinct + 1) if total + distinct else 0.0
-    model = context.broadcast(fit(training, met, n_docs))
+    model = context.broadcast(fit(training))
     frequent = known.where(F.col("n") >= _hot_threshold(known, HOT_WORDS)).toArrow()
     hashes = _hashes(frequent.column("word"))
     order = np.argsort(hashes)

@@ -31,8 +31,7 @@ def buffers(*texts):
 
 def model_of(*texts, bits=BITS):
     buf, bounds = buffers(*texts)
-    seen = np.bincount(buf, minlength=256)
-    code = online_mixing.code_of(seen)
+    code = online_mixing.code_of(online_mixing.pair_counts(buf, bounds))
     counts = [np.zeros(2 * n, np.int32) for n in online_mixing.slots_in(bits)]
     online_mixing.count_bits(counts, code, bits, buf, bounds)
     return online_mixing.Model(code, bits, [online_mixing.estimates(c) for c in counts])
@@ -69,24 +68,32 @@ def by_one(model, text):
 
 
 def test_codes_bits():
-    counts = np.arange(256) ** 3
+    counts = np.zeros(1 << 16, np.int64)
+    counts[97 * 256 : 98 * 256] = np.arange(256) ** 3
     code = online_mixing.code_of(counts)
-    assert sum(2.0 ** -int(n) for n in code.sizes) == 1.0 and code.sizes[255] < code.sizes[3]
-    paths = {tuple(code.cells[s : s + n]) for s, n in zip(code.starts, code.sizes, strict=True)}
-    assert len(paths) == 256 and len({c for p in paths for c in p}) == 2 * 255 and all(p[0] // 2 == 0 for p in paths)
+    for first, kept in ((97, slice(97 * 256, 98 * 256)), (98, slice(98 * 256, 99 * 256))):
+        sizes, starts = code.sizes[kept], code.starts[kept]
+        assert sum(2.0 ** -int(n) for n in sizes) == 1.0 and ((sizes == 8).all() if first == 98 else sizes[255] < sizes[3])
+        paths = {tuple(code.cells[s : s + n]) for s, n in zip(starts, sizes, strict=True)}
+        assert len(paths) == 256 and len({c for p in paths for c in p}) == 2 * 255 and all(p[0] // 2 == 0 for p in paths)
+    buf, bounds = buffers("aB", "", "ba")
+    pairs = online_mixing.pair_counts(buf, bounds)
+    expected = collections.Counter(256 * a + b for t in (b"ab", b"", b"ba") for a, b in zip(b"\xff" + t, t + b"\xff", strict=True))
+    assert {int(k): int(pairs[k]) for k in np.flatnonzero(pairs)} == expected
 
 
 def test_counts_against_plain_counting():
     texts = ["ab cd ab cd", "", "cd  ab", "ab"]
     buf, bounds = buffers(*texts)
     symbols, bases = online_mixing.contexts_of(buf, bounds, (40,) * 4)
-    assert bytes(symbols) == b"\xff".join(t.encode() for t in texts) + b"\xff"
+    assert bytes((symbols & 255).astype(np.uint8)) == b"\xff".join(t.encode() for t in texts) + b"\xff"
+    assert bytes((symbols >> 8).astype(np.uint8)) == b"\xff" + b"\xff".join(t.encode() for t in texts)
     names, at = [{} for _ in range(4)], 0
     for t in texts:
         for i in range(len(t) + 1):
             before = t[:i]
             parts = before.split(" ")
-            own = [before[-k:] if len(before) >= k else (before, "start") for k in online_mixing.ORDERS] + [parts[-1], (parts[-1], parts[-2] if len(parts) > 1 else "")]
+            own = [before[-k:] if len(before) >= k else (before, "start") for k in online_mixing.ORDERS] + [(parts[-1], before[-1:]), (parts[-1], parts[-2] if len(parts) > 1 else "", before[-1:])]
             for k in range(4):
                 assert names[k].setdefault(own[k], bases[k][at]) == bases[k][at]
             at += 1
@@ -113,8 +120,8 @@ def test_a_next_byte_is_a_distribution():
         for own in every:
             symbols, bases = online_mixing.contexts_of(own, np.array([0, len(own)]), model.bits)
             last = len(own) if len(own) == len(head) else len(own) - 1
-            rows = np.empty(5000, np.uint64)
-            n = online_mixing.inputs_of(model, symbols[: last + 1], [b[: last + 1] for b in bases], rows)
+            rows = online_mixing.inputs_of(model, symbols[: last + 1], [b[: last + 1] for b in bases])
+            n = len(rows)
             before = int(model.code.sizes[symbols[:last]].sum())
             total += 2.0 ** (read_plainly(rows[:n]) - read_plainly(rows[:before]))
         capitals = sum(2.0 ** plain_byte(model, head, b) for b in range(65, 91))
@@ -125,9 +132,9 @@ def plain_byte(model, head, b):
     own = np.frombuffer(head + bytes([b]), np.uint8)
     symbols, bases = online_mixing.contexts_of(own, np.array([0, len(own)]), model.bits)
     symbols = symbols.copy()
-    symbols[len(head)] = b  # not in lower case: no text has it, but the code does
-    rows = np.empty(5000, np.uint64)
-    n = online_mixing.inputs_of(model, symbols[: len(own)], [x[: len(own)] for x in bases], rows)
+    symbols[len(head)] = symbols[len(head)] >> 8 << 8 | b  # not in lower case: no text has it, but the code does
+    rows = online_mixing.inputs_of(model, symbols[: len(own)], [x[: len(own)] for x in bases])
+    n = len(rows)
     return read_plainly(rows[:n]) - read_plainly(rows[: int(model.code.sizes[symbols[: len(head)]].sum())])
 
 
@@ -183,8 +190,8 @@ def test_scores_against_the_whole_model(spark, rows):
     assert all(math.isclose(one[i].score, two[i].score, rel_tol=1e-6) for i in one)
     train = [(t or "").encode().lower().decode() for i, t in rows if not one[i].held_out]
     buf, bounds = buffers(*train)
-    seen = np.bincount(buf, minlength=256)
-    seen[online_mixing.END] += len(train)
+    lowered = np.where((buf >= 65) & (buf < 91), buf + 32, buf).astype(np.uint8)
+    seen = online_mixing.pair_counts(lowered, bounds)
     code, most = online_mixing.code_of(seen), max(14, int(seen.sum()).bit_length())
     bits = tuple(min(b, most) for b in online_mixing.MOST_BITS)
     counts = [np.zeros(2 * n, np.int32) for n in online_mixing.slots_in(bits)]
