@@ -1,4 +1,4 @@
-"""Scoring texts by logistic context mixing of bit predictors, and a smoothed unigram score beside it.
+"""Scoring texts by a fitted mixing of bit predictors and whole words, and a smoothed unigram score beside it. op9_mixing is in online_mixing.py.
 
 A text is words (in lower case, A-Z only) and single white space bytes, after each of which a word may come; its end closes the last. Its
 score has three parts.
